@@ -199,3 +199,17 @@ def ladder_rank(value: Column, q: Column, rungs: int = LADDER_RUNGS) -> Column:
     between = (lo_i - 1) * F.lit(step) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), frac)) * F.lit(step)
     rank = F.when(k == 0, F.lit(0.0)).when(k >= rungs, F.lit(1.0)).otherwise(between)
     return F.when(value.isNotNull() & q.isNotNull(), rank)
+
+
+def drought_panel(truth: DataFrame, spi: DataFrame) -> DataFrame:
+    """Truth weeks with their indicator: graded severity and the D2 majority label."""
+    joined = truth.join(spi.withColumnRenamed("cell", "fips"), ["fips", "d"])
+    return joined.select(
+        "fips",
+        "d",
+        F.col("d2").alias("d2_area"),
+        ((F.col("d1") + F.col("d2") + F.col("d3") + F.col("d4")) / 4.0).alias("severity"),
+        F.when(F.col("d2") >= 50.0, 1).otherwise(0).alias("label"),
+        *[f"spi{w}" for w in SPI_WINDOWS],
+        "spi90_trend_8w",
+    )

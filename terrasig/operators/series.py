@@ -174,9 +174,9 @@ def last_valid(df: DataFrame, key: str, date: str, value: str, as_of: Column) ->
     )
 
 
-def near_flags(df: DataFrame, key: str, date: str, flag: str, out: str) -> DataFrame:
+def near_flags(df: DataFrame, key: str | Sequence[str], date: str, flag: str, out: str) -> DataFrame:
     """True where the flag holds on the row or on a neighbouring row of the same key."""
-    w = Window.partitionBy(key).orderBy(date)
+    w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(date)
     return df.withColumn(
         out, F.lag(flag, 1, False).over(w) | F.col(flag) | F.lead(flag, 1, False).over(w)
     )

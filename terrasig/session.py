@@ -18,6 +18,7 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "ter
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
