@@ -16,6 +16,7 @@ from terrasig.operators import ranking, series
 
 DAYS_PER_YEAR = 365.25
 SWEEP_POINTS = 40
+ONE_TASK_GROUPS = 2_000_000
 SWEEP_FROM, SWEEP_TO = 0.80, 0.9995
 
 
@@ -211,16 +212,16 @@ def alarm_sweep(grid: DataFrame, score: str, key: str = "cell", date: str = "d",
     """Alarm metrics at every distinct sweep quantile of the score.
 
     An alarm at threshold t is ``score >= t``, a near alarm ``max(neighbour scores) >= t``. So each row is reduced to
-    three numbers once, histogrammed, and every threshold reads running totals: the grid is scanned once, not n times.
+    three numbers once and histogrammed by how many thresholds they reach: the grid is scanned once, not n times. Only
+    the at most n thresholds come to the driver.
     """
-    cuts = ranking.exact_quantiles(grid, score, sweep_levels(n)).select(F.col("quantile").alias("threshold")).distinct()
+    cuts = sorted({r[0] for r in ranking.exact_quantiles(grid, score, sweep_levels(n)).select("quantile").collect()})
+    edges = F.array(*[F.lit(c) for c in cuts])
     w = Window.partitionBy(key).orderBy(date)
     s = F.col(score)
     around = F.greatest(s, F.lag(score).over(w), F.lead(score).over(w))
     rows = grid.withColumn("_near", around)
     rows = series.near_flags(rows, key, date, "event", "near_event")
-    levels = F.sort_array(F.collect_list("threshold"))
-    edges = cuts.agg(levels.alias("e")).scalar()
     # index of the highest threshold a score reaches; 0 reaches none
     reach = lambda c: F.size(F.filter(edges, lambda e: e <= c))
     counts = (
@@ -233,13 +234,12 @@ def alarm_sweep(grid: DataFrame, score: str, key: str = "cell", date: str = "d",
         .groupBy("ri", "rn", "event", "near_event")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    idx = cuts.select("threshold", F.array_position(edges, F.col("threshold")).alias("k"))
     hit, near = F.col("ri") >= F.col("k"), F.col("rn") >= F.col("k")
     # at most (n+1)^2*4 histogram rows meet n thresholds
-    table = counts.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(edges)))).withColumn("k", F.col("k").cast("bigint"))
+    table = counts.select("*", F.posexplode(edges).alias("_k", "threshold")).withColumn("k", F.col("_k") + 1)
     total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(F.lit(0)))
     ev, al, all_n = total(F.col("event")), total(hit), F.sum("n")
-    out = table.groupBy("k").agg(
+    return table.groupBy("threshold").agg(
         ev.alias("n_event_days"),
         al.alias("n_alarm_days"),
         (al / all_n).alias("alarm_rate"),
@@ -248,7 +248,6 @@ def alarm_sweep(grid: DataFrame, score: str, key: str = "cell", date: str = "d",
         (1 - total(F.col("event") & hit) / F.nullif(al, F.lit(0))).alias("far_strict"),
         (1 - total(F.col("near_event") & hit) / F.nullif(al, F.lit(0))).alias("far_1d"),
     )
-    return out.join(idx, "k").drop("k")
 
 
 def matched_rate(curves: DataFrame, targets: Sequence[float]) -> DataFrame:
@@ -290,33 +289,35 @@ def covariate_shift(train: DataFrame, test: DataFrame, features: Sequence[str])
 def fold_ids(df: DataFrame, group: str, k: int) -> DataFrame:
     """Fold per group: groups by size descending, dealt in serpentine order, so folds are balanced and none is split.
 
-    Groups are counted first; the ordering runs over groups, not rows.
+    Groups are counted first; the ordering runs over groups, not rows. Blocks of a quarter degree number about a million
+    on the whole globe, so one task orders them; more groups than that are ordered by size through a histogram.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.count()
     if total < k:
         raise ValueError(f"only {total} groups for {k} folds")
-    order = sizes.withColumn("_ord", F.concat_ws("|", F.lpad((F.lit(10**15) - F.col("_n")).cast("string"), 16, "0"), F.col(group).cast("string")))
-    ranked = ranking.running_totals(order.withColumn("_c", F.lit(1)), "_ord", ["_c"]) if total <= ranking.SMALL else _rank_groups(order)
-    pos = F.col("cum__c") - 1
+    if total <= ONE_TASK_GROUPS:
+        ranked = sizes.withColumn("_pos", F.row_number().over(Window.orderBy(F.col("_n").desc(), group)))
+    else:
+        ranked = _rank_groups(sizes, group)
+    pos = F.col("_pos") - 1
     lap, step = F.floor(pos / k), pos % k
     fold = F.when(lap % 2 == 0, step).otherwise(k - 1 - step)
     return ranked.select(group, fold.cast("int").alias("fold"))
 
 
-def _rank_groups(order: DataFrame) -> DataFrame:
-    """Position of each group by size, ties by name, through the size histogram."""
-    sizes = order.groupBy("_n").agg(F.count(F.lit(1)).alias("_m"))
-    cum = ranking.running_totals(sizes, "_n", ["_m"], descending=True)
+def _rank_groups(sizes: DataFrame, group: str) -> DataFrame:
+    """Position of each group by size; groups of equal size are ordered by hash bucket and then by name."""
+    classes = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_m"))
+    cum = ranking.running_totals(classes, "_n", ["_m"], descending=True)
     ahead = cum.select("_n", (F.col("cum__m") - F.col("_m")).alias("_ahead"))
-    buckets = order.withColumn("_b", F.pmod(F.xxhash64("_ord"), F.lit(1024)))
+    buckets = sizes.withColumn("_b", F.pmod(F.xxhash64(group), F.lit(4096)))
     counts = buckets.groupBy("_n", "_b").agg(F.count(F.lit(1)).alias("_bn"))
     w = Window.partitionBy("_n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_n", "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_n", "_b").orderBy("_ord"))
-    return buckets.withColumn("_i", inside).join(before, ["_n", "_b"]).join(ahead, "_n").withColumn(
-        "cum__c", F.col("_ahead") + F.col("_before") + F.col("_i")
-    )
+    inside = F.row_number().over(Window.partitionBy("_n", "_b").orderBy(group))
+    placed = buckets.withColumn("_i", inside).join(before, ["_n", "_b"]).join(ahead, "_n")
+    return placed.withColumn("_pos", F.col("_ahead") + F.col("_before") + F.col("_i"))
 
 
 def missingness(df: DataFrame, feature: str, label: str, covariate: str) -> DataFrame:
@@ -336,3 +337,129 @@ def missingness(df: DataFrame, feature: str, label: str, covariate: str) -> Data
 def feature_coverage(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     wide = df.groupBy(*keys).agg(*[(F.count(f) / F.count(F.lit(1))).alias(f) for f in features])
     return wide.unpivot(list(keys), list(features), "feature", "coverage")
+
+
+def summarise_folds(df: DataFrame, score: str, label: str, fold: str) -> DataFrame:
+    """Mean and population sd over the folds that have both classes, with the pooled value beside them."""
+    per = fold_metrics(df, score, label, [fold]).filter(F.col("pr_auc").isNotNull())
+    agg = per.groupBy().agg(
+        F.count(F.lit(1)).alias("n_folds"),
+        F.avg("pr_auc").alias("pr_auc_mean"),
+        F.stddev_pop("pr_auc").alias("pr_auc_sd"),
+        F.avg("roc_auc").alias("roc_auc_mean"),
+        F.avg("brier").alias("brier_mean"),
+    )
+    return _join([agg, average_precision(df, score, label).withColumnRenamed("pr_auc", "pooled_pr_auc")], [])
+
+
+def yearly_skill(flagged: DataFrame) -> DataFrame:
+    ev = F.count_if(F.col("event"))
+    return flagged.groupBy("year").agg(
+        ev.alias("events"),
+        (F.count_if(F.col("event") & F.col("near_alarm")) / F.nullif(ev, F.lit(0))).alias("pod_1d"),
+        (F.count_if(F.col("alarm")) / F.count_distinct("cell")).alias("alarms_per_cell"),
+    )
+
+
+def scoped_skill(flagged: DataFrame) -> DataFrame:
+    """Yearly skill for all domains together and for each one, in one pass.
+
+    Rows are reduced to (domain, year, cell) first, so the grouping sets expand cells and not cell-days.
+    """
+    cells = flagged.groupBy("domain", "year", "cell").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("event")).alias("ev"),
+        F.count_if(F.col("alarm")).alias("al"),
+        F.count_if(F.col("event") & F.col("near_alarm")).alias("hit"),
+    )
+    sets = cells.groupingSets([["year"], ["domain", "year"]], "domain", "year")
+    return sets.agg(
+        F.count_distinct("cell").alias("cells"),
+        F.sum("n").alias("cell_days"),
+        F.sum("ev").alias("events"),
+        (F.sum("al") / F.sum("n")).alias("alarm_rate"),
+        (F.sum("hit") / F.nullif(F.sum("ev"), F.lit(0))).alias("pod_1d"),
+    ).withColumn("scope", F.coalesce("domain", F.lit("all"))).drop("domain")
+
+
+def budgets_by_domain(grid: DataFrame, score: str, budgets: Sequence[float]) -> DataFrame:
+    """What one pooled threshold and what the domain's own threshold deliver in each domain, per alarm budget."""
+    probs = [1 - b for b in budgets]
+    own = ranking.exact_quantiles(grid, score, probs, ["domain"]).withColumn("kind", F.lit("own"))
+    pooled = ranking.exact_quantiles(grid, score, probs).withColumn("kind", F.lit("pooled"))
+    pooled = own.select("domain", "prob").join(pooled, "prob")
+    cuts = own.unionByName(pooled).select(
+        "domain", "kind", F.round(1 - F.col("prob"), 6).alias("budget"), F.col("quantile").alias("threshold")
+    )
+    w = Window.partitionBy("cell").orderBy("d")
+    s = F.col(score)
+    around = grid.withColumn("_near", F.greatest(s, F.lag(score).over(w), F.lead(score).over(w)))
+    hist = around.groupBy("domain", s.alias("s"), "_near", "event").agg(F.count(F.lit(1)).alias("n"))
+    at = hist.join(cuts, "domain")
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
+    ev = total(F.col("event"))
+    return at.groupBy("domain", "budget", "kind", "threshold").agg(
+        ev.alias("n_event_days"),
+        (total(F.col("s") >= F.col("threshold")) / F.sum("n")).alias("alarm_rate"),
+        (total(F.col("event") & (F.col("_near") >= F.col("threshold"))) / F.nullif(ev, F.lit(0))).alias("pod_1d"),
+    )
+
+
+def external_benchmark(df: DataFrame, ours: str, external: str, label: str) -> DataFrame:
+    """Both scores on the rows where both exist, with their rank correlation."""
+    both = df.filter(F.col(ours).isNotNull() & F.col(external).isNotNull())
+    rho = spearman(both, ours, external)
+    parts = []
+    for name, c in (("ours", ours), ("external", external)):
+        row = _join([average_precision(both, c, label), roc_auc(both, c, label), rho], [])
+        parts.append(row.withColumn("source", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+def ensemble_by_region(df: DataFrame, parts: Sequence[str], label: str, region: str) -> DataFrame:
+    """Equal-weight mean of within-region percentiles, judged by AUC per region with the mean and the worst."""
+    for p in parts:
+        df = rank_pct(df, p, f"_pct_{p}", [region])
+    total = sum((F.col(f"_pct_{p}") for p in parts), F.lit(0.0))
+    scored = df.withColumn("_e", F.round(total / len(parts), 9))
+    per = roc_auc(scored, "_e", label, [region])
+    every = Window.partitionBy()
+    return per.select(
+        region,
+        F.round("roc_auc", 9).alias("roc_auc"),
+        F.round(F.avg("roc_auc").over(every), 9).alias("mean_roc"),
+        F.round(F.min("roc_auc").over(every), 9).alias("worst_roc"),
+    )
+
+
+def gauge_skill(both: DataFrame, key: str, date: str) -> DataFrame:
+    """Raw correlation, rank correlation of seasonal percentiles and the hit rate on flood days, per gauge."""
+    p = series.seasonal_percentiles(both, key, date, {"obs": "po", "sim": "ps"})
+    ranked = F.col("po").isNotNull() & F.col("ps").isNotNull()
+    flood = F.col("ps").isNotNull() & (F.col("po") >= 0.98)
+    base = p.groupBy(key).agg(
+        F.count_if(ranked).alias("n_days"),
+        F.corr("obs", "sim").alias("pearson"),
+        F.count_if(flood).alias("n_flood_days"),
+        (F.count_if(flood & (F.col("ps") >= 0.95)) / F.nullif(F.count_if(flood), F.lit(0))).alias("hit_rate"),
+    )
+    return base.join(spearman(p, "po", "ps", [key]), key, "left")
+
+
+def drought_skill(panel: DataFrame, min_weeks: int) -> DataFrame:
+    """Per county: AUC of dryness against the D2 label and rank correlation with severity; NULL with one class."""
+    per = panel.groupBy("fips").agg(
+        F.count(F.lit(1)).alias("n_weeks"), F.sum("label").cast("bigint").alias("d2_weeks")
+    ).filter(F.col("n_weeks") >= min_weeks)
+    df = panel.select("fips", "label", "severity", (F.lit(1.0) - F.col("spi90")).alias("dry"), (-F.col("spi90")).alias("neg"))
+    out = per.join(roc_auc(df, "dry", "label", ["fips"]), "fips", "left").join(
+        spearman(df, "severity", "neg", ["fips"]), "fips", "left"
+    )
+    mixed = (F.col("d2_weeks") > 0) & (F.col("d2_weeks") < F.col("n_weeks"))
+    return out.select(
+        "fips",
+        "n_weeks",
+        "d2_weeks",
+        F.when(mixed, F.col("roc_auc")).alias("auc_spi90"),
+        F.when(mixed, F.col("spearman")).alias("spearman_sev_spi90"),
+    )

@@ -159,7 +159,7 @@ def pick_windows(scored: DataFrame, top: int, score: str, cells: int = WINDOW_CE
     Each round is one max over the remaining anchors; only the ``top`` picked anchors reach the driver.
     """
     picked: list[tuple] = []
-    left = scored
+    left = cut_lineage(scored)
     cols = [score, "events", "dates", "occupied", "ai", "aj"]
     for _ in range(top):
         row = left.agg(F.max(F.struct(*[F.col(c) for c in cols])).alias("b")).first()

@@ -350,10 +350,10 @@ def feature_coverage(t: Tables) -> DataFrame:
 
 @query(
     "dedupe_cell",
-    with_views("point", "SELECT id, segment FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY floor(lat/1e0), floor(lon/1e0) ORDER BY id) AS rn FROM point) WHERE rn = 1"),
+    with_views("point", "SELECT id, segment FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY floor(lat/5e0), floor(lon/5e0) ORDER BY id) AS rn FROM point) WHERE rn = 1"),
 )
 def dedupe_cell(t: Tables) -> DataFrame:
-    return sampling.dedupe_locations(t.point, F.col("id"), deg=1.0).select("id", "segment")
+    return sampling.dedupe_locations(t.point, F.col("id"), deg=5.0).select("id", "segment")
 
 
 @query(

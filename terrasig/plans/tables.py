@@ -212,7 +212,7 @@ class Tables:
             "cell",
             "d",
             F.when(F.col("cell") % 2 == 0, "us").otherwise("canada").alias("domain"),
-            F.round(0.7 * F.col("s3") + 0.3 * F.col("s30"), 2).alias("p"),
+            F.round(0.7 * F.col("s3") + 0.3 * F.col("s30") + 1e-7, 2).alias("p"),
             F.col("s3").alias("rule"),
             F.coalesce("event", F.lit(False)).alias("event"),
         )

@@ -111,7 +111,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "replay": (
         ("rain", "event_day"),
         """SELECT r.cell, r.d, CASE WHEN r.cell % 2 = 0 THEN 'us' ELSE 'canada' END AS domain,
-           ROUND(7e-1*r.s3 + 3e-1*r.s30, 2) AS p, r.s3 AS rule, e.cell IS NOT NULL AS event
+           ROUND(7e-1*r.s3 + 3e-1*r.s30 + 1e-7, 2) AS p, r.s3 AS rule, e.cell IS NOT NULL AS event
            FROM rain r LEFT JOIN event_day e ON e.cell = r.cell AND e.d = r.d
            WHERE r.d > DATE '1998-12-31' AND r.s3 IS NOT NULL AND r.s30 IS NOT NULL""",
     ),
