@@ -65,6 +65,11 @@ def flow_percentiles(flow: DataFrame, key: str, date: str, value: str) -> DataFr
     )
 
 
+def flow_rank(flow: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """Seasonal flow percentile alone: (key, date, flood_pctl)."""
+    return series.seasonal_percentiles(flow, key, date, {value: "flood_pctl"}).drop(value)
+
+
 def forecast_outlook(forecast: DataFrame, flow: DataFrame, key: str, date: str, value: str) -> DataFrame:
     """Rank each lead in the season of its own validity date; first lead and week maximum (earliest wins ties)."""
     leads = forecast.withColumn("valid", F.date_add("init", F.floor(F.col("lead_h") / 24).cast("int"))).withColumn(

@@ -303,9 +303,8 @@ def stratum_key(t: Tables) -> DataFrame:
     return e.select("event_id", sampling.stratum_id(F.col("lat"), F.col("lon"), F.col("d")).alias("stratum"))
 
 
-@query(
-    "geohash_key",
-    with_views(
+def geohash_sql() -> str:
+    return with_views(
         "place",
         "SELECT id, "
         + " || ".join(
@@ -318,8 +317,10 @@ def stratum_key(t: Tables) -> DataFrame:
             for c in range(7)
         )
         + """ AS geohash FROM (SELECT id, CAST(floor((lon+18e1)/36e1*262144) AS BIGINT) AS x, CAST(floor((lat+9e1)/18e1*131072) AS BIGINT) AS y FROM place)""",
-    ),
-)
+    )
+
+
+@query("geohash_key", geohash_sql())
 def geohash_key(t: Tables) -> DataFrame:
     return t.place.select("id", grids.geohash7(F.col("lat"), F.col("lon")).alias("geohash"))
 
