@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,32 +96,34 @@ def kbdi(
     date: str = "d",
     q0: str | None = None,
     r_annual: str | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """KBDI per cell-day. The recursion is sequential inside a cell and parallel over cells.
 
     ``q0`` and ``r_annual`` name columns holding the cell's starting deficiency and climatological annual rain (mm);
-    a window shorter than a year needs both. A cell's group is bounded by its calendar.
+    a window shorter than a year needs both. ``keep`` passes columns through, which is cheaper than joining the result
+    back. A cell's group is bounded by its calendar.
     """
-    extra = [c for c in (q0, r_annual) if c]
-    src = daily.select(key, date, "tmax", "precip", *extra)
-    schema = f"{key} {dict(daily.dtypes)[key]}, {date} date, kbdi double"
+    types = dict(daily.dtypes)
+    out = [key, date, *keep]
+    need = [c for c in ("tmax", "precip", q0, r_annual) if c and c not in out]
+    schema = ", ".join([*[f"{c} {types[c]}" for c in out], "kbdi double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date)
-        start = float(np.nan_to_num(pdf[q0].iloc[0])) if q0 else 0.0
-        annual = float(np.nan_to_num(pdf[r_annual].iloc[0])) if r_annual else None
-        values, _ = kbdi_fold(
-            pdf["tmax"].to_numpy("float64"), pdf["precip"].to_numpy("float64"), start, annual
-        )
-        return pd.DataFrame({key: pdf[key], date: pdf[date], "kbdi": values})
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(date)
+        numbers = lambda c: rows.column(c).to_numpy().astype("float64")
+        start = float(np.nan_to_num(numbers(q0)[0])) if q0 else 0.0
+        annual = float(np.nan_to_num(numbers(r_annual)[0])) if r_annual else None
+        values, _ = kbdi_fold(numbers("tmax"), numbers("precip"), start, annual)
+        # stored to 1e-6: days that are equal up to float noise must tie when they are ranked
+        return rows.select(out).append_column("kbdi", pa.array(np.round(values, 6)))
 
-    # stored to 1e-6: days that are equal up to float noise must tie when they are ranked
-    return src.groupBy(key).applyInPandas(run, schema).withColumn("kbdi", F.round("kbdi", 6))
+    return daily.select(*out, *need).groupBy(key).applyInArrow(run, schema)
 
 
 def fire_base(daily: DataFrame, key: str = "cell", date: str = "d") -> DataFrame:
     """Fire-weather raw values: KBDI, VPD, days since rain and the two antecedent totals."""
-    df = daily.join(kbdi(daily, key, date), [key, date])
+    df = kbdi(daily, key, date, keep=("tmax", "precip", "rh", "ws"))
     df = df.withColumn("vpd", vpd_kpa(F.col("tmax"), F.col("rh")))
     df = series.days_since(df, key, date, F.col("precip") >= WET_DAY_MM, "days_since_rain")
     return series.rolling_sums(df, key, date, "precip", (30, 90), "precip_")
@@ -168,7 +170,7 @@ def fire_features(daily: DataFrame, key: str = "cell", date: str = "d") -> DataF
 
 def world_signals(daily: DataFrame, key: str = "cell", date: str = "d", **kbdi_options: str) -> DataFrame:
     """The nine climatology signals per cell-day, wide."""
-    df = daily.join(kbdi(daily, key, date, **kbdi_options), [key, date])
+    df = kbdi(daily, key, date, keep=("tmax", "precip", "rh", "ws"), **kbdi_options)
     df = df.withColumn("vpd", vpd_kpa(F.col("tmax"), F.col("rh")))
     df = series.rolling_sums(df, key, date, "precip", (3, 30), "rain")
     df = series.rolling_sums(df, key, date, "precip", (90, 180, 365), "spi", suffix="")

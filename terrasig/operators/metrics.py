@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasig.operators import ranking, series
+from terrasig.session import cut_lineage
 
 DAYS_PER_YEAR = 365.25
 SWEEP_POINTS = 40
@@ -30,11 +31,11 @@ def average_precision(df: DataFrame, score: str, label: str, keys: Sequence[str]
     )
 
 
-def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     """Mann-Whitney AUC with mid-ranks; NULL when a class is missing."""
     hist = ranking.score_histogram(df, score, label, keys)
     hist = hist.withColumn("neg", F.col("n") - F.col("pos"))
-    cum = ranking.running_totals(hist, "score", ["pos", "neg"], keys)
+    cum = ranking.running_totals(hist, "score", ["pos", "neg"], keys, bounded=bounded)
     won = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2.0)
     pairs = (F.max("tot_pos") * F.max("tot_neg")).cast("double")
     return cum.groupBy(*keys).agg(F.when(pairs > 0, F.sum(won) / pairs).alias("roc_auc"))
@@ -65,6 +66,7 @@ def _join(parts: list[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 def fold_metrics(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """PR-AUC, ROC-AUC, Brier, ECE, lift, size and base rate per key."""
+    df = cut_lineage(df.select(*keys, score, label))
     parts = [
         base_metrics(df, score, label, keys),
         average_precision(df, score, label, keys),
@@ -146,7 +148,11 @@ def threshold_for_recall(df: DataFrame, score: str, label: str, key: str, target
 
 
 def tie_safe_thresholds(df: DataFrame, score: str, budgets: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Smallest distinct score whose served alarm rate (score >= threshold) fits the budget, else the largest score."""
+    """Smallest distinct score whose served alarm rate (score >= threshold) fits the budget, else the largest score.
+
+    The uncorrected quantile is reported beside it. Both read the same running totals.
+    """
+    keys = list(keys)
     hist = ranking.score_histogram(df, score, None, keys)
     cum = ranking.running_totals(hist, "score", ["n"], keys, descending=True)
     rate = F.col("cum_n") / F.col("tot_n")
@@ -155,20 +161,24 @@ def tie_safe_thresholds(df: DataFrame, score: str, budgets: Sequence[float], key
         F.min(F.when(F.col("rate") <= F.col("budget"), F.struct("score", "rate"))).alias("_fit"),
         F.max(F.struct("score", "rate")).alias("_top"),
     )
+    naive = ranking.histogram_quantiles(cum, "score", [1 - b for b in budgets], keys, descending=True)
+    naive = naive.select(*keys, F.round(1 - F.col("prob"), 9).alias("budget"), F.col("quantile").alias("naive_quantile"))
     pick = F.coalesce("_fit", "_top")
-    return best.select(
+    return best.join(naive, [*keys, "budget"]).select(
         *keys,
         "budget",
         pick["score"].alias("threshold"),
         pick["rate"].alias("achieved_alarm_rate"),
         F.round(pick["rate"] * DAYS_PER_YEAR, 1).alias("alarm_days_per_cell_year"),
+        "naive_quantile",
     )
 
 
-def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     """Rank correlation with average ranks over rows where both values exist."""
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
-    ranked = ranking.average_ranks(ranking.average_ranks(both, a, "_ra", keys), b, "_rb", keys)
+    ranked = ranking.average_ranks(both, a, "_ra", keys, bounded=bounded)
+    ranked = ranking.average_ranks(ranked, b, "_rb", keys, bounded=bounded)
     return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("spearman"))
 
 
@@ -215,6 +225,7 @@ def alarm_sweep(grid: DataFrame, score: str, key: str = "cell", date: str = "d",
     three numbers once and histogrammed by how many thresholds they reach: the grid is scanned once, not n times. Only
     the at most n thresholds come to the driver.
     """
+    grid = cut_lineage(grid.select(key, date, score, "event"))
     cuts = sorted({r[0] for r in ranking.exact_quantiles(grid, score, sweep_levels(n)).select("quantile").collect()})
     edges = F.array(*[F.lit(c) for c in cuts])
     w = Window.partitionBy(key).orderBy(date)
@@ -385,6 +396,7 @@ def scoped_skill(flagged: DataFrame) -> DataFrame:
 def budgets_by_domain(grid: DataFrame, score: str, budgets: Sequence[float]) -> DataFrame:
     """What one pooled threshold and what the domain's own threshold deliver in each domain, per alarm budget."""
     probs = [1 - b for b in budgets]
+    grid = cut_lineage(grid.select("cell", "d", "domain", score, "event"))
     own = ranking.exact_quantiles(grid, score, probs, ["domain"]).withColumn("kind", F.lit("own"))
     pooled = ranking.exact_quantiles(grid, score, probs).withColumn("kind", F.lit("pooled"))
     pooled = own.select("domain", "prob").join(pooled, "prob")
@@ -443,17 +455,21 @@ def gauge_skill(both: DataFrame, key: str, date: str) -> DataFrame:
         F.count_if(flood).alias("n_flood_days"),
         (F.count_if(flood & (F.col("ps") >= 0.95)) / F.nullif(F.count_if(flood), F.lit(0))).alias("hit_rate"),
     )
-    return base.join(spearman(p, "po", "ps", [key]), key, "left")
+    return base.join(spearman(p, "po", "ps", [key], bounded=True), key, "left")
 
 
 def drought_skill(panel: DataFrame, min_weeks: int) -> DataFrame:
-    """Per county: AUC of dryness against the D2 label and rank correlation with severity; NULL with one class."""
+    """Per county: AUC of dryness against the D2 label and rank correlation with severity; NULL with one class.
+
+    A county's weeks are bounded by the calendar. The panel is written once because three statistics read it.
+    """
+    panel = cut_lineage(panel.select("fips", "label", "severity", "spi90"))
     per = panel.groupBy("fips").agg(
         F.count(F.lit(1)).alias("n_weeks"), F.sum("label").cast("bigint").alias("d2_weeks")
     ).filter(F.col("n_weeks") >= min_weeks)
     df = panel.select("fips", "label", "severity", (F.lit(1.0) - F.col("spi90")).alias("dry"), (-F.col("spi90")).alias("neg"))
-    out = per.join(roc_auc(df, "dry", "label", ["fips"]), "fips", "left").join(
-        spearman(df, "severity", "neg", ["fips"]), "fips", "left"
+    out = per.join(roc_auc(df, "dry", "label", ["fips"], bounded=True), "fips", "left").join(
+        spearman(df, "severity", "neg", ["fips"], bounded=True), "fips", "left"
     )
     mixed = (F.col("d2_weeks") > 0) & (F.col("d2_weeks") < F.col("n_weeks"))
     return out.select(

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasig.session import cut_lineage
+
 RANGES = 256
 SMALL = 200_000
 
@@ -32,11 +34,20 @@ def running_totals(
     keys: Sequence[str] = (),
     descending: bool = False,
     small: int = SMALL,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Inclusive running totals ``cum_<c>`` and group totals ``tot_<c>`` of a tie-free histogram."""
+    """Inclusive running totals ``cum_<c>`` and group totals ``tot_<c>`` of a tie-free histogram.
+
+    ``bounded`` says that a key's rows are limited by construction (a cell's calendar, a county's weeks), so one window
+    per key is enough. Otherwise the histogram is written once and its size decides.
+    """
     keys = list(keys)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    cuts = _cuts(hist, value, small)
+    if bounded and not keys:
+        raise ValueError("a bounded ordering needs keys")
+    if not bounded:
+        hist = cut_lineage(hist)
+    cuts = [] if bounded else _cuts(hist, value, small)
     if not cuts:
         w = Window.partitionBy(*keys)
         run = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -64,9 +75,19 @@ def running_totals(
     )
 
 
-def average_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), small: int = SMALL) -> DataFrame:
+def average_ranks(
+    df: DataFrame, value: str, out: str, keys: Sequence[str] = (), small: int = SMALL, bounded: bool = False
+) -> DataFrame:
     """Mid-rank of every row (ties share the average); NULL values get NULL. ``<out>_n`` is the group size."""
     keys = list(keys)
+    if bounded:
+        present = F.col(value).isNotNull()
+        w = Window.partitionBy(*keys)
+        ties = F.count(value).over(w.orderBy(F.col(value).asc_nulls_last()).rangeBetween(Window.currentRow, Window.currentRow))
+        below = F.count(value).over(w.orderBy(F.col(value).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumns(
+            {out: F.when(present, below - (ties - 1) / 2.0), f"{out}_n": F.when(present, F.count(value).over(w))}
+        )
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     cum = running_totals(hist, value, ["_c"], keys, small=small)
     ranks = cum.select(
@@ -82,15 +103,22 @@ def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), small: int = SMALL
 ) -> DataFrame:
     """Linearly interpolated quantiles over all rows: one output row per (keys, prob)."""
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return histogram_quantiles(running_totals(hist, value, ["n"], keys, small=small), value, probs, keys)
+
+
+def histogram_quantiles(
+    cum: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), descending: bool = False
+) -> DataFrame:
+    """Quantiles read from running totals of counts ``n``."""
     keys = list(keys)
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_totals(hist, value, ["_c"], keys, small=small)
     at = cum.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn(
-        "_h", (F.col("tot__c") - 1) * F.col("prob")
+        "_h", (F.col("tot_n") - 1) * F.col("prob")
     )
-    first = F.col("cum__c") - F.col("_c")
+    end = F.col("tot_n") - F.col("cum_n") + F.col("n") if descending else F.col("cum_n")
+    first = end - F.col("n")
     lo, hi = F.floor("_h"), F.ceil("_h")
-    holds = lambda pos: (first <= pos) & (pos < F.col("cum__c"))
+    holds = lambda pos: (first <= pos) & (pos < end)
     picked = at.filter(holds(lo) | holds(hi))
     return (
         picked.groupBy(*keys, "prob")

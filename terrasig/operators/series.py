@@ -76,14 +76,16 @@ def alltime_percentiles(
     df: DataFrame, key: str, columns: dict[str, str], missing_as: float | None = None
 ) -> DataFrame:
     """Inclusive share of the key's whole record at or below the value: ``{value column: output column}``."""
+    whole = Window.partitionBy(key)
+    df = df.withColumns({f"_n_{v}": F.count(v).over(whole) for v in columns})
     for value, out in columns.items():
-        below = F.count(value).over(Window.partitionBy(key).orderBy(value))
-        n = F.count(value).over(Window.partitionBy(key))
+        below = F.count(value).over(whole.orderBy(value))
+        n = F.col(f"_n_{value}")
         pctl = F.when(F.col(value).isNotNull(), below.cast("double") / n)
         if missing_as is not None:
             pctl = F.when(F.col(value).isNull() & (n > 0), F.lit(missing_as)).otherwise(pctl)
         df = df.withColumn(out, pctl)
-    return df
+    return df.drop(*[f"_n_{v}" for v in columns])
 
 
 def _at_or_below(pool_desc: Column, value: Column) -> Column:

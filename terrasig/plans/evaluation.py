@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasig.operators import metrics, ranking
+from terrasig.operators import metrics
 from terrasig.plans.aggregates import PANEL_SQL, TERRAIN_SQL, panel, rounded, terrain_table
 from terrasig.plans.registry import query
 from terrasig.plans.tables import Tables
@@ -119,12 +119,7 @@ def threshold_for_recall(t: Tables) -> DataFrame:
     ),
 )
 def tie_safe_threshold(t: Tables) -> DataFrame:
-    budgets = (0.02, 0.05, 0.10)
-    grid = t.replay.select("domain", "p")
-    safe = metrics.tie_safe_thresholds(grid, "p", budgets, ["domain"])
-    naive = ranking.exact_quantiles(grid, "p", [1 - b for b in budgets], ["domain"])
-    naive = naive.select("domain", F.round(1 - F.col("prob"), 6).alias("budget"), F.col("quantile").alias("naive_quantile"))
-    return safe.join(naive, ["domain", "budget"])
+    return metrics.tie_safe_thresholds(t.replay.select("domain", "p"), "p", (0.02, 0.05, 0.10), ["domain"])
 
 
 @query(
