@@ -248,3 +248,8 @@ def register(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     first = wanted.groupBy("geohash").agg(F.min_by(F.struct(*[c for c in wanted.columns if c != "geohash"]), "id").alias("_r"))
     new = first.select("geohash", "_r.*").join(existing.select("geohash"), "geohash", "left_anti")
     return existing.unionByName(new.select(existing.columns))
+
+
+def case_table(cases: DataFrame, scores: DataFrame, keys: list[str], expectation: Column) -> DataFrame:
+    """Case rows with their scores and whether the expectation was met; a case without scores keeps NULLs."""
+    return cases.join(scores, keys, "left").withColumn("met", expectation)

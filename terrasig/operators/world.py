@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrasig.functions.dates import FORTNIGHTS, fortnight
+from terrasig.operators import climate
+
 POPULATED = 1000.0
+WINDOW_DAYS = 400
 PARITY_BAR = 0.10
 
 
@@ -61,3 +65,31 @@ def parity(ranks: DataFrame, point: DataFrame, signals: Sequence[str]) -> DataFr
         F.avg("diff").alias("mean_abs_diff"),
         (F.avg("diff") <= PARITY_BAR).alias("pass"),
     )
+
+
+def seeds(ladder: DataFrame, scoring_fortnight: Column, window_days: int) -> DataFrame:
+    """Starting deficiency and climatological annual rain per cell, read from the ladder: ``cell, q0, r_annual``.
+
+    A short window that started saturated would never dry to a desert's equilibrium, and rain measured inside the window
+    would bake that year's anomaly into the drying rate. Both come from the cell's own record instead: the median
+    deficiency of the window's first fortnight, and the mean over the fortnights of the median yearly total.
+    """
+    median = F.element_at("q", 11)
+    start = F.pmod(scoring_fortnight - F.lit(window_days // 14), F.lit(FORTNIGHTS))
+    return ladder.filter(F.col("signal").isin("kbdi", "spi365")).groupBy("cell").agg(
+        F.max(F.when((F.col("signal") == "kbdi") & (F.col("fortnight") == start), median)).alias("q0"),
+        F.avg(F.when(F.col("signal") == "spi365", median)).alias("r_annual"),
+    )
+
+
+def score_window(daily: DataFrame, ladder: DataFrame, day: Column, days: int = WINDOW_DAYS) -> DataFrame:
+    """Percentile fields of one day from a trailing window and the stored ladder alone.
+
+    The filter on the date reaches the scan, so a nightly run reads ``days`` days and not the archive.
+    """
+    window = daily.filter(F.col("d").between(F.date_sub(day, days), day))
+    seeded = window.join(seeds(ladder, fortnight(day), days + 1), "cell")
+    signals = climate.world_signals(seeded, q0="q0", r_annual="r_annual").filter(F.col("d") == day)
+    long = signals.unpivot(["cell", "d"], list(climate.LADDER_SIGNALS), "signal", "v").filter(F.col("v").isNotNull())
+    ranked = long.withColumn("fortnight", fortnight(F.col("d"))).join(ladder, ["signal", "cell", "fortnight"])
+    return ranked.select("signal", "cell", "d", climate.ladder_rank(F.col("v"), F.col("q")).alias("pctl"))

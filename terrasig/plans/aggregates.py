@@ -9,7 +9,7 @@ from terrasig.operators import climate, metrics, raster, sampling, spatial, terr
 from terrasig.plans.basics import CLEAN_SQL, raw_catalog
 from terrasig.plans.registry import query
 from terrasig.plans.tables import Tables
-from terrasig.plans.timeseries import FIRE_SQL, SPI_SQL, WORLD_SQL, world_ranks
+from terrasig.plans.timeseries import FIRE_SQL, SPI_SQL, WORLD_SQL, ladder_of, world_ranks
 from terrasig.plans.views import seasonal_sql, with_views
 from terrasig.sources import catalog
 
@@ -509,3 +509,69 @@ def parity_report(t: Tables) -> DataFrame:
     )
 
 
+
+
+SEED_SQL = (
+    *WORLD_SQL,
+    (
+        "seed",
+        """SELECT cell, MAX(CASE WHEN signal = 'kbdi' AND fortnight = (LEAST((dayofyear(DATE '2001-11-04')-1)//14, 25) - 401//14 + 52) % 26 THEN q[11] END) AS q0,
+           AVG(CASE WHEN signal = 'spi365' THEN q[11] END) AS r_annual FROM ladder GROUP BY 1""",
+    ),
+    (
+        "vx",
+        """SELECT d.cell, d.d, ROW_NUMBER() OVER (PARTITION BY d.cell ORDER BY d.d) AS rn, COALESCE(tmax, 15e0)*9e0/5e0 + 32e0 AS tf, COALESCE(precip, 0e0)/254e-1 AS r,
+           1e0 + 1088e-2*exp(-441e-4*s.r_annual/254e-1) AS denom, s.q0 FROM daily d JOIN seed s ON s.cell = d.cell WHERE d.d BETWEEN DATE '2001-11-04' - 400 AND DATE '2001-11-04'""",
+    ),
+    (
+        "vz",
+        """SELECT CAST(0 AS BIGINT) AS rn, cell, 0e0 AS spell, COALESCE(q0, 0e0) AS q FROM (SELECT DISTINCT cell, q0 FROM vx)
+           UNION ALL SELECT /*rec*/ y.rn, y.cell, CASE WHEN y.r > 0 THEN z.spell + y.r ELSE 0e0 END,
+             LEAST(8e2, GREATEST(0e0, z.q - 1e2*CASE WHEN y.r <= 0 THEN 0e0 WHEN z.spell >= 2e-1 THEN y.r ELSE GREATEST(0e0, z.spell + y.r - 2e-1) END)
+               + (8e2 - GREATEST(0e0, z.q - 1e2*CASE WHEN y.r <= 0 THEN 0e0 WHEN z.spell >= 2e-1 THEN y.r ELSE GREATEST(0e0, z.spell + y.r - 2e-1) END))
+               * CASE WHEN y.tf > 5e1 THEN GREATEST(0e0, 968e-3*exp(486e-4*y.tf) - 83e-1)*1e-3/y.denom ELSE 0e0 END)
+           FROM vz z JOIN vx y ON y.rn = z.rn + 1 AND y.cell = z.cell""",
+    ),
+    (
+        "vs",
+        """SELECT s.cell, s.d, s.signal, CASE WHEN s.signal = 'kbdi' THEN ROUND(z.q, 6) ELSE s.v END AS v, s.fortnight FROM sigl s LEFT JOIN vz z ON z.cell = s.cell AND z.rn = 401
+           WHERE s.d = DATE '2001-11-04' AND (s.v IS NOT NULL OR s.signal = 'kbdi')""",
+    ),
+    (
+        "vr",
+        """SELECT signal, cell, d, CASE WHEN k = 0 THEN 0e0 WHEN k >= 21 THEN 1e0 ELSE (kc-1)*5e-2 + CASE WHEN q[kc+1] > q[kc] THEN GREATEST(0e0, LEAST(1e0, (v-q[kc])/(q[kc+1]-q[kc]))) ELSE 1e0 END*5e-2 END AS pctl
+           FROM (SELECT s.signal, s.cell, s.d, s.v, l.q, len(list_filter(l.q, lambda x: x <= s.v)) AS k, GREATEST(1, LEAST(20, len(list_filter(l.q, lambda x: x <= s.v)))) AS kc
+                 FROM vs s JOIN ladder l ON l.signal = s.signal AND l.cell = s.cell AND l.fortnight = s.fortnight)""",
+    ),
+)
+
+
+@query("world_window", with_views("roll", "SELECT signal, cell, d, ROUND(pctl, 6) AS pctl FROM vr", *SEED_SQL))
+def world_window(t: Tables) -> DataFrame:
+    ladder = ladder_of(t, climate.world_signals(t.daily))
+    out = world.score_window(t.daily, ladder, F.lit("2001-11-04").cast("date"))
+    return rounded(out, ["pctl"], 6)
+
+
+@query(
+    "case_studies",
+    with_views(
+        "event rain",
+        """SELECT e.event_id, e.hazard, r.s3, r.s30, CASE e.hazard WHEN 'landslide' THEN GREATEST(r.s3, r.s30) >= 95e-2 WHEN 'fire' THEN r.s30 <= 20e-2 ELSE r.s30 <= 5e-2 END AS met
+           FROM (SELECT *, ['landslide', 'fire', 'drought'][CAST(event_id % 3 + 1 AS BIGINT)] AS hazard FROM event) e LEFT JOIN rain r ON r.cell = e.cell AND r.d = e.d""",
+    ),
+)
+def case_studies(t: Tables) -> DataFrame:
+    """Expectations fixed before scoring, joined with the scores; misses stay in the table."""
+    from terrasig.operators import serving
+
+    hazard = F.element_at(F.array(F.lit("landslide"), F.lit("fire"), F.lit("drought")), (F.col("event_id") % 3 + 1).cast("int"))
+    cases = t.event.withColumn("hazard", hazard)
+    expect = (
+        F.when(F.col("hazard") == "landslide", F.greatest("s3", "s30") >= 0.95)
+        .when(F.col("hazard") == "fire", F.col("s30") <= 0.20)
+        .otherwise(F.col("s30") <= 0.05)
+    )
+    return serving.case_table(cases, t.rain.select("cell", "d", "s3", "s30"), ["cell", "d"], expect).select(
+        "event_id", "hazard", "s3", "s30", "met"
+    )
