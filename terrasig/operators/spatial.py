@@ -8,7 +8,7 @@ every point near it row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasig.functions import geo, grids
@@ -74,23 +74,29 @@ def without_neighbours(candidates: DataFrame, positives: DataFrame, key: str, mi
     reach = _reach(pts, _occupied(pos), edge).filter(F.col("_min") <= edge)
     whole = F.col("_max") < edge * (1 - 2 * SLACK)
     sure = reach.filter(whole).select("id")
-    rim = reach.filter(~whole).select("id", F.col("lat").alias("_la"), F.col("lon").alias("_lo"), *_CELL)
-    close = rim.join(pos.select(*_CELL, F.col("lat").alias("_pla"), F.col("lon").alias("_plo")), list(_CELL)).filter(
-        geo.haversine_m(F.col("_la"), F.col("_lo"), F.col("_pla"), F.col("_plo")) < min_m
-    )
-    out = sure.unionByName(close.select("id")).distinct().withColumnRenamed("id", key)
+    rim = reach.filter(~whole).select("id", "lat", "lon", *_CELL).join(sure.distinct(), "id", "left_anti").alias("r")
+    # a semi join stops at the first close positive, so a crowded cell emits one row per candidate and not all pairs
+    p = pos.select(*_CELL, "lat", "lon").alias("p")
+    same = [F.col(f"r.{c}") == F.col(f"p.{c}") for c in _CELL]
+    close = geo.haversine_m(F.col("r.lat"), F.col("r.lon"), F.col("p.lat"), F.col("p.lon")) < min_m
+    hit = rim.join(p, [*same, close], "left_semi")
+    out = sure.unionByName(hit.select("id")).distinct().withColumnRenamed("id", key)
     return candidates.join(out, key, "left_anti")
 
 
-def nearest(points: DataFrame, vertices: DataFrame, first_m: float = 20_000.0, growth: float = 8.0) -> DataFrame:
+def nearest(points: DataFrame, vertices: DataFrame, first_m: float = 500.0, growth: float = 16.0) -> DataFrame:
     """Nearest vertex of every point with its surface distance (m): ``id, vertex, metres``.
 
+    Points and vertices are first reduced to distinct coordinates, and the first ring is small, so a crowded spot meets
+    only the vertices of cells a few dozen metres wide.
+
     Rings grow until each point has a hit inside the ring's own edge, which proves that nothing nearer lies outside. In a
     ring only the fine cells that can still beat the best cell's farthest corner are opened. The number of rounds is
     fixed by the size of the Earth, and a round works only on the points that are still open.
     """
     ways = vertices.groupBy("lat", "lon").agg(F.min("id").alias("vertex"))
-    pending = points.select("id", "lat", "lon")
+    at = points.groupBy("lat", "lon").agg(F.min("id").alias("id"))
+    pending = at.select("id", "lat", "lon")
     done: DataFrame | None = None
     edge = geo.chord(first_m)
     while True:
@@ -98,8 +104,9 @@ def nearest(points: DataFrame, vertices: DataFrame, first_m: float = 20_000.0, g
         edge = min(edge, 2.0)
         v = _with_cells(ways, edge)
         reach = _reach(_with_cells(pending, edge), _occupied(v), edge)
-        best = reach.groupBy("id").agg(F.min("_max").alias("_best"))
-        front = reach.join(best, "id").filter(F.col("_min") <= F.col("_best") * (1 + SLACK))
+        # a point sees at most 27 x 512 occupied cells, whatever they hold
+        best = F.min("_max").over(Window.partitionBy("id"))
+        front = reach.withColumn("_best", best).filter(F.col("_min") <= F.col("_best") * (1 + SLACK))
         opened = front.select("id", F.col("lat").alias("_la"), F.col("lon").alias("_lo"), *_CELL, "x", "y", "z").join(
             v.select("vertex", "lat", "lon", *_CELL, *[F.col(a).alias(f"_{a}") for a in "xyz"]), list(_CELL)
         )
@@ -119,7 +126,8 @@ def nearest(points: DataFrame, vertices: DataFrame, first_m: float = 20_000.0, g
         done = found if done is None else done.unionByName(found)
         pending = state.filter(F.col("vertex").isNull()).select("id", "lat", "lon")
         if last or pending.isEmpty():
-            return done
+            spots = at.join(done, "id").select("lat", "lon", "vertex", "metres")
+            return points.select("id", "lat", "lon").join(spots, ["lat", "lon"]).select("id", "vertex", "metres")
         edge *= growth
 
 

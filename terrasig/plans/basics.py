@@ -181,8 +181,9 @@ def src_nested_explode(t: Tables) -> DataFrame:
         (((F.col("l_partkey") * 7919) % 11000) / 100.0 - 55.0).alias("lat"),
         (((F.col("l_suppkey") * 104729) % 36000) / 100.0 - 180.0).alias("lon"),
     )
-    ways = t.read("lineitem").groupBy(F.col("l_orderkey").alias("way")).agg(F.collect_list(vertex).alias("geometry"))
-    doc = ways.select("way", F.array(F.struct("geometry")).alias("elements"))
+    doc = t.read("lineitem").select(
+        F.col("l_orderkey").alias("way"), F.array(F.struct(F.array(vertex).alias("geometry"))).alias("elements")
+    )
     return payloads.nested_vertices(doc, ["way"], "elements")
 
 

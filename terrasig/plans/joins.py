@@ -182,7 +182,7 @@ NEAREST_SQL = (
 
 @query("nearest_neighbour", with_views("point place", "SELECT id, ROUND(metres, 3) AS metres FROM nn", NEAREST_SQL))
 def nearest_neighbour(t: Tables) -> DataFrame:
-    return spatial.nearest(t.point, t.place, 200_000.0).select("id", F.round("metres", 3).alias("metres"))
+    return spatial.nearest(t.point, t.place).select("id", F.round("metres", 3).alias("metres"))
 
 
 @query(
