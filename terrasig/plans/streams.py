@@ -57,11 +57,23 @@ def session_spell(t: Tables) -> DataFrame:
 
 def land(df: DataFrame, path: str, part: str, values: list) -> StructType:
     """Land a table as ordered files, one folder per value of ``part``, and return its schema."""
+    files = df.sparkSession.sparkContext.defaultParallelism
     for i, v in enumerate(values):
-        df.filter(F.col(part) == v).drop(part).write.parquet(f"{path}/{i:03d}")
+        df.filter(F.col(part) == v).drop(part).coalesce(files).write.parquet(f"{path}/{i:03d}")
     return df.drop(part).schema
 
 
+def arrivals(t: Tables, root: str, df: DataFrame, part: str, values: list, job, sink=None) -> None:
+    """Land one part after the other and let the restarted stream process each: one micro-batch per arrival."""
+    sink = sink or tables.log_sink(f"{root}/log")
+    files = t.spark.sparkContext.defaultParallelism
+    body = df.drop(part)
+    with state_settings(t):
+        for i, v in enumerate(values):
+            df.filter(F.col(part) == v).drop(part).coalesce(files).write.parquet(f"{root}/in/{i:03d}")
+            tables.run_available(job(tables.read_files(t.spark, f"{root}/in", body.schema)), sink, f"{root}/cp")
+
+
 @query("stream_ingest", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_ingest(t: Tables) -> DataFrame:
     root = tables.scratch(t.spark, "ingest")
@@ -82,20 +94,18 @@ def late_data(t: Tables) -> DataFrame:
     third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).cast("int")
     e = events(t).select("event_id", "ts", "value")
     revised = e.filter(F.dayofmonth("ts") == 5).withColumns({"value": F.col("value") + 1, "part": F.lit(3)})
-    schema = land(e.withColumn("part", third).unionByName(revised), f"{root}/in", "part", [0, 1, 2, 3])
-    stream = tables.read_files(t.spark, f"{root}/in", schema, per_trigger=1)
-    tables.run_available(stream, tables.log_sink(f"{root}/log"), f"{root}/cp")
-    return tables.current(t.spark, f"{root}/log", ["event_id"], schema).select("event_id", "value")
+    arrivals(t, root, e.withColumn("part", third).unionByName(revised), "part", [0, 1, 2, 3], lambda df: df)
+    return tables.current(t.spark, f"{root}/log", ["event_id"], e.schema).select("event_id", "value")
 
 
-def landed_daily(t: Tables, root: str) -> StructType:
-    """Daily weather with the climatological rain of the cell, landed as three ordered files."""
+def parted_daily(t: Tables) -> DataFrame:
+    """Daily weather with the climatological rain of the cell, in three consecutive parts."""
     d = t.daily.select("cell", "d", "tmax", "precip")
     rain = d.groupBy("cell").agg(
         (F.sum(F.coalesce("precip", F.lit(0.0))) / F.greatest(F.lit(1.0), F.count(F.lit(1)) / 365.25)).alias("r_annual")
     )
     part = F.when(F.col("d") < F.lit("1997-06-01").cast("date"), 0).when(F.col("d") < F.lit("1999-12-15").cast("date"), 1)
-    return land(d.join(rain, "cell").withColumn("part", part.otherwise(2)), f"{root}/in", "part", [0, 1, 2])
+    return d.join(rain, "cell").withColumn("part", part.otherwise(2))
 
 
 @query(
@@ -109,31 +119,38 @@ def landed_daily(t: Tables, root: str) -> StructType:
 )
 def stateful_kbdi(t: Tables) -> DataFrame:
     root = tables.scratch(t.spark, "kbdi")
-    schema = landed_daily(t, root)
-    with rocksdb(t):
-        stream = tables.read_files(t.spark, f"{root}/in", schema, per_trigger=8)
-        tables.run_available(stateful.live_fire(stream), tables.log_sink(f"{root}/log"), f"{root}/cp")
+    arrivals(t, root, parted_daily(t), "part", [0, 1, 2], stateful.live_fire)
     out = tables.current(t.spark, f"{root}/log", ["cell", "d"], StructType.fromDDL(stateful.KBDI_OUT))
     return out.select("cell", "d", "kbdi", "days_since_rain")
 
 
-class rocksdb:
-    """Stateful operators with timers need the RocksDB state store; the session's own setting is put back."""
+class state_settings:
+    """Settings of a stateful stream, put back afterwards.
 
-    KEY = "spark.sql.streaming.stateStore.providerClass"
+    Timers and typed state need the RocksDB store. The number of state partitions is fixed for the life of a checkpoint,
+    so it follows the cluster's cores and not the batch shuffle setting.
+    """
 
     def __init__(self, t: Tables):
         self.spark = t.spark
+        cores = 2 * t.spark.sparkContext.defaultParallelism
+        parts = min(cores, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+        self.wanted = {
+            "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            "spark.sql.shuffle.partitions": str(parts),
+        }
 
     def __enter__(self) -> None:
-        self.before = self.spark.conf.get(self.KEY, None)
-        self.spark.conf.set(self.KEY, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        self.before = {k: self.spark.conf.get(k, None) for k in self.wanted}
+        for k, v in self.wanted.items():
+            self.spark.conf.set(k, v)
 
     def __exit__(self, *_: object) -> None:
-        if self.before is None:
-            self.spark.conf.unset(self.KEY)
-        else:
-            self.spark.conf.set(self.KEY, self.before)
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
 
 
 @query(
@@ -149,13 +166,17 @@ class rocksdb:
 def stream_rank(t: Tables) -> DataFrame:
     """Streamed days ranked against the static ladder."""
     root = tables.scratch(t.spark, "rank")
-    schema = landed_daily(t, root)
     ladder = climate.quantile_ladder(t.daily.select("cell", "d", "tmax"), ["tmax"]).drop("signal")
-    stream = tables.read_files(t.spark, f"{root}/in", schema, per_trigger=8).filter(F.col("tmax").isNotNull())
-    ranked = stream.withColumn("fortnight", fortnight(F.col("d"))).join(ladder, ["cell", "fortnight"])
-    ranked = ranked.select("cell", "d", F.round(climate.ladder_rank(F.col("tmax"), F.col("q")), 9).alias("pctl"))
-    tables.run_available(ranked, tables.log_sink(f"{root}/log"), f"{root}/cp")
-    return tables.current(t.spark, f"{root}/log", ["cell", "d"], ranked.schema)
+    ladder.write.parquet(f"{root}/ladder")
+    ladder = t.spark.read.parquet(f"{root}/ladder")
+
+    def rank(df: DataFrame) -> DataFrame:
+        keyed = df.filter(F.col("tmax").isNotNull()).withColumn("fortnight", fortnight(F.col("d")))
+        pctl = F.round(climate.ladder_rank(F.col("tmax"), F.col("q")), 9).alias("pctl")
+        return keyed.join(ladder, ["cell", "fortnight"]).select("cell", "d", pctl)
+
+    arrivals(t, root, parted_daily(t), "part", [0, 1, 2], rank)
+    return tables.current(t.spark, f"{root}/log", ["cell", "d"], StructType.fromDDL("cell bigint, d date, pctl double"))
 
 
 @query("stale_timer")
@@ -163,11 +184,8 @@ def stale_timer(t: Tables) -> DataFrame:
     """Users that fall silent for one and two days, raised by event-time timers."""
     root = tables.scratch(t.spark, "stale")
     e = events(t).select("user_id", "ts").withColumn("part", F.least(F.floor((F.dayofmonth("ts") - 1) / 5), F.lit(5)).cast("int"))
-    schema = land(e, f"{root}/in", "part", [0, 1, 2, 3, 4, 5])
-    with rocksdb(t):
-        stream = tables.read_files(t.spark, f"{root}/in", schema, per_trigger=1)
-        alerts = stateful.stale_alerts(stream, "user_id", "1 hour", stateful.StaleTimerOneDay())
-        tables.run_available(alerts, tables.log_sink(f"{root}/log"), f"{root}/cp")
+    job = lambda df: stateful.stale_alerts(df, "user_id", "1 hour", stateful.StaleTimerOneDay())
+    arrivals(t, root, e, "part", [0, 1, 2, 3, 4, 5], job)
     return tables.current(t.spark, f"{root}/log", ["key", "last_seen", "level"], StructType.fromDDL(stateful.STALE_OUT))
 
 
@@ -180,7 +198,6 @@ def stream_publish(t: Tables) -> DataFrame:
     root = tables.scratch(t.spark, "publish")
     third = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).cast("int")
     e = events(t).select("event_id", "user_id", "ts", "event_type").withColumn("part", third)
-    schema = land(e, f"{root}/in", "part", [0, 1, 2])
     write = tables.log_sink(f"{root}/log")
 
     def publish(df: DataFrame, batch_id: int) -> None:
@@ -190,6 +207,6 @@ def stream_publish(t: Tables) -> DataFrame:
         write(day, batch_id)
         write(day, batch_id)
 
-    tables.run_available(tables.read_files(t.spark, f"{root}/in", schema, per_trigger=8), publish, f"{root}/cp")
+    arrivals(t, root, e, "part", [0, 1, 2], lambda df: df, publish)
     out = StructType.fromDDL("location_id bigint, as_of date, status string")
     return tables.current(t.spark, f"{root}/log", ["location_id", "as_of"], out)
