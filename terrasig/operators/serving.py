@@ -13,6 +13,39 @@ BOARD_ORDER = {"red": 0, "yellow": 1, "unknown": 2, "green": 3}
 PRECIP_FLAGS = ("extreme_rain", "drought_3mo", "drought_structural", "fire_weather")
 STALE_AFTER_DAYS = 7
 
+# Fixed texts of the published status.
+RIVER_RED = "The river is exceptionally high for this time of year. Stay aware of water levels and local warnings."
+SOURCES_DISAGREE = (
+    "Rainfall sources disagree here right now, so rain-based scores are not trustworthy. Treat those as unknown and "
+    "rely on local guidance."
+)
+RIVER_STILL_HIGH = " The river, measured independently, IS running high -- watch water levels."
+SLOPE_RED = (
+    "Rain here is extreme for this time of year and the slopes nearby are the kind that fail. Be careful on and below "
+    "steep ground."
+)
+SLOPE_STALE = (
+    "Rain was extreme for the season in the most recent data, which is ",
+    " days old (upstream delay). Treat slopes with caution and check local warnings.",
+)
+FIRE_RED = "Fire weather is dangerous today: unusually hot, dry conditions. A fire that starts can spread fast."
+WATCH = ("Worth watching: ", ". Not an alert, but conditions are unusual.")
+WATCH_RAIN = "rain is unusually heavy for the season"
+WATCH_RIVER = "the river is running high"
+WATCH_FIRE = "fire weather is elevated"
+WATCH_SPI90 = "the last three months have been exceptionally dry"
+WATCH_SPI365 = "a long drought is in progress"
+WATCH_FORECAST = "the river is forecast to run exceptionally high around "
+NO_WEATHER = "No fresh weather available for this location."
+ALL_NORMAL = "Nothing unusual for this location today."
+LAYER_TEXT = {
+    "red": "Rain here is well above normal for this time of year, and this is the kind of slope that fails. Take care "
+    "on and below steep ground today.",
+    "amber": "Rain here is above normal for this time of year. The ground here is less prone to sliding, but stay aware.",
+    "green": "Rainfall here is normal for this time of year. Nothing unusual today.",
+    "unknown": "Not enough data to score this location yet.",
+}
+
 
 def yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
@@ -42,6 +75,13 @@ def two_layer_status(susc: Column, trig: Column, susc_thr: Column, trig_thr: Col
     )
 
 
+def layer_message(status: Column) -> Column:
+    text = F.lit(None).cast("string")
+    for s, words in LAYER_TEXT.items():
+        text = F.when(status == s, F.lit(words)).otherwise(text)
+    return text
+
+
 def phrases(*parts: Column, sep: str = "; ") -> Column:
     return F.concat_ws(sep, F.array_compact(F.array(*parts)))
 
@@ -77,15 +117,15 @@ def compose_status(df: DataFrame) -> DataFrame:
     fire = yes(F.col("fire_alert"))
     watch = F.array_compact(
         F.array(
-            F.when(yes(rain >= 0.95), "rain is unusually heavy for the season"),
-            F.when(yes(flood >= 0.95), "the river is running high"),
-            F.when(yes(F.col("fire_watch")), "fire weather is elevated"),
-            F.when(yes(F.col("spi90") <= 0.05), "the last three months have been exceptionally dry"),
-            F.when(yes(F.col("spi365") <= 0.05), "a long drought is in progress"),
+            F.when(yes(rain >= 0.95), WATCH_RAIN),
+            F.when(yes(flood >= 0.95), WATCH_RIVER),
+            F.when(yes(F.col("fire_watch")), WATCH_FIRE),
+            F.when(yes(F.col("spi90") <= 0.05), WATCH_SPI90),
+            F.when(yes(F.col("spi365") <= 0.05), WATCH_SPI365),
             F.when(
                 yes(F.col("flood_week_max_pctl") >= 0.98),
                 F.concat(
-                    F.lit("the river is forecast to run exceptionally high around "),
+                    F.lit(WATCH_FORECAST),
                     F.coalesce(F.col("flood_week_max_date").cast("string"), F.lit("this week")),
                 ),
             ),
@@ -101,21 +141,19 @@ def compose_status(df: DataFrame) -> DataFrame:
         .when(F.col("rain3d_pctl").isNull(), "unknown")
         .otherwise("green")
     )
+    age = F.col("staleness_days").cast("string")
     message = (
-        F.when(river_red, "river exceptionally high for the season")
+        F.when(river_red, RIVER_RED)
         .when(
             disagree,
-            F.concat(
-                F.lit("rain sources disagree; rain-based scores are unknown"),
-                F.when(yes(flood >= 0.95), "; the river, measured independently, is running high").otherwise(""),
-            ),
+            F.concat(F.lit(SOURCES_DISAGREE), F.when(yes(flood >= 0.95), RIVER_STILL_HIGH).otherwise("")),
         )
-        .when(slope & ~stale, "extreme rain on slopes that can fail")
-        .when(slope, F.concat(F.lit("rain was extreme in data "), F.col("staleness_days").cast("string"), F.lit(" days old")))
-        .when(fire, "dangerous fire weather")
-        .when(F.size(watch) > 0, F.concat(F.lit("worth watching: "), F.concat_ws("; ", watch)))
-        .when(F.col("rain3d_pctl").isNull(), "no fresh weather")
-        .otherwise("nothing unusual")
+        .when(slope & ~stale, SLOPE_RED)
+        .when(slope, F.concat(F.lit(SLOPE_STALE[0]), age, F.lit(SLOPE_STALE[1])))
+        .when(fire, FIRE_RED)
+        .when(F.size(watch) > 0, F.concat(F.lit(WATCH[0]), F.concat_ws("; ", watch), F.lit(WATCH[1])))
+        .when(F.col("rain3d_pctl").isNull(), NO_WEATHER)
+        .otherwise(ALL_NORMAL)
     )
     return df.withColumns({"status": status, "message": message})
 

@@ -72,17 +72,21 @@ def hazard_blocks(t: Tables) -> DataFrame:
     return state(t).select("cell", "d", "fire_danger", "fire_alert", "fire_watch", "drought_tier", "flood_pctl", "flood_alert")
 
 
-YELLOW_SQL = """concat_ws('; ', CASE WHEN rain >= 95e-2 THEN 'rain is unusually heavy for the season' END, CASE WHEN flood_pctl >= 95e-2 THEN 'the river is running high' END,
-    CASE WHEN fire_watch THEN 'fire weather is elevated' END, CASE WHEN spi90 <= 5e-2 THEN 'the last three months have been exceptionally dry' END, CASE WHEN spi365 <= 5e-2 THEN 'a long drought is in progress' END,
-    CASE WHEN flood_week_max_pctl >= 98e-2 THEN 'the river is forecast to run exceptionally high around ' || CAST(flood_week_max_date AS VARCHAR) END)"""
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+YELLOW_SQL = f"""concat_ws('; ', CASE WHEN rain >= 95e-2 THEN {_q(serving.WATCH_RAIN)} END, CASE WHEN flood_pctl >= 95e-2 THEN {_q(serving.WATCH_RIVER)} END,
+    CASE WHEN fire_watch THEN {_q(serving.WATCH_FIRE)} END, CASE WHEN spi90 <= 5e-2 THEN {_q(serving.WATCH_SPI90)} END, CASE WHEN spi365 <= 5e-2 THEN {_q(serving.WATCH_SPI365)} END,
+    CASE WHEN flood_week_max_pctl >= 98e-2 THEN {_q(serving.WATCH_FORECAST)} || CAST(flood_week_max_date AS VARCHAR) END)"""
 
 
 def compose_sql(src: str) -> str:
     return f"""SELECT * EXCLUDE (yl, rain, slope), CASE WHEN flood_pctl >= 98e-2 THEN 'red' WHEN data_quality = 'disagree' THEN 'unknown' WHEN slope AND NOT COALESCE(staleness_days > 7, FALSE) THEN 'red' WHEN slope THEN 'yellow'
         WHEN fire_alert THEN 'red' WHEN yl <> '' THEN 'yellow' WHEN rain3d_pctl IS NULL THEN 'unknown' ELSE 'green' END AS status,
-        CASE WHEN flood_pctl >= 98e-2 THEN 'river exceptionally high for the season' WHEN data_quality = 'disagree' THEN 'rain sources disagree; rain-based scores are unknown' || CASE WHEN flood_pctl >= 95e-2 THEN '; the river, measured independently, is running high' ELSE '' END
-        WHEN slope AND NOT COALESCE(staleness_days > 7, FALSE) THEN 'extreme rain on slopes that can fail' WHEN slope THEN 'rain was extreme in data ' || staleness_days || ' days old' WHEN fire_alert THEN 'dangerous fire weather'
-        WHEN yl <> '' THEN 'worth watching: ' || yl WHEN rain3d_pctl IS NULL THEN 'no fresh weather' ELSE 'nothing unusual' END AS message
+        CASE WHEN flood_pctl >= 98e-2 THEN {_q(serving.RIVER_RED)} WHEN data_quality = 'disagree' THEN {_q(serving.SOURCES_DISAGREE)} || CASE WHEN flood_pctl >= 95e-2 THEN {_q(serving.RIVER_STILL_HIGH)} ELSE '' END
+        WHEN slope AND NOT COALESCE(staleness_days > 7, FALSE) THEN {_q(serving.SLOPE_RED)} WHEN slope THEN {_q(serving.SLOPE_STALE[0])} || staleness_days || {_q(serving.SLOPE_STALE[1])} WHEN fire_alert THEN {_q(serving.FIRE_RED)}
+        WHEN yl <> '' THEN {_q(serving.WATCH[0])} || yl || {_q(serving.WATCH[1])} WHEN rain3d_pctl IS NULL THEN {_q(serving.NO_WEATHER)} ELSE {_q(serving.ALL_NORMAL)} END AS message
         FROM (SELECT *, {YELLOW_SQL} AS yl, COALESCE(rain >= 98e-2 AND susceptibility_nearby_max >= 3e-1, FALSE) AS slope FROM (SELECT *, GREATEST(rain3d_pctl, rain30d_pctl) AS rain FROM {src}))"""
 
 
@@ -129,13 +133,15 @@ def tier_routing(t: Tables) -> DataFrame:
     "status_two_layer",
     with_views(
         "rain",
-        """SELECT cell, d, CASE WHEN su IS NULL OR s3 IS NULL THEN 'unknown' WHEN s3 < 95e-2 THEN 'green' WHEN su >= 5e-1 THEN 'red' ELSE 'amber' END AS status
-           FROM (SELECT cell, d, s3, CASE WHEN cell % 9 <> 0 THEN ((cell*37) % 100)/1e2 END AS su FROM rain)""",
+        f"""SELECT cell, d, status, CASE status {' '.join(f"WHEN '{k}' THEN {_q(v)}" for k, v in serving.LAYER_TEXT.items())} END AS message FROM (
+           SELECT cell, d, CASE WHEN su IS NULL OR s3 IS NULL THEN 'unknown' WHEN s3 < 95e-2 THEN 'green' WHEN su >= 5e-1 THEN 'red' ELSE 'amber' END AS status
+           FROM (SELECT cell, d, s3, CASE WHEN cell % 9 <> 0 THEN ((cell*37) % 100)/1e2 END AS su FROM rain))""",
     ),
 )
 def status_two_layer(t: Tables) -> DataFrame:
     su = F.when(F.col("cell") % 9 != 0, ((F.col("cell") * 37) % 100) / 100.0)
-    return t.rain.select("cell", "d", serving.two_layer_status(su, F.col("s3"), F.lit(0.5), F.lit(0.95)).alias("status"))
+    status = serving.two_layer_status(su, F.col("s3"), F.lit(0.5), F.lit(0.95))
+    return t.rain.select("cell", "d", status.alias("status")).withColumn("message", serving.layer_message(F.col("status")))
 
 
 _FLAGS = ("rainfall_3d_extreme_for_season", "fuel_dryness_extreme_for_season", "atmospheric_dryness_extreme_for_season", "heat_extreme_for_season", "3-month_precipitation_deficit_severe", "6-month_precipitation_deficit_severe", "river_flow_extreme_for_season")

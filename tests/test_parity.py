@@ -156,3 +156,31 @@ def test_replayed_batch_does_not_double(spark, out_dir):
     sink(df.withColumn("v", F.lit("z")), 1)
     got = tables.current(spark, f"{out_dir}/log", ["k"], df.schema).collect()
     assert sorted(map(tuple, got)) == [(1, "z"), (2, "z")]
+
+
+def test_one_cell_with_a_third_of_all_rows_changes_nothing(spark):
+    """Rows of a hot cell are combined before the shuffle; every result equals the one computed from reduced rows."""
+    from terrasig.operators import climate, series
+
+    hot = spark.range(60_000).select(F.lit(1).alias("cell"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 500).cast("int")).alias("d"), F.lit(0.5).alias("v"))
+    rest = spark.range(120_000).select((2 + F.col("id") % 40).cast("int").alias("cell"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 499).cast("int")).alias("d"), F.lit(0.25).alias("v"))
+    raw = hot.unionByName(rest)
+    reduced = raw.groupBy("cell", "d").agg(F.sum("v").alias("precip"))
+    lo, hi = F.lit("2000-01-01").cast("date"), F.lit("2001-05-14").cast("date")
+    dense = series.densify(reduced, "cell", "d", lo, hi)
+    assert dense.groupBy("cell").count().agg(F.min("count"), F.max("count")).first() == (500, 500)
+    assert dense.agg(F.sum("precip")).first()[0] == raw.agg(F.sum("v")).first()[0]
+    got = climate.rain_features(dense).filter("cell = 1").agg(F.min("precip_3d"), F.max("precip_3d")).first()
+    assert got == (180.0, 180.0)
+
+
+def test_crowded_spot_keeps_every_pixel(spark):
+    """A third of the pixels share one fine cell; sums stay whole and exclusion emits one row per candidate."""
+    crowd = spark.range(20_000).select(F.col("id"), (10 + F.col("id") * 1e-8).alias("lat"), F.lit(20.0).alias("lon"), F.lit(1.0).alias("people"))
+    far = spark.range(40_000).select((F.col("id") + 20_000).alias("id"), (-60 + F.col("id") * 1e-3).alias("lat"), F.lit(-90.0).alias("lon"), F.lit(1.0).alias("people"))
+    pixels = crowd.unionByName(far)
+    places = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.05, 20.0)], "id int, lat double, lon double")
+    got = {r["id"]: r["n"] for r in spatial.radius_sum(places, pixels, 10.0, "people", "n").collect()}
+    assert got == {1: 20_000.0, 2: 20_000.0}
+    clear = spatial.without_neighbours(pixels, places, "id", 500.0)
+    assert clear.count() == 40_000
