@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrasig.functions.numbers import clip
+
 EARTH_M = 6_371_000.0
 EARTH_KM = 6371.0088
 
@@ -15,7 +17,7 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0)
     )
-    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))))
+    return F.lit(2.0 * radius) * F.asin(F.sqrt(clip(a, 0.0, 1.0)))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

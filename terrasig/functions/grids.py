@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrasig.functions.numbers import clip
+
 # Fixed values of the geohash alphabet.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 # Fixed shape of the world grid: latitude step 0.5, longitude step 0.625.
@@ -37,7 +39,7 @@ def world_cell(lat: Column, lon: Column) -> tuple[Column, Column]:
     """Row and column of the world grid; longitude wraps, the polar rows are half height."""
     i = _floor_long((lat + 90.0 + WORLD_DLAT / 2) / F.lit(WORLD_DLAT))
     j = F.pmod(_floor_long((lon + 180.0 + WORLD_DLON / 2) / F.lit(WORLD_DLON)), F.lit(WORLD_NLON).cast("bigint"))
-    return F.greatest(F.lit(0).cast("bigint"), F.least(i, F.lit(WORLD_NLAT - 1).cast("bigint"))), j
+    return clip(i, 0, WORLD_NLAT - 1).cast("bigint"), j
 
 
 def tile(x: Column, deg: float) -> Column:
@@ -59,8 +61,8 @@ def lon180(lon: Column) -> Column:
 def geohash7(lat: Column, lon: Column) -> Column:
     """Seven-character geohash: 18 longitude bits and 17 latitude bits, interleaved longitude first."""
     top_lon, top_lat = (1 << 18) - 1, (1 << 17) - 1
-    x = F.greatest(F.lit(0), F.least(F.lit(top_lon), F.floor((lon + 180.0) / 360.0 * F.lit(1 << 18)))).cast("bigint")
-    y = F.greatest(F.lit(0), F.least(F.lit(top_lat), F.floor((lat + 90.0) / 180.0 * F.lit(1 << 17)))).cast("bigint")
+    x = clip(F.floor((lon + 180.0) / 360.0 * F.lit(1 << 18)), 0, top_lon).cast("bigint")
+    y = clip(F.floor((lat + 90.0) / 180.0 * F.lit(1 << 17)), 0, top_lat).cast("bigint")
     chars = []
     for c in range(7):
         code = F.lit(0).cast("bigint")

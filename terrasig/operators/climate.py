@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasig.functions.dates import fortnight
+from terrasig.functions.numbers import clip
 from terrasig.operators import series
 
 RAIN_WINDOWS = (1, 3, 7, 14, 30)
@@ -25,7 +26,7 @@ WET_DAY_MM = 2.5
 def vpd_kpa(tmax: Column, rh: Column) -> Column:
     """Vapour-pressure deficit from the day's maximum temperature; humidity is clipped to 0-100."""
     es = F.lit(0.6108) * F.exp(F.lit(17.27) * tmax / (tmax + F.lit(237.3)))
-    return es * (F.lit(1.0) - F.greatest(F.lit(0.0), F.least(F.lit(100.0), rh)) / F.lit(100.0))
+    return es * (F.lit(1.0) - clip(rh, 0.0, 100.0) / F.lit(100.0))
 
 
 def rain_features(daily: DataFrame, key: str = "cell", date: str = "d", value: str = "precip") -> DataFrame:
@@ -198,7 +199,7 @@ def ladder_rank(value: Column, q: Column, rungs: int = LADDER_RUNGS) -> Column:
     lo, hi = F.element_at(q, lo_i), F.element_at(q, lo_i + 1)
     frac = F.when(hi > lo, (value - lo) / (hi - lo)).otherwise(F.lit(1.0))
     step = 1.0 / (rungs - 1)
-    between = (lo_i - 1) * F.lit(step) + F.greatest(F.lit(0.0), F.least(F.lit(1.0), frac)) * F.lit(step)
+    between = (lo_i - 1) * F.lit(step) + clip(frac, 0.0, 1.0) * F.lit(step)
     rank = F.when(k == 0, F.lit(0.0)).when(k >= rungs, F.lit(1.0)).otherwise(between)
     return F.when(value.isNotNull() & q.isNotNull(), rank)
 

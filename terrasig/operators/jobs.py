@@ -18,12 +18,16 @@ def nightly_update(
     trust: DataFrame,
     cut: Column,
     as_of: Column,
+    fire: DataFrame | None = None,
+    fire_threshold: float = 0.98,
+    watch_threshold: float = 0.95,
 ) -> DataFrame:
     """Merge, fill, rank, compose: the published row of every location.
 
     ``history`` and ``tail`` (cell, d, precip) split at ``cut``; ``backup`` (cell, d, other) bridges a stalled tail and
     carries the calendar; ``flow`` (cell, d, flood_pctl); ``trust`` (cell, data_quality). ``as_of`` is the run date,
-    so a re-run gives the same table.
+    so a re-run gives the same table. ``fire`` (cell, fire_date, fire_danger) adds the fire branch; an alert needs trusted
+    sources and a reading at most a week old.
     """
     filled = fill(history, tail, backup, cut, as_of)
     df = series.rolling_sums(filled, "cell", "d", "precip", (3, 30, 90, 365), "p")
@@ -39,6 +43,15 @@ def nightly_update(
         .join(places, "cell", "left")
         .withColumn("staleness_days", F.col("staleness_days").cast("bigint"))
     )
+    if fire is not None:
+        fresh = F.datediff(as_of, F.col("fire_date")) <= serving.STALE_AFTER_DAYS
+        trusted = ~serving.yes(F.col("data_quality") == "disagree")
+        state = state.join(fire, "cell", "left").withColumns(
+            {
+                "fire_alert": serving.yes((F.col("fire_danger") >= fire_threshold) & fresh) & trusted,
+                "fire_watch": serving.yes(F.col("fire_danger") >= watch_threshold),
+            }
+        )
     for name, kind in (
         ("fire_alert", "boolean"),
         ("fire_watch", "boolean"),

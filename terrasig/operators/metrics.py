@@ -188,6 +188,16 @@ def rank_pct(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> D
     return ranked.withColumn(out, F.col("_r") / F.col("_r_n")).drop("_r", "_r_n")
 
 
+def rank_pct_many(df: DataFrame, key: str, values: Sequence[str], group: str) -> DataFrame:
+    """Average-tie rank shares of several columns within a group, all in one ordering of the unpivoted values."""
+    long = df.select(key, group, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(
+        [key, group], list(values), "_name", "_v"
+    )
+    ranked = rank_pct(long, "_v", "_p", [group, "_name"])
+    back = ranked.groupBy(key).agg(*[F.max(F.when(F.col("_name") == v, F.col("_p"))).alias(v) for v in values])
+    return df.drop(*values).join(back, key)
+
+
 # ---- alarms on a replayed grid of cell-days
 
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrasig.functions.numbers import clip
+
 RECENT_DAYS = 120
 MIN_MONTHS = 48
 FILL_AFTER_DAYS = 5
 MIN_OVERLAP_DAYS = 120
-# Fixed correction limits per field: (mode, lower, upper).
-CORRECTION_LIMITS = {
-    "precip": ("ratio", 0.25, 4.0),
-    "ws": ("ratio", 0.05, 4.0),
-    "tmax": ("offset", -10.0, 10.0),
-    "rh": ("offset", -10.0, 10.0),
+# Fixed correction per field: mode, limits of the correction, clamp of the corrected value.
+CORRECTIONS = {
+    "precip": ("ratio", (0.25, 4.0), None),
+    "tmax": ("offset", (-10.0, 10.0), None),
+    "rh": ("offset", (-10.0, 10.0), (1.0, 100.0)),
+    "ws": ("ratio", (0.05, 4.0), None),
 }
 
 
@@ -87,32 +89,46 @@ def fill_trailing_gap(
     limits: tuple[float, float] = (0.25, 4.0),
     clamp: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Bridge only the days after the primary's last value from a bias-corrected second source.
+    """Bridge one field's trailing gap; see ``fill_trailing_gaps``."""
+    return fill_trailing_gaps(primary, other, key, date, {value: (other_value, mode, limits, clamp)}, as_of)
+
+
+def fill_trailing_gaps(
+    primary: DataFrame, other: DataFrame, key: str, date: str, fields: dict[str, tuple], as_of: Column
+) -> DataFrame:
+    """Bridge only the days after each field's last value from a bias-corrected second source.
 
-    Gaps inside the record stay gaps: filling them would move the climatology every percentile is taken against. Both
-    statistics come from one aggregate over the outer join, so the two sources meet in a single shuffle.
+    ``fields`` maps a primary column to (other column, "ratio" or "offset", correction limits, value clamp or None).
+    Gaps inside the record stay gaps: filling them would move the climatology every percentile is taken against. The two
+    sources meet in one outer join and all corrections come from one aggregate over it.
     """
     both = primary.withColumn("_had", F.lit(True)).join(other, [key, date], "full_outer")
-    shared = F.col(value).isNotNull() & F.col(other_value).isNotNull()
-    p, e = F.when(shared, F.col(value)), F.when(shared, F.col(other_value))
-    if mode == "ratio":
-        corr = (F.coalesce(F.sum(p), F.lit(0.0)) + 1.0) / (F.coalesce(F.sum(e), F.lit(0.0)) + 1.0)
-    else:
-        corr = F.avg(p - e)
-    stats = both.groupBy(key).agg(
-        F.max(F.when(F.col(value).isNotNull(), F.col(date))).alias("_last"),
-        F.count(p).alias("_overlap"),
-        F.least(F.lit(limits[1]), F.greatest(F.lit(limits[0]), corr)).alias("_corr"),
-    )
-    fixed = F.col(other_value) * F.col("_corr") if mode == "ratio" else F.col(other_value) + F.col("_corr")
-    if clamp:
-        fixed = F.greatest(F.lit(clamp[0]), F.least(F.lit(clamp[1]), fixed))
-    due = (
-        (F.col(date) > F.col("_last"))
-        & (F.col("_overlap") >= MIN_OVERLAP_DAYS)
-        & (F.datediff(as_of, F.col("_last")) > FILL_AFTER_DAYS)
-    )
-    filled = both.join(stats, key).withColumn(
-        value, F.coalesce(F.col(value), F.when(due, F.round(fixed, 3)))
-    )
-    return filled.filter(F.col("_had") | F.col(value).isNotNull()).select(key, date, value)
+    aggs = []
+    for i, (value, (source, mode, limits, _)) in enumerate(fields.items()):
+        shared = F.col(value).isNotNull() & F.col(source).isNotNull()
+        p, e = F.when(shared, F.col(value)), F.when(shared, F.col(source))
+        if mode == "ratio":
+            corr = (F.coalesce(F.sum(p), F.lit(0.0)) + 1.0) / (F.coalesce(F.sum(e), F.lit(0.0)) + 1.0)
+        else:
+            corr = F.avg(p - e)
+        aggs += [
+            F.max(F.when(F.col(value).isNotNull(), F.col(date))).alias(f"_last{i}"),
+            F.count(p).alias(f"_overlap{i}"),
+            F.least(F.lit(limits[1]), F.greatest(F.lit(limits[0]), corr)).alias(f"_corr{i}"),
+        ]
+    df = both.join(both.groupBy(key).agg(*aggs), key)
+    filled = {}
+    for i, (value, (source, mode, _, clamp)) in enumerate(fields.items()):
+        fixed = F.col(source) * F.col(f"_corr{i}") if mode == "ratio" else F.col(source) + F.col(f"_corr{i}")
+        if clamp:
+            fixed = clip(fixed, *clamp)
+        due = (
+            (F.col(date) > F.col(f"_last{i}"))
+            & (F.col(f"_overlap{i}") >= MIN_OVERLAP_DAYS)
+            & (F.datediff(as_of, F.col(f"_last{i}")) > FILL_AFTER_DAYS)
+        )
+        filled[value] = F.coalesce(F.col(value), F.when(due, F.round(fixed, 3)))
+    some = F.col("_had")
+    for value in fields:
+        some = some | F.col(value).isNotNull()
+    return df.withColumns(filled).filter(some).select(key, date, *fields)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasig.functions.numbers import clip
+
 # Fixed class codes of the global lithology map.
 LITHOLOGY = {
     1: ("su", "unconsolidated sediments"),
@@ -69,7 +71,7 @@ def pixel_of(lat: Column, lon: Column, size: int) -> dict[str, Column]:
     """Tile corner and (row, col) of the pixel under a point; rows run north to south and edges are clamped."""
     la, lo = F.floor(lat / TILE_DEG) * TILE_DEG, F.floor(lon / TILE_DEG) * TILE_DEG
     step = TILE_DEG / size
-    inside = lambda x: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.floor(x).cast("int")))
+    inside = lambda x: clip(F.floor(x).cast("int"), 0, size - 1)
     return {
         "tile_lat": la.cast("bigint"),
         "tile_lon": lo.cast("bigint"),

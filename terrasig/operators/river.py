@@ -38,7 +38,7 @@ def snap_channel(points: DataFrame, medians: DataFrame) -> DataFrame:
 
 def match_gauge(points: DataFrame, medians: DataFrame) -> DataFrame:
     """River cell whose log median is closest to the gauge's; cells under 1 m3/s are no candidates."""
-    near = _nearby(points, medians, F.col("med") >= 1.0)
+    near = _nearby(points.filter(F.col("gauge_median").isNotNull()), medians, F.col("med") >= 1.0)
     err = F.round(F.abs(F.log10("med") - F.log10(F.greatest(F.lit(0.1), F.col("gauge_median")))), 9)
     best = near.withColumn("err", err).groupBy("id").agg(
         F.min_by(F.struct("cell", "err"), F.struct("err", "di", "dj")).alias("_b")

@@ -304,6 +304,7 @@ def register_upsert(t: Tables) -> DataFrame:
 NIGHT_SQL = (
     *AGREE_SQL,
     *RIVER_SQL,
+    *FIRE_SQL,
     ("nh", "SELECT cell, d, precip FROM daily WHERE d < DATE '2001-01-01' UNION ALL SELECT cell, d, precip2 FROM rain2 WHERE d >= DATE '2001-01-01'"),
     ("nl", "SELECT cell, MAX(d) AS last FROM nh WHERE precip IS NOT NULL GROUP BY 1"),
     (
@@ -330,13 +331,22 @@ NIGHT_SQL = (
     (
         "night",
         """SELECT s.cell, s.d AS as_of, s.rain3d_pctl, s.rain30d_pctl, s.spi90, s.spi365, q.flood_pctl, v.combined AS data_quality, CAST(DATE '2001-11-10' - s.d AS BIGINT) AS staleness_days,
-           ((s.cell*37) % 100)/1e2 AS susceptibility_nearby_max, FALSE AS fire_alert, FALSE AS fire_watch, CAST(NULL AS DOUBLE) AS flood_week_max_pctl, CAST(NULL AS DATE) AS flood_week_max_date
+           ((s.cell*37) % 100)/1e2 AS susceptibility_nearby_max, f.vpd_pctl_seasonal AS fire_danger, COALESCE(f.vpd_pctl_seasonal >= 98e-2 AND DATE '2001-11-10' - f.d <= 7, FALSE) AND COALESCE(v.combined, 'ok') <> 'disagree' AS fire_alert,
+           COALESCE(f.vpd_pctl_seasonal >= 95e-2, FALSE) AS fire_watch, CAST(NULL AS DOUBLE) AS flood_week_max_pctl, CAST(NULL AS DATE) AS flood_week_max_date
            FROM ns s JOIN (SELECT cell, MAX(d) AS d FROM nf WHERE precip IS NOT NULL GROUP BY 1) m ON m.cell = s.cell AND m.d = s.d
-           LEFT JOIN rq q ON q.cell = s.cell AND q.d = s.d LEFT JOIN sv v ON v.cell = s.cell""",
+           LEFT JOIN rq q ON q.cell = s.cell AND q.d = s.d LEFT JOIN sv v ON v.cell = s.cell
+           LEFT JOIN (SELECT f.* FROM fire f JOIN (SELECT cell, MAX(d) AS d FROM daily WHERE tmax IS NOT NULL GROUP BY 1) x ON x.cell = f.cell AND x.d = f.d WHERE f.rn > 365) f ON f.cell = s.cell""",
     ),
 )
 
 
+def fire_reading(t: Tables) -> DataFrame:
+    """Danger of each cell on its freshest day with a temperature."""
+    rows = climate.fire_features(t.daily).filter(F.col("tmax_c").isNotNull())
+    newest = rows.groupBy("cell").agg(F.max(F.struct("d", "vpd_pctl_seasonal")).alias("r"))
+    return newest.select("cell", F.col("r.d").alias("fire_date"), F.col("r.vpd_pctl_seasonal").alias("fire_danger"))
+
+
 def nightly(t: Tables) -> DataFrame:
     flow = river.flow_rank(t.river_day.select("cell", "d", "m3s"), "cell", "d", "m3s")
     places = t.place.select(
@@ -351,18 +361,19 @@ def nightly(t: Tables) -> DataFrame:
         trust=verdicts(t).select("cell", F.col("verdict").alias("data_quality")),
         cut=F.lit("2001-01-01").cast("date"),
         as_of=F.lit("2001-11-10").cast("date"),
+        fire=fire_reading(t),
     )
 
 
 @query(
     "nightly_update",
     with_views(
-        "daily rain2 river_day",
-        f"SELECT cell AS location_id, as_of, staleness_days, status, message, rain3d_pctl, rain30d_pctl, spi90, spi365, flood_pctl FROM ({compose_sql('night')})",
+        "roll rain2 river_day",
+        f"SELECT cell AS location_id, as_of, staleness_days, status, message, rain3d_pctl, rain30d_pctl, spi90, spi365, fire_danger, flood_pctl FROM ({compose_sql('night')})",
         *NIGHT_SQL,
     ),
 )
 def nightly_update(t: Tables) -> DataFrame:
     return nightly(t).select(
-        "location_id", "as_of", "staleness_days", "status", "message", "rain3d_pctl", "rain30d_pctl", "spi90", "spi365", "flood_pctl"
+        "location_id", "as_of", "staleness_days", "status", "message", "rain3d_pctl", "rain30d_pctl", "spi90", "spi365", "fire_danger", "flood_pctl"
     )

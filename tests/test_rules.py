@@ -290,3 +290,26 @@ def test_average_ranks_three_ways(spark):
     for kw in ({}, {"small": 0}, {"bounded": True}):
         got = ranking.average_ranks(df, "v", "r", ["g"], **kw).filter(F.col("v").isNotNull())
         assert rows(got, "v", "r") == want
+
+
+def test_gapfill_of_all_fields_in_one_pass(spark):
+    d = days(D(2000, 1, 1), 200)
+    p = spark.createDataFrame([(1, x, 2.0, 20.0, 50.0, 1.0) for x in d[:180]], "cell int, d date, precip double, tmax double, rh double, ws double")
+    e = spark.createDataFrame([(1, x, 1.0, 25.0, None if i == 190 else 45.0, 10.0) for i, x in enumerate(d)], "cell int, d date, e1 double, e2 double, e3 double, e4 double")
+    fields = {f: (s, *quality.CORRECTIONS[f]) for f, s in zip(("precip", "tmax", "rh", "ws"), ("e1", "e2", "e3", "e4"))}
+    got = {r["d"]: r for r in quality.fill_trailing_gaps(p, e, "cell", "d", fields, F.lit(d[-1])).collect()}
+    last = got[d[199]]
+    assert (last["precip"], last["tmax"], last["rh"]) == (pytest.approx(1.994), 20.0, 50.0)
+    assert last["ws"] == pytest.approx(1.005)
+    assert got[d[190]]["rh"] is None and got[d[190]]["tmax"] == 20.0
+
+
+def test_missing_inputs_never_become_a_bound(spark):
+    r = spark.range(1).select(
+        climate.vpd_kpa(F.lit(30.0), F.lit(None).cast("double")).alias("vpd"),
+        geo.haversine_m(F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("m"),
+        grids.world_cell(F.lit(None).cast("double"), F.lit(0.0))[0].alias("i"),
+        grids.geohash7(F.lit(None).cast("double"), F.lit(0.0)).alias("g"),
+        climate.vpd_kpa(F.lit(30.0), F.lit(140.0)).alias("wet"),
+    ).first()
+    assert (r["vpd"], r["m"], r["i"], r["g"]) == (None, None, None, None) and r["wet"] == 0.0
