@@ -289,9 +289,9 @@ def band_enrichment(t: Tables) -> DataFrame:
     with_views(
         "patch",
         " UNION ALL ".join(
-            f"""SELECT '{f}' AS feature, ROUND((SELECT AVG({f}) FROM ter WHERE id % 2 = 0), 6) AS train_mean, ROUND(AVG({f}), 6) AS test_mean,
-            ROUND(AVG(CASE WHEN {f} < (SELECT quantile_cont({f}, 5e-2::DOUBLE) FROM ter WHERE id % 2 = 0) OR {f} > (SELECT quantile_cont({f}, 95e-2::DOUBLE) FROM ter WHERE id % 2 = 0) THEN 1e0 ELSE 0e0 END), 6) AS outside_5_95
-            FROM ter WHERE id % 2 = 1"""
+            f"""SELECT '{f}' AS feature, ROUND((SELECT AVG({f}) FROM ter WHERE region < 'r5'), 6) AS train_mean, ROUND(AVG({f}), 6) AS test_mean,
+            ROUND(AVG(CASE WHEN {f} < (SELECT quantile_cont({f}, 5e-2::DOUBLE) FROM ter WHERE region < 'r5') OR {f} > (SELECT quantile_cont({f}, 95e-2::DOUBLE) FROM ter WHERE region < 'r5') THEN 1e0 ELSE 0e0 END), 6) AS outside_5_95
+            FROM ter WHERE region >= 'r5'"""
             for f in ("elev_m", "slope_deg", "tri")
         ),
         *TERRAIN_SQL,
@@ -299,7 +299,7 @@ def band_enrichment(t: Tables) -> DataFrame:
 )
 def covariate_shift(t: Tables) -> DataFrame:
     df = terrain_table(t)
-    out = metrics.covariate_shift(df.filter(F.col("id") % 2 == 0), df.filter(F.col("id") % 2 == 1), ["elev_m", "slope_deg", "tri"])
+    out = metrics.covariate_shift(df.filter(F.col("region") < "r5"), df.filter(F.col("region") >= "r5"), ["elev_m", "slope_deg", "tri"])
     return rounded(out, ("train_mean", "test_mean", "outside_5_95"), 6)
 
 

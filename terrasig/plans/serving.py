@@ -119,13 +119,13 @@ def verdict_bins(t: Tables) -> DataFrame:
            concat_ws('; ', CASE WHEN slope_deg IS NULL THEN 'no terrain coverage' WHEN region IS NOT NULL THEN 'regional model: ' || region ELSE 'global floor ensemble' END,
              CASE WHEN rain3d_pctl IS NULL THEN 'no rainfall record' WHEN dq THEN 'precipitation sources disagree' END) AS caveats,
            CASE WHEN GREATEST(rain3d_pctl, rain30d_pctl) IS NOT NULL THEN GREATEST(rain3d_pctl, rain30d_pctl) >= 95e-2 AND susceptibility_nearby_max >= 3e-1 END AS alert
-           FROM (SELECT s.*, t.slope_deg, COALESCE(s.data_quality = 'disagree', FALSE) AS dq FROM state s LEFT JOIN (SELECT id, slope_deg FROM ter WHERE id % 6 <> 0) t ON t.id = s.cell)""",
+           FROM (SELECT s.*, t.slope_deg, COALESCE(s.data_quality = 'disagree', FALSE) AS dq FROM state s LEFT JOIN (SELECT id, slope_deg FROM ter WHERE region <> 'r3') t ON t.id = s.cell)""",
         *STATE_SQL,
         *TERRAIN_SQL,
     ),
 )
 def tier_routing(t: Tables) -> DataFrame:
-    slope = terrain_table(t).filter(F.col("id") % 6 != 0).select(F.col("id").alias("cell"), "slope_deg")
+    slope = terrain_table(t).filter(F.col("region") != "r3").select(F.col("id").alias("cell"), "slope_deg")
     return serving.route_tier(state(t).join(slope, "cell", "left")).select("cell", "d", "tier", "caveats", "alert")
 
 
@@ -177,15 +177,15 @@ def compound_flags(t: Tables) -> DataFrame:
         "patch",
         """SELECT a.id, ROUND((pa + pb + COALESCE(cls/5e0, 0))/(2 + CASE WHEN cls IS NULL THEN 0 ELSE 1 END), 9) AS floor_score FROM (
            SELECT a.id, CASE WHEN a.id % 5 <> 0 THEN CAST(a.id % 6 AS DOUBLE) END AS cls, AVG(CASE WHEN r.tri < a.tri THEN 1e0 ELSE 0e0 END) AS pa, AVG(CASE WHEN r.slope_deg < a.slope_deg THEN 1e0 ELSE 0e0 END) AS pb
-           FROM tr6 a, tr6 r WHERE a.id % 2 = 1 AND r.id % 2 = 0 GROUP BY 1, 2) a""",
+           FROM tr6 a, tr6 r GROUP BY 1, 2) a""",
         *TERRAIN_SQL,
         ("tr6", "SELECT id, ROUND(tri, 6) AS tri, ROUND(slope_deg, 6) AS slope_deg FROM ter"),
     ),
 )
 def ensemble_floor(t: Tables) -> DataFrame:
     df = terrain_table(t).select("id", F.round("tri", 6).alias("tri"), F.round("slope_deg", 6).alias("slope_deg"))
-    asked = df.filter(F.col("id") % 2 == 1).withColumn("cls", F.when(F.col("id") % 5 != 0, (F.col("id") % 6).cast("double")))
-    out = serving.ensemble_floor(asked, df.filter(F.col("id") % 2 == 0), {"tri": "tri", "slope_deg": "slope_deg"}, "cls")
+    asked = df.withColumn("cls", F.when(F.col("id") % 5 != 0, (F.col("id") % 6).cast("double")))
+    out = serving.ensemble_floor(asked, df, {"tri": "tri", "slope_deg": "slope_deg"}, "cls")
     return out.select("id", F.round("floor_score", 9).alias("floor_score"))
 
 
@@ -286,19 +286,20 @@ def serve_json_record(t: Tables) -> DataFrame:
 
 @query(
     "register_upsert",
-    "SELECT geohash, MIN(id) AS id, 'seed' AS origin FROM (SELECT id, geohash FROM ("
-    + geohash_sql()
-    + ") WHERE id % 3 = 0) GROUP BY 1 UNION ALL SELECT geohash, MIN(id), 'request' FROM (SELECT id, geohash FROM ("
-    + geohash_sql()
-    + ") WHERE geohash NOT IN (SELECT geohash FROM ("
-    + geohash_sql()
-    + ") WHERE id % 3 = 0)) GROUP BY 1",
+    with_views(
+        "place",
+        """SELECT geohash, MIN(id) AS id, 'seed' AS origin FROM gp WHERE nation < 8 GROUP BY 1
+           UNION ALL SELECT geohash, MIN(id), 'request' FROM gp WHERE geohash NOT IN (SELECT geohash FROM gp WHERE nation < 8) GROUP BY 1""",
+        ("gh", geohash_sql()),
+        ("gp", "SELECT g.id, g.geohash, p.nation FROM gh g JOIN place p ON p.id = g.id"),
+    ),
 )
 def register_upsert(t: Tables) -> DataFrame:
-    keyed = t.place.select(grids.geohash7(F.col("lat"), F.col("lon")).alias("geohash"), "id")
-    seed = keyed.filter(F.col("id") % 3 == 0).groupBy("geohash").agg(F.min("id").alias("id")).withColumn("origin", F.lit("seed"))
-    again = keyed.unionByName(keyed.withColumn("id", F.col("id") + 1_000_000)).withColumn("origin", F.lit("request"))
-    return serving.register(seed, again)
+    keyed = t.place.select(grids.geohash7(F.col("lat"), F.col("lon")).alias("geohash"), "id", "nation")
+    old = keyed.filter(F.col("nation") < 8).groupBy("geohash").agg(F.min("id").alias("id"))
+    asked = keyed.select("geohash", "id")
+    again = asked.unionByName(asked.withColumn("id", F.col("id") + 1_000_000)).withColumn("origin", F.lit("request"))
+    return serving.register(old.withColumn("origin", F.lit("seed")), again)
 
 
 NIGHT_SQL = (
