@@ -130,9 +130,17 @@ def fire_base(daily: DataFrame, key: str = "cell", date: str = "d") -> DataFrame
     return series.rolling_sums(df, key, date, "precip", (30, 90), "precip_")
 
 
-def fire_features(daily: DataFrame, key: str = "cell", date: str = "d") -> DataFrame:
-    """Fourteen fire features; a missing value scores percentile 0, rows in the spin-up year are dropped."""
+def fire_features(daily: DataFrame, key: str = "cell", date: str = "d", freshest: bool = False) -> DataFrame:
+    """Fourteen fire features; a missing value scores percentile 0, rows in the spin-up year are dropped.
+
+    ``freshest`` ranks only the last day with a temperature of each key, which is what a nightly run needs.
+    """
     df = series.with_position(fire_base(daily, key, date), key, date)
+    only = None
+    if freshest:
+        last = F.max(F.when(F.col("tmax").isNotNull(), F.col(date))).over(Window.partitionBy(key))
+        df = df.withColumn("_fresh", F.col(date) == last)
+        only = F.col("_fresh")
     df = series.alltime_percentiles(df, key, {"kbdi": "kbdi_pctl"}, missing_as=0.0)
     df = series.seasonal_percentiles(
         df,
@@ -148,6 +156,7 @@ def fire_features(daily: DataFrame, key: str = "cell", date: str = "d") -> DataF
             "precip_90d": "precip_90d_pctl_seasonal",
         },
         missing_as=0.0,
+        only=only,
     )
     return df.filter(F.col("rn") > YEAR_SPINUP).select(
         key,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasig.operators import quality, series, serving
+from terrasig.operators import quality, river, series, serving
+from terrasig.session import cut_lineage
 from terrasig.sources import sinks
 
 
@@ -25,20 +26,29 @@ def nightly_update(
     """Merge, fill, rank, compose: the published row of every location.
 
     ``history`` and ``tail`` (cell, d, precip) split at ``cut``; ``backup`` (cell, d, other) bridges a stalled tail and
-    carries the calendar; ``flow`` (cell, d, flood_pctl); ``trust`` (cell, data_quality). ``as_of`` is the run date,
+    carries the calendar; ``flow`` (cell, d, m3s) is ranked on each location's own as-of day; ``trust`` (cell, data_quality). ``as_of`` is the run date,
     so a re-run gives the same table. ``fire`` (cell, fire_date, fire_danger) adds the fire branch; an alert needs trusted
     sources and a reading at most a week old.
     """
-    filled = fill(history, tail, backup, cut, as_of)
+    # the merged series feeds the ranks and the as-of days, so it is written once
+    filled = cut_lineage(fill(history, tail, backup, cut, as_of))
     df = series.rolling_sums(filled, "cell", "d", "precip", (3, 30, 90, 365), "p")
     df = df.withColumns({c: F.round(c, 6) for c in ("p3d", "p30d", "p90d", "p365d")})
+    last = F.max(F.when(F.col("precip").isNotNull(), F.col("d"))).over(Window.partitionBy("cell"))
+    df = df.withColumn("_fresh", F.col("d") == last)
     df = series.seasonal_percentiles(
-        df, "cell", "d", {"p3d": "rain3d_pctl", "p30d": "rain30d_pctl", "p90d": "spi90", "p365d": "spi365"}
+        df,
+        "cell",
+        "d",
+        {"p3d": "rain3d_pctl", "p30d": "rain30d_pctl", "p90d": "spi90", "p365d": "spi365"},
+        only=F.col("_fresh"),
     )
-    freshest = series.last_valid(filled, "cell", "d", "precip", as_of).withColumnRenamed("last_valid", "d")
+    days = series.last_valid(filled, "cell", "d", "precip", as_of).select("cell", "last_valid")
+    on_day = flow.join(days, "cell").withColumn("_asked", F.col("d") == F.col("last_valid"))
+    ranked = river.flow_rank(on_day, "cell", "d", "m3s", only=F.col("_asked")).select("cell", "d", "flood_pctl")
     state = (
-        df.join(freshest, ["cell", "d"])
-        .join(flow, ["cell", "d"], "left")
+        df.withColumn("staleness_days", F.datediff(as_of, F.col("d")))
+        .join(ranked, ["cell", "d"], "left")
         .join(trust, "cell", "left")
         .join(places, "cell", "left")
         .withColumn("staleness_days", F.col("staleness_days").cast("bigint"))

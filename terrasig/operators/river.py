@@ -65,9 +65,9 @@ def flow_percentiles(flow: DataFrame, key: str, date: str, value: str) -> DataFr
     )
 
 
-def flow_rank(flow: DataFrame, key: str, date: str, value: str) -> DataFrame:
+def flow_rank(flow: DataFrame, key: str, date: str, value: str, only: Column | None = None) -> DataFrame:
     """Seasonal flow percentile alone: (key, date, flood_pctl)."""
-    return series.seasonal_percentiles(flow, key, date, {value: "flood_pctl"}).drop(value)
+    return series.seasonal_percentiles(flow, key, date, {value: "flood_pctl"}, only=only).drop(value)
 
 
 def forecast_outlook(forecast: DataFrame, flow: DataFrame, key: str, date: str, value: str) -> DataFrame:

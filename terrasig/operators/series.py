@@ -115,21 +115,24 @@ def seasonal_percentiles(
     halfwidth: int = 15,
     min_n: int = 30,
     missing_as: float | None = None,
+    only: Column | None = None,
 ) -> DataFrame:
     """Inclusive percentile within the key's own same-season record: ``{value column: output column}``.
 
     Rows are folded to one per (key, season key); a RANGE window over the season key then gathers the +-halfwidth pool
     once per season key, not once per row. A row's rank is its position in the descending pool, so the scan stays in
-    generated code. Fewer than min_n pool members gives NULL; a missing value gives NULL, or ``missing_as`` where the
+    generated code. ``only`` keeps the rows to be ranked; the pools still hold every row, but only the pools those rows
+    need are built. Fewer than min_n pool members gives NULL; a missing value gives NULL, or ``missing_as`` where the
     pool is large enough.
     """
     keep = df.columns
     sk = "_sk"
+    row = F.struct(*[c for c in keep if c != key])
     folded = (
         df.withColumn(sk, season_key(F.col(date)))
         .groupBy(key, sk)
         .agg(
-            F.collect_list(F.struct(*[c for c in keep if c != key])).alias("_rows"),
+            F.collect_list(row if only is None else F.when(only, row)).alias("_rows"),
             *[F.collect_list(v).alias(f"_day_{v}") for v in columns],
         )
     )

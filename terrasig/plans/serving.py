@@ -43,10 +43,10 @@ def state(t: Tables) -> DataFrame:
     """Signals of every location on the scoring days. Percentiles rank against the whole record."""
     df = series.rolling_sums(t.daily, "cell", "d", "precip", (3, 30, 90, 180, 365), "p")
     df = df.withColumn("vpd", climate.vpd_kpa(F.col("tmax"), F.col("rh"))).drop("rh", "ws", "precip")
-    df = series.seasonal_percentiles(df, "cell", "d", _STATE)
     since = F.col("d") > F.lit(SINCE).cast("date")
-    flow = series.seasonal_percentiles(t.river_day.select("cell", "d", "m3s"), "cell", "d", {"m3s": "flood_pctl"})
-    df = df.filter(since).join(flow.filter(since).select("cell", "d", "flood_pctl"), ["cell", "d"], "left")
+    df = series.seasonal_percentiles(df, "cell", "d", _STATE, only=since)
+    flow = river.flow_rank(t.river_day.select("cell", "d", "m3s"), "cell", "d", "m3s", only=since)
+    df = df.join(flow.select("cell", "d", "flood_pctl"), ["cell", "d"], "left")
     df = df.join(verdicts(t).select("cell", F.col("verdict").alias("data_quality")), "cell", "left")
     df = df.withColumns(
         {
@@ -219,14 +219,14 @@ def watchlist_rows(t: Tables) -> DataFrame:
     day = F.lit("2001-11-04").cast("date")
     signals = ["rain3d", "rain30d", "vpd", "kbdi", "spi90", "spi365"]
     fields = world.wide(world_ranks(t).filter(F.col("d") == day), signals)
-    flow = series.seasonal_percentiles(t.river_day.select("cell", "d", "m3s"), "cell", "d", {"m3s": "flood_pctl"})
+    flow = river.flow_rank(t.river_day.select("cell", "d", "m3s"), "cell", "d", "m3s", only=F.col("d") == day)
     people = spatial.radius_sum(t.place, t.point, 1000.0, "people", "people").withColumn("people", F.round("people", 2))
     df = (
         t.place.select("id", F.col("name").alias("city"), F.col("id").alias("cell"))
         .join(fields.drop("d"), "cell")
         .join(people, "id")
         .join(verdicts(t).select("cell", "verdict"), "cell", "left")
-        .join(flow.filter(F.col("d") == day).select("cell", "flood_pctl"), "cell", "left")
+        .join(flow.select("cell", "flood_pctl"), "cell", "left")
     )
     return serving.watch_flags(df)
 
@@ -343,13 +343,11 @@ NIGHT_SQL = (
 
 def fire_reading(t: Tables) -> DataFrame:
     """Danger of each cell on its freshest day with a temperature."""
-    rows = climate.fire_features(t.daily).filter(F.col("tmax_c").isNotNull())
-    newest = rows.groupBy("cell").agg(F.max(F.struct("d", "vpd_pctl_seasonal")).alias("r"))
-    return newest.select("cell", F.col("r.d").alias("fire_date"), F.col("r.vpd_pctl_seasonal").alias("fire_danger"))
+    rows = climate.fire_features(t.daily, freshest=True)
+    return rows.select("cell", F.col("d").alias("fire_date"), F.col("vpd_pctl_seasonal").alias("fire_danger"))
 
 
 def nightly(t: Tables) -> DataFrame:
-    flow = river.flow_rank(t.river_day.select("cell", "d", "m3s"), "cell", "d", "m3s")
     places = t.place.select(
         F.col("id").alias("cell"), (((F.col("id") * 37) % 100) / 100.0).alias("susceptibility_nearby_max")
     )
@@ -358,7 +356,7 @@ def nightly(t: Tables) -> DataFrame:
         history=t.daily.select("cell", "d", "precip"),
         tail=t.rain2.select("cell", "d", F.col("precip2").alias("precip")),
         backup=t.daily.select("cell", "d", F.col("precip").alias("other")),
-        flow=flow,
+        flow=t.river_day.select("cell", "d", "m3s"),
         trust=verdicts(t).select("cell", F.col("verdict").alias("data_quality")),
         cut=F.lit("2001-01-01").cast("date"),
         as_of=F.lit("2001-11-10").cast("date"),

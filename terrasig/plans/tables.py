@@ -194,19 +194,21 @@ class Tables:
             *[F.round(area(e), 6).alias(n) for n, e in (("d1", 0.75), ("d2", 0.78), ("d3", 0.81), ("d4", 0.84))],
         )
 
-    @cached_property
-    def rain(self) -> DataFrame:
-        """Three-day and thirty-day totals with their season percentiles."""
+    def season_rain(self, only: Column | None = None) -> DataFrame:
+        """Three-day and thirty-day totals with their season percentiles, for the days asked for."""
         df = series.rolling_sums(self.daily.select("cell", "d", "precip"), "cell", "d", "precip", (3, 30), "p")
         df = series.with_position(df, "cell", "d")
-        return series.seasonal_percentiles(df, "cell", "d", {"p3d": "s3", "p30d": "s30"})
+        return series.seasonal_percentiles(df, "cell", "d", {"p3d": "s3", "p30d": "s30"}, only=only)
+
+    @cached_property
+    def rain(self) -> DataFrame:
+        return self.season_rain()
 
     @cached_property
     def replay(self) -> DataFrame:
         """Cell-days after the split with the alarm score, the one-feature rule and the event flag."""
-        after = self.rain.filter(
-            (F.col("d") > F.lit("1998-12-31").cast("date")) & F.col("s3").isNotNull() & F.col("s30").isNotNull()
-        )
+        ranked = self.season_rain(F.col("d") > F.lit("1998-12-31").cast("date"))
+        after = ranked.filter(F.col("s3").isNotNull() & F.col("s30").isNotNull())
         ev = self.event_day.withColumn("event", F.lit(True))
         return after.join(ev, ["cell", "d"], "left").select(
             "cell",
