@@ -101,3 +101,31 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+# 10 Toxicity
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy-or scores of all documents by a model of the labelled ones that are not held out."""
+    from terrasig.llm import toxicity
+
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn=toxicity.learnable())
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (~toxicity.learnable()).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+# 7 Language ID
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of the documents that are not held out."""
+    from terrasig.llm import langid
+
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, learn=langid.learnable())
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~langid.learnable()).alias("held_out"), "lang_pred", "score", "rejected")

@@ -92,3 +92,51 @@ def sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     """Each text's distinct shingle hashes in ascending order."""
     hashes, at = shingle_hashes(texts, width)
     return [np.unique(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+#: Words of letters, digits and non-ASCII bytes; everything else in ASCII separates.
+SIGNS = np.zeros(256, bool)
+SIGNS[:128] = True
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+#: Ends of sentences: full stop, exclamation mark, question mark, line feed.
+STOPS = np.zeros(256, bool)
+STOPS[[46, 33, 63, 10]] = True
+
+
+def stem_hashes(texts: pa.Array, stems: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every word: the hash of the word and of its first 4, 5 and 6 bytes (one row each; a shorter word's stem is the
+    word itself), the byte where it starts; and the offset of each text's first word; and the texts' byte offsets."""
+    data, offsets = raw(texts)
+    n = len(data)
+    if not n:
+        return np.zeros((1 + len(stems), 0), np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), offsets
+    word = ~SIGNS[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    first[inner] = word[inner]
+    last[inner - 1] = word[inner - 1]
+    at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), ((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n]).cumsum(dtype=np.uint64)])
+    rows = [mix((total[end] - total[at]) * down[at] + _SPREAD[0])]
+    for k in stems:
+        cut = np.minimum(end, at + k)
+        rows.append(mix((total[cut] - total[at]) * down[at] + np.uint64(k * int(_SPREAD[1]) & (1 << 64) - 1)))
+    return np.stack(rows), at, np.searchsorted(at, offsets), offsets
+
+
+def slices(batches, column: str, limit: int = 4 << 20):
+    """Cut record batches so that a piece has at most `limit` bytes of text, or one row: what hashing holds stays bounded."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(np.diff(raw(batch.column(column))[1]))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
