@@ -129,3 +129,58 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, learn=langid.learnable())
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (~langid.learnable()).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+# 3 Mixing sources to target weights
+
+
+def _filling(level: str, above: str, parent: str, name: str, weight: str) -> str:
+    """SQL of one level: children `level` of `above` (columns of the path, holds), keyed by `parent`."""
+    over = f"PARTITION BY {parent}" if parent else ""
+    keys = f"{parent}, {name}" if parent else name
+    source = f"FROM {above}" if parent else f"FROM (SELECT *, (SELECT sum(n_tokens) FROM toks)::DOUBLE AS budget FROM {above})"
+    return f"""
+{level}_w AS (SELECT *, {weight} AS w, holds / {weight} AS full_at {source}),
+{level}_a AS (SELECT *, budget - coalesce(sum(holds) OVER ({over} ORDER BY full_at, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_here,
+  sum(w) OVER ({over}) - coalesce(sum(w) OVER ({over} ORDER BY full_at, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wide FROM {level}_w),
+{level}_b AS (SELECT *, holds * wide <= w * greatest(rest_here, 0) AS is_full FROM {level}_a),
+{level} AS (SELECT {keys}, CASE WHEN is_full THEN holds ELSE w / (sum(w) OVER ({over}) - sum(CASE WHEN is_full THEN w ELSE 0 END) OVER ({over}))
+  * greatest(budget - sum(CASE WHEN is_full THEN holds ELSE 0 END) OVER ({over}), 0) END AS given FROM {level}_b)"""
+
+
+MIXING_SQL = (
+    r"""
+WITH toks AS (
+  SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) = '' THEN 'other'
+      ELSE 'd' || (CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) % 4) END AS domain,
+    coalesce(lang, '∅') AS language, coalesce(source, '∅') AS origin,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+leaves AS (SELECT domain, language, origin, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens) * 4::DOUBLE AS holds FROM toks GROUP BY ALL),
+top AS (SELECT domain, sum(holds) AS holds FROM leaves GROUP BY ALL),"""
+    + _filling("domains", "top", "", "domain", "CASE domain WHEN 'd0' THEN 4.0::DOUBLE WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END")
+    + """,
+mid AS (SELECT domain, language, sum(holds) AS holds, any_value(given) AS budget FROM leaves JOIN domains USING (domain) GROUP BY ALL),"""
+    + _filling("languages", "mid", "domain", "language", "CASE language WHEN 'en' THEN 2.0::DOUBLE ELSE 1 END")
+    + """,
+low AS (SELECT domain, language, origin, holds, given AS budget FROM leaves JOIN languages USING (domain, language)),"""
+    + _filling("origins", "low", "domain, language", "origin", "1.0::DOUBLE")
+    + """,
+leaf AS (
+  SELECT domain, language, origin, tokens, b, CASE WHEN tokens > 0 THEN CAST(floor(b / tokens) AS BIGINT) ELSE 0 END AS epochs
+  FROM (SELECT *, floor(given + 1e-6) AS b FROM origins JOIN leaves USING (domain, language, origin))),
+placed AS (
+  SELECT t.*, epochs, b - epochs * tokens AS rest, coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, origin
+    ORDER BY md5('mix|' || epochs || '|' || coalesce(CAST(doc_id AS VARCHAR), '∅')), doc_id NULLS FIRST, n_tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM toks t JOIN leaf USING (domain, language, origin))
+SELECT doc_id, domain, language, origin, CAST(n_tokens AS BIGINT) AS n_tokens, epochs, CAST(least(greatest(rest - s, 0), n_tokens) AS BIGINT) AS tail
+FROM placed"""
+)
+
+
+@query("op3_mixing", MIXING_SQL)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as all documents hold, mixed to the target weights with up to four epochs a source."""
+    from terrasig.llm import mixing
+
+    return mixing.plan(documents(spark, sf_dir), mixing.source_levels(), mixing.source_weights())
