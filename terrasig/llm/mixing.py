@@ -92,6 +92,13 @@ def take(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "t
     return out.withColumn(text, F.when((F.col("__n") < 0) | (F.col("__n") >= F.col("__t")), F.col(text)).otherwise(short)).select(*docs.columns)
 
 
+def select(docs: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs that the plan takes at least in part, whole and once; rows without tokens are never taken. Rows of one
+    key go together: they stay if one of them is taken."""
+    names = chosen.where((F.col("n_tokens") > 0) & ((F.col("epochs") > 0) | (F.col("tail") > 0))).select(F.col(key).alias("__key")).distinct()
+    return docs.join(keep(names, "chosen"), docs[key].eqNullSafe(F.col("__key")), "left_semi")
+
+
 def source_levels(lang: str = "lang", source: str = "source") -> dict[str, Column]:
     """Domain (the source's number modulo 4), language, source."""
     number = F.regexp_extract(F.coalesce(F.col(source), F.lit("")), "([0-9]+)$", 1)

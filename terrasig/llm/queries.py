@@ -184,3 +184,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasig.llm import mixing
 
     return mixing.plan(documents(spark, sf_dir), mixing.source_levels(), mixing.source_weights())
+
+
+# 5 N-gram Jaccard join
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies."""
+    from terrasig.llm import jaccard
+
+    return jaccard.near_copies(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
