@@ -195,3 +195,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasig.llm import jaccard
 
     return jaccard.near_copies(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+# 8 Token-ID / binary output
+
+
+@query("op8_token_ids")
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as byte-level BPE ids in Simple-8b frames, read back from the written files."""
+    from terrasig.llm import tokenids
+
+    return tokenids.digests(tokenids.write(documents(spark, sf_dir), tokenids.byte_vocabulary()))
