@@ -206,3 +206,14 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasig.llm import tokenids
 
     return tokenids.digests(tokenids.write(documents(spark, sf_dir), tokenids.byte_vocabulary()))
+
+
+# 6 Document fingerprints
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts."""
+    from terrasig.llm import fingerprints
+
+    return fingerprints.compare_next(documents(spark, sf_dir))
