@@ -217,3 +217,30 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasig.llm import fingerprints
 
     return fingerprints.compare_next(documents(spark, sf_dir))
+
+
+# 2 LM scoring
+
+SCORING_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (
+  SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM docs, unnest(range(1, len(w) + 1)) AS r(i)),
+ones AS (SELECT b AS word, count(*) AS c FROM words GROUP BY b),
+pairs AS (SELECT a, b, count(*) AS c FROM words WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
+total AS (SELECT count(*)::DOUBLE AS n FROM words),
+each AS (
+  SELECT doc_id, CASE WHEN p.c IS NOT NULL THEN ln(p.c::DOUBLE / x.c) ELSE ln(o.c / n) + CASE WHEN w.a IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END END AS s,
+    CASE WHEN w.a IS NOT NULL AND p.c IS NULL THEN 1.0 ELSE 0.0 END AS off
+  FROM words w CROSS JOIN total JOIN ones o ON o.word = w.b LEFT JOIN ones x ON x.word = w.a LEFT JOIN pairs p ON p.a = w.a AND p.b = w.b)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, score, backed_off
+FROM docs d LEFT JOIN (SELECT doc_id, avg(s) AS score, avg(off)::DOUBLE AS backed_off FROM each GROUP BY doc_id) USING (doc_id)"""
+
+
+@query("op2_lm_scoring", SCORING_SQL)
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores of all documents against the counts of all documents."""
+    from terrasig.llm import lmscore
+
+    return lmscore.score(documents(spark, sf_dir))
