@@ -23,16 +23,13 @@ from pyspark.sql import functions as F
 
 from terrasig.llm.components import components
 from terrasig.llm.store import keep
-from terrasig.llm.words import _LOWER, mix, raw, slices
+from terrasig.llm.words import _LOWER, _powers, mix, raw, slices
 
 WIDTH = 9
 BANDS = 10
 ROWS = 3
 SIMILARITY = 0.8
 
-_FACTORS = np.array([pow(0x9E3779B97F4A7C15, WIDTH - i, 1 << 64) for i in range(WIDTH)], np.uint64)
-
-
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes of a batch, and of each non-blank line its first byte, its end and its text; blanks are left out."""
     data, offsets = raw(texts)
@@ -49,37 +46,26 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return _LOWER[data], starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all lines in order, and where each line's begin (one more than lines)."""
+def _shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines in order, where each line's begin (one more than lines), and a 64-bit name of each line."""
     sizes = np.maximum(ends - starts - WIDTH + 1, 1)
     edges = np.concatenate([[0], sizes.cumsum()])
-    wide = np.concatenate([data, np.zeros(WIDTH, np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(data), np.uint64)
-    for j in range(WIDTH):
-        key += (wide[j : j + len(data)] + np.uint64(1)) * _FACTORS[j]
-    place = np.arange(edges[-1]) + np.repeat(starts - edges[:-1], sizes)
-    hashes = mix(key[place])
-    for i in np.flatnonzero(ends - starts < WIDTH):  # the line alone, whatever follows it
-        h = 0
-        for c in data[starts[i] : ends[i]].tolist():
-            h = (h * 0x9E3779B97F4A7C15 + c + 1) & (1 << 64) - 1
-        hashes[edges[i]] = mix(np.array([h], np.uint64))[0]
-    return hashes, edges
-
-
-def _names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each line's bytes."""
-    place = (np.arange(len(hashes)) - np.repeat(edges[:-1], np.diff(edges))).astype(np.uint64)
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    return mix(np.add.reduceat(mix(hashes + place * np.uint64(0xD6E8FEB86659FD93)), edges[:-1]) + (ends - starts).astype(np.uint64)).view(np.int64)
+    up, down = _powers(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), ((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]).cumsum(dtype=np.uint64)])
+    at = np.arange(edges[-1]) + np.repeat(starts - edges[:-1], sizes)
+    to = at + WIDTH
+    short = np.flatnonzero(ends - starts < WIDTH)
+    to[edges[short]] = ends[short]  # the line alone, whatever follows it
+    hashes = mix((total[to] - total[at]) * down[at])
+    names = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return hashes, edges, names.view(np.int64)
 
 
 def _bands(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """BANDS band hashes of each line."""
     n, bins = len(edges) - 1, BANDS * ROWS
     line = np.repeat(np.arange(n), np.diff(edges))
-    cell = line * bins + ((hashes >> np.uint64(40)) % np.uint64(bins)).astype(np.int64)
+    cell = line * bins + ((hashes >> np.uint64(40)) * np.uint64(bins) >> np.uint64(24)).astype(np.int64)
     value = hashes & np.uint64((1 << 40) - 1)
     empty = np.uint64((1 << 64) - 1)
     least = np.full(n * bins, empty)
@@ -99,38 +85,43 @@ def _bands(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _members(batches):
+    """Every line with its name, and with its bands where the batch has it first."""
     for batch in slices(batches, "text"):
         data, starts, ends, owner = _lines(batch.column("text"))
-        hashes, edges = _shingles(data, starts, ends)
-        names = _names(data, starts, ends, hashes, edges)
+        hashes, edges, names = _shingles(data, starts, ends)
         number = np.arange(len(starts)) - np.searchsorted(owner, owner)
         take = pa.array(owner)
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("body").take(take), pa.array(number.astype(np.int32)), pa.array(names)], names=["id", "body", "number", "line"])
-
-
-def _banded(batches):
-    for batch in slices(batches, "text"):
-        data, starts, ends, _ = _lines(batch.column("text"))
-        hashes, edges = _shingles(data, starts, ends)
-        names, first = np.unique(_names(data, starts, ends, hashes, edges), return_index=True)
-        if not len(first):
-            continue
+        first = np.sort(np.unique(names, return_index=True)[1])
         sizes = np.diff(edges)[first]
         at = np.concatenate([[0], sizes.cumsum()])
         some = hashes[np.arange(at[-1]) + np.repeat(edges[first] - at[:-1], sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(_bands(some, at).reshape(-1)), pa.array(np.repeat(names, BANDS))], names=["band", "line"])
+        width = np.zeros(len(names), np.int32)
+        width[first] = BANDS
+        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], width.cumsum()]).astype(np.int32)), pa.array(_bands(some, at).reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("body").take(take), pa.array(number.astype(np.int32)), pa.array(names), bands], names=["id", "body", "number", "line", "bands"])
 
 
 def _texts(batches):
-    """Each line's distinct shingles."""
+    """Each line's lower-cased bytes, once in a batch."""
     for batch in slices(batches, "text"):
         data, starts, ends, _ = _lines(batch.column("text"))
-        hashes, edges = _shingles(data, starts, ends)
-        names, first = np.unique(_names(data, starts, ends, hashes, edges), return_index=True)
-        found = [np.unique(hashes[edges[i] : edges[i + 1]]) for i in first]
-        offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-        values = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["line", "set"])
+        names, first = np.unique(_shingles(data, starts, ends)[2], return_index=True)
+        whole = data.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([whole[starts[i] : ends[i]] for i in first], pa.binary())], names=["line", "bytes"])
+
+
+def _verify(batches):
+    """The pairs of lines that reach the similarity."""
+    for batch in batches:
+        for piece in slices([batch], "x"):
+            sides = []
+            for side in ("x", "y"):
+                data, offsets = raw(piece.column(side))
+                hashes, edges, _ = _shingles(data, offsets[:-1], offsets[1:])
+                sides.append([np.unique(hashes[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+            shared = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(*sides, strict=True)])
+            sizes = np.array([len(p) + len(q) for p, q in zip(*sides, strict=True)])
+            yield piece.select(["a", "b"]).filter(pa.array(shared >= SIMILARITY * (sizes - shared)))
 
 
 def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,23 +129,23 @@ def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component, keep (true for the first line of the component)."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    members = keep(rows.mapInArrow(_members, f"id {kind}, body long, number int, line long"), "lines")
-    banded = rows.select("text").mapInArrow(_banded, "band long, line long")
+    lines = keep(rows.mapInArrow(_members, f"id {kind}, body long, number int, line long, bands array<long>"), "lines")
+    members = lines.drop("bands")
+    banded = lines.select("line", F.explode("bands").alias("band"))
     full = banded.groupBy("band").count().where("count > 1").select("band")
     met = keep(banded.join(full, "band", "left_semi").distinct(), "bands")
     centres = met.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "line").alias("h"), "line")).alias("c")).select("band", F.col("c.line").alias("centre"))
     pairs = keep(met.join(centres, "band").where("line <> centre").select(F.greatest("line", "centre").alias("a"), F.least("line", "centre").alias("b")).distinct(), "pairs")
 
-    # the sets of the lines in pairs: one document is read for each
+    # the texts of the lines in pairs: one document is read for each
     needed = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     sought = members.join(needed, "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "body")).alias("d"))
     where = keep(sought.select("d.id", "d.body", "line"), "sought")
     places = where.select(F.col("id").alias("__i"), F.col("body").alias("__b")).distinct()
-    read = rows.join(places, F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")), "left_semi").select("text").mapInArrow(_texts, "line long, set array<long>")
-    sets = keep(read.join(where.select("line"), "line", "left_semi").dropDuplicates(["line"]), "linesets")
-    both = pairs.join(sets.select(F.col("line").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("line").alias("b"), F.col("set").alias("y")), "b")
-    shared = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("o"))
-    links = shared.where(F.col("o") >= SIMILARITY * (F.col("m") + F.col("n") - F.col("o"))).select("a", "b")
+    read = rows.join(places, F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")), "left_semi").select("text").mapInArrow(_texts, "line long, bytes binary")
+    bytes_of = keep(read.join(where.select("line"), "line", "left_semi").dropDuplicates(["line"]), "linetexts")
+    both = pairs.join(bytes_of.select(F.col("line").alias("a"), F.col("bytes").alias("x")), "a").join(bytes_of.select(F.col("line").alias("b"), F.col("bytes").alias("y")), "b")
+    links = both.mapInArrow(_verify, "a long, b long")
     roots = components(links)
 
     named = members.join(roots, F.col("line") == F.col("node"), "left").select("id", "body", "number", F.coalesce("root", "line").alias("component"))

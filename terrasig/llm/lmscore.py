@@ -32,7 +32,7 @@ BACKOFF = 0.4
 LEAST = 2
 
 #: Entries of the count table (one per slice and distinct n-gram) in one partition.
-ENTRIES = 2_000_000
+ENTRIES = 1_000_000
 
 _STEP = 0x9E3779B97F4A7C15
 
@@ -52,14 +52,24 @@ def _grams(vocabulary: np.ndarray, words: np.ndarray, edges: np.ndarray, order:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Differences of ascending 64-bit numbers, byte by byte, which compression shortens."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Differences of ascending 64-bit numbers."""
+    return _tight(np.diff(values, prepend=np.uint64(0)))
 
 
 def _values(planes: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
-    return steps.cumsum(dtype=np.uint64)
+    return _loose(planes, np.uint64).cumsum(dtype=np.uint64)
+
+
+def _tight(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _loose(data: bytes, kind: type) -> np.ndarray:
+    planes = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def _counts(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +92,7 @@ def _slice(docs: DataFrame, key: str, text: str, order: int, limit: int) -> Data
             entries = len(_counts(_grams(vocabulary, words, edges, order))[0])
             column = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("key"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seq], pa.int64()), column, pa.array([edges.astype(np.int64).tobytes()]), pa.array([words.tobytes()]), pa.array([_planes(vocabulary)]), pa.array([entries], pa.int64()), pa.array([len(words)], pa.int64())],
+                [pa.array([(part << 32) + seq], pa.int64()), column, pa.array([edges.astype(np.int64).tobytes()]), pa.array([_tight(words)]), pa.array([_planes(vocabulary)]), pa.array([entries], pa.int64()), pa.array([len(words)], pa.int64())],
                 names=["slice", "keys", "edges", "words", "vocabulary", "entries", "tokens"],
             )
 
@@ -90,7 +100,7 @@ def _slice(docs: DataFrame, key: str, text: str, order: int, limit: int) -> Data
 
 
 def _unpack(edges: bytes, words: bytes, vocabulary: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _values(vocabulary), np.frombuffer(words, np.uint32), np.frombuffer(edges, np.int64)
+    return _values(vocabulary), _loose(words, np.uint32), np.frombuffer(edges, np.int64)
 
 
 def _parts_of(grams: np.ndarray, parts: int) -> np.ndarray:
@@ -118,15 +128,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
                 for p in range(parts):
                     some = turn[at[p] : at[p + 1]]
                     if len(some):
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([own], pa.int64()), pa.array([_planes(grams[some])]), pa.array([counts[some].astype(np.uint32).tobytes()])], names=["part", "slice", "grams", "counts"])
+                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([own], pa.int64()), pa.array([_planes(grams[some])]), pa.array([_tight(counts[some].astype(np.uint32))])], names=["part", "slice", "grams", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
         grams = [_values(x.as_py()) for x in table.column("grams")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")])
+        counts = np.concatenate([_loose(x.as_py(), np.uint32) for x in table.column("counts")])
         _, back = np.unique(np.concatenate(grams), return_inverse=True)
         found = np.bincount(back, counts).astype(np.uint64)[back]
         edges = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-        answers = [np.ascontiguousarray(found[a:b].view(np.uint8).reshape(-1, 8).T).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        answers = [_tight(found[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table({"slice": table.column("slice"), "part": table.column("part"), "found": pa.array(answers, pa.binary())})
 
     asked = cut.mapInArrow(explode, "part long, slice long, grams binary, counts binary")
@@ -145,7 +155,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         for r in rows:
             if r["keys"] is None:
                 p = r["part"]
-                found[turn[at[p] : at[p + 1]]] = np.ascontiguousarray(np.frombuffer(r["found"], np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+                found[turn[at[p] : at[p + 1]]] = _loose(r["found"], np.uint64)
         count_of = [np.where(g != 0, found[np.minimum(np.searchsorted(names, g), max(0, len(names) - 1))], 0).astype(np.float64) if len(names) else g.astype(np.float64) for g in grams]
         value = np.log(np.maximum(count_of[0], 1) / max(total, 1))
         longest = np.zeros(len(words), bool) if order > 1 else np.ones(len(words), bool)

@@ -49,19 +49,24 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     values = np.zeros(blocks * BLOCK, np.uint64)
     values[:n] = ids
-    grid = values.reshape(blocks, BLOCK)
-    place = np.arange(BLOCK)
+    width = np.zeros(blocks * BLOCK, np.uint8)  # the selector of the narrowest bits that hold the id, from 15 (zero) down
+    for selector in range(14, 0, -1):
+        width += values >= np.uint64(1 << PACKS[selector - 1][1])
+    width += values > 0
+    width = width.reshape(blocks, BLOCK)
+    place = np.arange(BLOCK, dtype=np.int16)
     end = np.full(blocks, BLOCK)
     end[-1] = n - (blocks - 1) * BLOCK
-    left = end[:, None] - place
+    left = (end[:, None] - place).astype(np.int16)
     choice = np.zeros((blocks, BLOCK), np.uint8)  # escape unless something fits
+    lowest = int(width.min())
     for selector in [*range(14, 0, -1), ZEROS]:
-        count, bits = (ZERO_RUN, 0) if selector == ZEROS else PACKS[selector - 1]
-        big = grid >= np.uint64(1 << bits)
-        if big.all():
-            continue
-        stop = np.minimum.accumulate(np.where(big, place, BLOCK)[:, ::-1], axis=1)[:, ::-1]
-        fits = stop - place >= np.minimum(count, left)
+        count = ZERO_RUN if selector == ZEROS else PACKS[selector - 1][0]
+        rank = 0 if selector == ZEROS else selector
+        if lowest > rank:
+            continue  # no id is that narrow
+        stop = np.minimum.accumulate(np.where(width > rank, place, np.int16(BLOCK))[:, ::-1], axis=1)[:, ::-1]
+        fits = stop - place >= np.minimum(np.int16(count), left)
         if selector == ZEROS:
             fits &= left >= ZERO_RUN
         choice[fits] = selector
@@ -159,7 +164,9 @@ class Encoder:
     Texts in which a space touches further white space are given to the library whole.
     """
 
+    #: Pieces that a task keeps at most; then it learns anew.
     PIECES = 400_000
+    MARKS = ".,;:!?"
     _mixed = re.compile(r"\s\s")
 
     def __init__(self, path: str) -> None:
@@ -168,21 +175,33 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        for piece, found in zip(new, self.library.encode_batch_fast([before + p for p in new], add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, np.uint32).tobytes()
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of pieces after a space; marks behind a letter or digit start a token of their own, so they are split off."""
+        cores = []
+        for piece in new:
+            core = piece.rstrip(self.MARKS)
+            cores.append(core if core and core[-1].isalnum() else piece)
+        unknown = list(set(cores).difference(self.cores))
+        self.cores.update(zip(unknown, self._encode([" " + c for c in unknown]), strict=True))
+        tails = list({p[len(c) :] for p, c in zip(new, cores, strict=True)}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        self.known.update((p, self.cores[c] + self.tails[p[len(c) :]]) for p, c in zip(new, cores, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.heads) > self.PIECES:
-            self.known, self.heads = {}, {}
+        if len(self.known) > self.PIECES:
+            self.known, self.cores = {}, {}
         plain = [None if self._mixed.search(t) else t.split(" ") for t in texts]
-        self._learn(self.known, list({p for x in plain if x for p in x[1:]}.difference(self.known)), " ")
-        self._learn(self.heads, list({x[0] for x in plain if x}.difference(self.heads)), "")
-        whole = iter(self.library.encode_batch_fast([t for t, x in zip(texts, plain, strict=True) if x is None], add_special_tokens=False))
-        known, heads = self.known.__getitem__, self.heads
-        return [np.array(next(whole).ids, np.uint32).tobytes() if x is None else heads[x[0]] + b"".join(map(known, x[1:])) for x in plain]
+        self._learn(list({p for x in plain if x for p in x[1:]}.difference(self.known)))
+        heads = iter(self._encode([x[0] for x in plain if x is not None]))
+        whole = iter(self._encode([t for t, x in zip(texts, plain, strict=True) if x is None]))
+        known = self.known.__getitem__
+        return [next(whole) if x is None else next(heads) + b"".join(map(known, x[1:])) for x in plain]
 
 
 def write(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,7 +222,7 @@ def write(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
             column = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.concat_arrays(keys))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([first], pa.int64()), pa.array([len(flat)], pa.int64()), column, pa.array([pack(lengths, flat)], pa.binary())], names=["part", "seq", "first", "n_ids", "keys", "frame"]), len(flat)
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             found = coder([t or "" for t in batch.column("text").to_pylist()])
             for i, body in enumerate(found):
                 keys.append(batch.column("key").slice(i, 1))

@@ -40,8 +40,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts end to end, and the offset of each text (one more than texts); null is empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    """The bytes of all texts (strings or binary) end to end, and the offset of each text (one more than texts); null is empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
