@@ -165,7 +165,7 @@ class Encoder:
     """
 
     #: Pieces that a task keeps at most; then it learns anew.
-    PIECES = 400_000
+    PIECES = 200_000
     MARKS = ".,;:!?"
     _mixed = re.compile(r"\s\s")
 
