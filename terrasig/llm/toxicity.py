@@ -25,8 +25,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from terrasig.llm.words import STOPS, raw, slices, stem_hashes
 
 #: Bounds of the training sample.
-TOXIC_ROWS = 2500
-CLEAN_ROWS = 4500
+TOXIC_ROWS = 2000
+CLEAN_ROWS = 3000
 
 #: Size of the hashed feature table, a power of two.
 FEATURES = 1 << 20
@@ -112,11 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Train on the labels whose rows satisfy `learn` (a condition on the labels' columns; all if None)."""
     rows = sample(docs, labels, key, text, label, F.lit(True) if learn is None else learn)
     rows = rows.withColumn("__key", F.col("__key").cast("string"))
-    bags = rows.mapInArrow(_featurise, "__key string, y int, words binary, sizes binary").toPandas()
-    bags = bags.sort_values(["__key", "words"]).reset_index(drop=True)
-    words = [np.frombuffer(x, np.int32).reshape(4, -1).astype(np.int64) for x in bags["words"]]
-    sizes = [np.frombuffer(x, np.int32) for x in bags["sizes"]]
-    y = bags["y"].to_numpy()
+    bags = sorted(map(tuple, rows.mapInArrow(_featurise, "__key string, y int, words binary, sizes binary").collect()))
+    words = [np.frombuffer(x[2], np.int32).reshape(4, -1) for x in bags]
+    sizes = [np.frombuffer(x[3], np.int32) for x in bags]
+    y = np.array([x[1] for x in bags])
     return _train(words, sizes, y, epochs, rate, shrink, seed)
 
 
