@@ -75,10 +75,10 @@ def nightly_update(
 
 
 def fill(history: DataFrame, tail: DataFrame, backup: DataFrame, cut: Column, as_of: Column) -> DataFrame:
-    """Merged series on the backup's calendar with its trailing gap bridged."""
+    """Merged series with its trailing gap bridged, on all days that the merged series or the backup has."""
     merged = quality.merge_tail(history, tail, cut)
     bridged = quality.fill_trailing_gap(merged, backup, "cell", "d", "precip", "other", as_of)
-    return backup.select("cell", "d").join(bridged, ["cell", "d"], "left")
+    return backup.select("cell", "d").join(bridged, ["cell", "d"], "full_outer")
 
 
 def publish(rows: DataFrame, old_history: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

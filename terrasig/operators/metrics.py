@@ -17,7 +17,6 @@ from terrasig.session import cut_lineage
 
 DAYS_PER_YEAR = 365.25
 SWEEP_POINTS = 40
-ONE_TASK_GROUPS = 2_000_000
 SWEEP_FROM, SWEEP_TO = 0.80, 0.9995
 
 
@@ -310,17 +309,13 @@ def covariate_shift(train: DataFrame, test: DataFrame, features: Sequence[str])
 def fold_ids(df: DataFrame, group: str, k: int) -> DataFrame:
     """Fold per group: groups by size descending, dealt in serpentine order, so folds are balanced and none is split.
 
-    Groups are counted first; the ordering runs over groups, not rows. Blocks of a quarter degree number about a million
-    on the whole globe, so one task orders them; more groups than that are ordered by size through a histogram.
+    Groups are counted first and ordered by size, then by a hash of their name: the same order for few groups and for many.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.count()
     if total < k:
         raise ValueError(f"only {total} groups for {k} folds")
-    if total <= ONE_TASK_GROUPS:
-        ranked = sizes.withColumn("_pos", F.row_number().over(Window.orderBy(F.col("_n").desc(), group)))
-    else:
-        ranked = _rank_groups(sizes, group)
+    ranked = _rank_groups(sizes, group)
     pos = F.col("_pos") - 1
     lap, step = F.floor(pos / k), pos % k
     fold = F.when(lap % 2 == 0, step).otherwise(k - 1 - step)
@@ -332,7 +327,7 @@ def _rank_groups(sizes: DataFrame, group: str) -> DataFrame:
     classes = sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_m"))
     cum = ranking.running_totals(classes, "_n", ["_m"], descending=True)
     ahead = cum.select("_n", (F.col("cum__m") - F.col("_m")).alias("_ahead"))
-    buckets = sizes.withColumn("_b", F.pmod(F.xxhash64(group), F.lit(4096)))
+    buckets = sizes.withColumn("_b", F.substring(F.md5(F.col(group).cast("string")), 1, 3))
     counts = buckets.groupBy("_n", "_b").agg(F.count(F.lit(1)).alias("_bn"))
     w = Window.partitionBy("_n").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("_n", "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_before"))

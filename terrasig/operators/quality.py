@@ -67,8 +67,12 @@ def verdicts(agree: DataFrame, recent: DataFrame, key: str) -> DataFrame:
             F.when(drift, "recent drift"),
         )
     )
-    return df.withColumn("reasons", F.concat_ws("; ", reasons)).withColumn(
-        "verdict", F.when(F.size(reasons) > 0, "disagree").otherwise("ok")
+    unproven = F.col("longrun") == "unverified"
+    return df.withColumns(
+        {
+            "reasons": F.when(unproven, "longrun unverified").otherwise(F.concat_ws("; ", reasons)),
+            "verdict": F.when(unproven, "unverified").when(F.size(reasons) > 0, "disagree").otherwise("ok"),
+        }
     )
 
 

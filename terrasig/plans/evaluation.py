@@ -141,7 +141,7 @@ def isotonic_binned(t: Tables) -> DataFrame:
 FOLD_SQL = (
     "fold",
     """SELECT grp, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INTEGER) AS fold FROM (
-       SELECT grp, ROW_NUMBER() OVER (ORDER BY n DESC, grp) - 1 AS p FROM (SELECT grp, COUNT(*) AS n FROM scored GROUP BY 1))""",
+       SELECT grp, ROW_NUMBER() OVER (ORDER BY n DESC, substr(md5(CAST(grp AS VARCHAR)), 1, 3), grp) - 1 AS p FROM (SELECT grp, COUNT(*) AS n FROM scored GROUP BY 1))""",
 )
 
 

@@ -247,26 +247,32 @@ def watchlist(t: Tables) -> DataFrame:
     "watchlist_rank",
     with_views(
         _WV,
-        """SELECT city, flags FROM wlist ORDER BY CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END DESC, ROUND(COALESCE(rain30d, 0), 9) DESC, city LIMIT 18""",
+        """SELECT id, city, flags, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END AS n_flags, ROUND(COALESCE(rain30d, 0), 9) AS rain30d FROM wlist""",
         *WATCH_SQL,
     ),
 )
 def watchlist_rank(t: Tables) -> DataFrame:
-    ranked = watchlist_rows(t).orderBy(
-        F.size("flags").desc(), F.round(F.coalesce("rain30d", F.lit(0.0)), 9).desc(), "city"
+    # the whole list in its order, with the columns that make it
+    ranked = watchlist_rows(t).select(
+        "id",
+        "city",
+        F.concat_ws(",", "flags").alias("flags"),
+        F.size("flags").alias("n_flags"),
+        F.round(F.coalesce("rain30d", F.lit(0.0)), 9).alias("rain30d"),
     )
-    return ranked.limit(18).select("city", F.concat_ws(",", "flags").alias("flags"))
+    return ranked.orderBy(F.col("n_flags").desc(), F.col("rain30d").desc(), "city", "id")
 
 
 @query(
     "board_order",
-    """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'red' WHEN 'O' THEN 'green' ELSE 'unknown' END AS status, o_totalprice AS people FROM orders
-       ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 3 ELSE 2 END, people DESC, id LIMIT 50""",
+    """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'red' WHEN 'O' THEN 'green' ELSE 'unknown' END AS status, o_totalprice AS people,
+       CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 3 ELSE 2 END AS board_rank FROM orders""",
 )
 def board_order(t: Tables) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "red").when(F.col("o_orderstatus") == "O", "green").otherwise("unknown")
     df = t.read("orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_totalprice").alias("people"))
-    return df.orderBy(serving.board_rank(F.col("status")), F.col("people").desc_nulls_last(), "id").limit(50)
+    board = df.withColumn("board_rank", serving.board_rank(F.col("status")))
+    return board.orderBy("board_rank", F.col("people").desc_nulls_last(), "id")
 
 
 @query(

@@ -449,7 +449,7 @@ AGREE_SQL = (
     ),
     (
         "sv",
-        """SELECT *, CASE WHEN corr_monthly < 6e-1 OR ratio NOT BETWEEN 25e-2 AND 4e0 OR abs(ln(rr/ratio)) > ln(22e-1)
+        """SELECT *, CASE WHEN longrun = 'unverified' THEN 'unverified' WHEN corr_monthly < 6e-1 OR ratio NOT BETWEEN 25e-2 AND 4e0 OR abs(ln(rr/ratio)) > ln(22e-1)
              THEN 'disagree' ELSE 'ok' END AS combined FROM (
            SELECT g.cell, g.n_months, g.corr_monthly, g.ratio, r.a_mm, r.b_mm,
              CASE WHEN GREATEST(r.a_mm, r.b_mm) >= 3e1 THEN (r.a_mm+1e0)/(r.b_mm+1e0) END AS rr,
@@ -500,8 +500,9 @@ def verdicts(t: Tables) -> DataFrame:
     with_views(
         "daily rain2",
         """SELECT cell, longrun, recent, ROUND(rr, 6) AS recent_ratio, combined AS verdict,
+           CASE WHEN longrun = 'unverified' THEN 'longrun unverified' ELSE
            concat_ws('; ', CASE WHEN corr_monthly < 6e-1 THEN 'pattern' END, CASE WHEN ratio NOT BETWEEN 25e-2 AND 4e0 THEN 'long-run ratio' END,
-             CASE WHEN abs(ln(rr/ratio)) > ln(22e-1) THEN 'recent drift' END) AS reasons FROM sv""",
+             CASE WHEN abs(ln(rr/ratio)) > ln(22e-1) THEN 'recent drift' END) END AS reasons FROM sv""",
         *AGREE_SQL,
     ),
 )
