@@ -25,6 +25,9 @@ WIDTH = 10
 #: At about 300 bytes a window, at most some 600 MB; beyond it the join is by shuffle.
 BROADCAST_WINDOWS = 2_000_000
 
+#: Words and separators before lower-casing.
+_WRITTEN, _BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,8 +121,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", key:
         return docs.join(spans, same, "left_anti")
     joined = docs.join(spans, same, "left")
     # a text is its leading separators and then words, each with the separators after it
-    pieces = F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*"), F.lit(0))
-    lead = F.regexp_extract(F.col(text), r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]*", 0)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"{_WRITTEN}{_BETWEEN}*"), F.lit(0))
+    lead = F.regexp_extract(F.col(text), f"^{_BETWEEN}*", 0)
     inside = lambda i: F.exists("__spans", lambda s: (s["pos"] <= i) & (i < s["to"]))
     left = F.transform(pieces, lambda x, i: F.when(inside(i), F.lit("")).otherwise(x))
     cut = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.concat(lead, F.array_join(left, "")))
