@@ -56,13 +56,13 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
 
 
 def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified hits: (key, body, pos, width, item); body is the hash of the text, which tells rows of one key apart."""
+    """Verified hits: (key, body, pos, width, gram); body is the hash of the text, which tells rows of one key apart."""
     grams = windows.select("width", "hash", "gram").distinct()
     bound = [r["width"] for r in grams.select("width").distinct().collect()]  # at most ten widths
     small = grams.count() <= BROADCAST_WINDOWS
     base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     if not bound:
-        return base.select("key", "body", F.lit(0).alias("pos"), F.lit(0).alias("width"), F.lit("").alias("item")).limit(0)
+        return base.select("key", "body", F.lit(0).alias("pos"), F.lit(0).alias("width"), F.col("w").alias("gram")).limit(0)
     every = F.concat(*[F.coalesce(_windows_of(F.col("w"), n, not small), F.array()) for n in sorted(bound)]) if len(bound) > 1 else _windows_of(F.col("w"), bound[0], not small)
     probe = grams.select("width", "hash", F.col("gram").alias("sought"))
     if small:

@@ -109,7 +109,7 @@ def _in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / parts for i in range(1, parts)]
     cuts = rows.agg(F.percentile_approx("at", shares, 10000).alias("c")).first()["c"] or []
-    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [-float("inf"), *sorted({0.0, *map(float, cuts)}), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="place", outputCol="b").transform(rows.withColumn("place", F.col("at").cast("double"))).withColumn("b", F.col("b").cast("int"))
     # one row per bucket, no more than four per shuffle partition
     heads = sorted((r["b"], r["head"]) for r in dealt.groupBy("b").agg(F.max("at").alias("head")).collect())
