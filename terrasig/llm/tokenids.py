@@ -14,9 +14,11 @@ their text; an empty table gives no frames; further columns are not read; ids ma
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -53,23 +55,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for selector in range(14, 0, -1):
         width += values >= np.uint64(1 << PACKS[selector - 1][1])
     width += values > 0
-    width = width.reshape(blocks, BLOCK)
-    place = np.arange(BLOCK, dtype=np.int16)
     end = np.full(blocks, BLOCK)
     end[-1] = n - (blocks - 1) * BLOCK
-    left = (end[:, None] - place).astype(np.int16)
+    # the widest of 1, 2, 4 ... 64 ids from every place on; past the end all is narrow
+    spans = {1: np.pad(width.reshape(blocks, BLOCK), ((0, 0), (0, ZERO_RUN)))}
+    for k in (1, 2, 4, 8, 16, 32):
+        spans[2 * k] = np.maximum(spans[k][:, :-k], spans[k][:, k:])
     choice = np.zeros((blocks, BLOCK), np.uint8)  # escape unless something fits
-    lowest = int(width.min())
-    for selector in [*range(14, 0, -1), ZEROS]:
-        count = ZERO_RUN if selector == ZEROS else PACKS[selector - 1][0]
-        rank = 0 if selector == ZEROS else selector
-        if lowest > rank:
-            continue  # no id is that narrow
-        stop = np.minimum.accumulate(np.where(width > rank, place, np.int16(BLOCK))[:, ::-1], axis=1)[:, ::-1]
-        fits = stop - place >= np.minimum(np.int16(count), left)
-        if selector == ZEROS:
-            fits &= left >= ZERO_RUN
-        choice[fits] = selector
+    for selector in range(14, 0, -1):
+        count = PACKS[selector - 1][0]
+        half = 1 << (count.bit_length() - 1)
+        widest = np.maximum(spans[half][:, :BLOCK], spans[half][:, count - half : count - half + BLOCK])
+        choice[widest <= selector] = selector
+    room = BLOCK - ZERO_RUN + 1
+    zeros = (np.maximum(spans[64][:, :room], spans[64][:, ZERO_RUN - 64 : ZERO_RUN - 64 + room]) == 0) & (end[:, None] - np.arange(room) >= ZERO_RUN)
+    choice[:, :room][zeros] = ZEROS
     at, words_in, steps = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64), []
     alive = np.arange(blocks)
     while len(alive):
@@ -160,42 +160,42 @@ def unpack(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of whole texts by the tokenizers library; pieces between single spaces are encoded once.
 
-    With this vocabulary a space between two other signs always starts a token, so a text is the pieces' ids in a row.
-    Texts in which a space touches further white space are given to the library whole.
+    With this vocabulary a space between two other signs always starts a token, so a text is the pieces' ids in a row, and
+    new pieces are given to the library in long runs whose ids are cut where a token opens with a space. Texts in which a
+    space touches further white space are given to the library whole.
     """
 
     #: Pieces that a task keeps at most; then it learns anew.
-    PIECES = 200_000
-    MARKS = ".,;:!?"
+    PIECES = 400_000
+    #: Pieces in one call of the library.
+    RUN = 500
     _mixed = re.compile(r"\s\s")
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of pieces after a space; marks behind a letter or digit start a token of their own, so they are split off."""
-        cores = []
-        for piece in new:
-            core = piece.rstrip(self.MARKS)
-            cores.append(core if core and core[-1].isalnum() else piece)
-        unknown = list(set(cores).difference(self.cores))
-        self.cores.update(zip(unknown, self._encode([" " + c for c in unknown]), strict=True))
-        tails = list({p[len(c) :] for p, c in zip(new, cores, strict=True)}.difference(self.tails))
-        self.tails.update(zip(tails, self._encode(tails), strict=True))
-        self.known.update((p, self.cores[c] + self.tails[p[len(c) :]]) for p, c in zip(new, cores, strict=True))
+        """Ids of pieces with a space before them."""
+        ends = [p for p in new if not p or p[-1].isspace()]  # of a text: in a run they would touch the next space
+        self.known.update(zip(ends, self._encode([" " + p for p in ends]), strict=True))
+        new = [p for p in new if p and not p[-1].isspace()]
+        raw = b"".join(self._encode([" " + " ".join(new[i : i + self.RUN]) for i in range(0, len(new), self.RUN)]))
+        at = [*(4 * np.flatnonzero(self.opens[np.frombuffer(raw, np.uint32)])).tolist(), len(raw)]
+        self.known.update(zip(new, [raw[a:b] for a, b in pairwise(at)], strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.PIECES:
-            self.known, self.cores = {}, {}
+            self.known = {}
         plain = [None if self._mixed.search(t) else t.split(" ") for t in texts]
         self._learn(list({p for x in plain if x for p in x[1:]}.difference(self.known)))
         heads = iter(self._encode([x[0] for x in plain if x is not None]))
