@@ -193,6 +193,17 @@ def test_token_ids(spark, odd, empty):
     assert tokenids.read(frames).count() == more.count() and tokenids.digests(tokenids.write(empty, tokenids.byte_vocabulary())).count() == 0
 
 
+def test_pieces_in_runs_give_the_ids_of_whole_texts():
+    coder = tokenids.Encoder(tokenids.byte_vocabulary())
+    signs = [" ", " ", " ", "a", "b", "It", "'s", ".", "\n", "\t", "0", "é", "中", "Ġ", "!", "<|endoftext|>", "\x1c", "\x85", "\u3000", "\r"]
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(20)]
+        assert coder(texts) == coder._encode(texts)
+    coder.PIECES = 1
+    assert coder(["a b c", "", "a b "]) == coder._encode(["a b c", "", "a b "])
+
+
 def test_fingerprints(spark, odd, empty):
     rows = fingerprints.compare_next(odd).collect()
     assert len(rows) == odd.count()
