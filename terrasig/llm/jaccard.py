@@ -4,8 +4,9 @@ Texts are sets of distinct five-word shingles (64-bit hashes); two link at a Jac
 are one node from the start, so copies cost nothing.
 
 1. Screening. A linked set shares at least 4/5 of its tokens with its partner, so of its n//5 + k smallest hashes at least k
-   are shared with another set (k = n/10, at least 1). Only those tokens are shuffled; most sets end here. That is the
-   matrix's root: one group of all other sets.
+   are shared with another set (k = n/10, at least 1). Only those tokens are shuffled, in packs of sets of which each bucket
+   of tokens gets 32 bits a token and counts; one that many sets of a pack have is sent once. Tokens that agree in these bits
+   only let more sets through. Most sets end here. That is the matrix's root: one group of all other sets.
 2. Of the rest every token is counted. Less than 4/5 shared ends a set; the others order their tokens by count, rare first.
 3. Groups. Sets with the same least shared token form a group; each is verified against the group's most central set, and
    what links is one cluster. Clusters and the leftovers of each group, cut into blocks of `BLOCK` tokens, are the groups.
@@ -36,6 +37,10 @@ from terrasig.llm.words import mix, sets, slices
 BLOCK = 200_000
 QUERIES = 2_000
 
+#: Tokens that a task packs before it asks the buckets, and the mean tokens of a bucket at most, in the screening.
+PACK = 4_000_000
+BUCKET = 16_000_000
+
 
 def set_key(tokens: np.ndarray) -> int:
     """64 bits of a set: equal sets have equal keys."""
@@ -49,18 +54,91 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _screen(batches):
+def _first(n: int) -> int:
+    """How many of a set's smallest tokens the screening looks at; sets of up to four only link with equal ones."""
+    return n // 5 + max(1, -(-n // 10)) if n > 4 else 0
+
+
+def _nodes(batches):
     for batch in slices(batches, "text"):
         found = sets(batch.column("text"))
-        keys = [set_key(s) for s in found]
         sizes = [len(s) for s in found]
-        seen: set[int] = set()
-        parts = []
-        for s, k, n in zip(found, keys, sizes, strict=True):
-            new = n > 4 and k not in seen  # sets of up to four only link with equal ones
-            seen.add(k)
-            parts.append(s[: n // 5 + max(1, -(-n // 10))] if new else s[:0])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), _lists(parts)], names=["id", "body", "node", "n", "tokens"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("body"), pa.array([set_key(s) for s in found], pa.int64()), pa.array(sizes, pa.int64()), pa.array([_first(n) for n in sizes], pa.int64())],
+            names=["id", "body", "node", "n", "first"],
+        )
+
+
+def _asker(buckets: int):
+    """Packs of sets ask each bucket of tokens which are shared: a row is self-contained, so that it does not matter how
+    a task that runs again packs its sets."""
+
+    def asks(held: dict[int, np.ndarray]):
+        keys = np.array(list(held), np.int64)
+        tokens = mix(np.concatenate(list(held.values())))
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in held.values()])
+        bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((tokens, bucket))
+        tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+        start = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        many = np.diff(np.append(start, len(tokens))) > 1
+        here = np.repeat(many, np.diff(np.append(start, len(tokens))))  # shared inside the pack: sent once, for the others
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        twice = start[many]
+        cuts = np.searchsorted(twice, edges)
+        rows = []
+        for i in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[i], edges[i + 1])
+            inside = here[part]
+            mine = owner[part]
+            slots, at = np.unique(mine, return_inverse=True)
+            known = np.bincount(at[inside], minlength=len(slots)).astype(np.uint32)
+            single = np.argsort(at[~inside], kind="stable")
+            counts = np.bincount(at[~inside], minlength=len(slots)).astype(np.uint32)
+            low = tokens[part].astype(np.uint32)
+            shared = tokens[twice[cuts[i] : cuts[i + 1]]].astype(np.uint32)
+            rows.append((int(i), keys[slots].tobytes(), known.tobytes(), counts.tobytes(), low[~inside][single].tobytes(), shared.tobytes()))
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "nodes", "known", "counts", "tokens", "shared"])
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for batch in slices(batches, "text"):
+            for s in sets(batch.column("text")):
+                if len(s) > 4 and (k := set_key(s)) not in held:
+                    held[k] = s[: _first(len(s))].copy()
+                    size += len(held[k])
+                    if size >= PACK:
+                        yield asks(held)
+                        held, size = {}, 0
+        if held:
+            yield asks(held)
+
+    return run
+
+
+def _tally(table: pa.Table) -> pa.Table:
+    """One bucket of tokens: for every set that has some there, how many of them another set has too."""
+
+    def column(name, kind):
+        return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+    nodes, known, counts = column("nodes", np.int64), column("known", np.uint32), column("counts", np.uint32)
+    tokens, shared = column("tokens", np.uint32), column("shared", np.uint32)
+    hits = known.astype(np.int64)
+    slot = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
+    order = np.argsort(tokens, kind="stable")
+    tokens, slot = tokens[order], slot[order]
+    if len(tokens):
+        start = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        holders = nodes[slot]
+        two = (np.minimum.reduceat(holders, start) != np.maximum.reduceat(holders, start)) | np.isin(tokens[start], shared)
+        hits += np.bincount(slot[np.repeat(two, np.diff(np.append(start, len(tokens))))], minlength=len(nodes))
+    nodes, once = np.unique(nodes, return_index=True)  # packs that hold the same set know the same
+    hits = hits[once]
+    some = hits > 0
+    return pa.table({"node": pa.array(nodes[some]), "hits": pa.array(hits[some])})
 
 
 def _whole(batches):
@@ -100,11 +178,13 @@ def _open(table: pa.Table) -> pa.Table:
 
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between nodes that span every component."""
-    rows = nodes.where(F.size("tokens") > 0).select("node", "n", F.explode("tokens").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(nodes.agg(F.sum("first")).first()[0] or 0) // BUCKET))
+    asks = docs.select("text").mapInArrow(_asker(buckets), "bucket int, nodes binary, known binary, counts binary, tokens binary, shared binary")
+    hits = asks.groupBy("bucket").applyInArrow(_tally, "node long, hits long").groupBy("node").agg(F.sum("hits").alias("hits"))
     enough = F.greatest(F.lit(1), F.ceil(F.col("n") / 10))
-    left = rows.join(shared, "token", "left_semi").groupBy("node", "n").count().where(F.col("count") >= enough).select("node")
-    chosen = nodes.where(F.size("tokens") > 0).join(left, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "body")).alias("r")).select("r.id", "r.body")
+    one = nodes.where("first > 0").groupBy("node").agg(F.min(F.struct("id", "body", "n")).alias("r")).select("node", "r.*")
+    chosen = one.join(hits, "node").where(F.col("hits") >= enough).select("id", "body")
     chosen = keep(chosen, "screened")
     texts = docs.join(chosen.select(F.col("id").alias("__i"), F.col("body").alias("__b")), F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")), "left_semi")
     whole = keep(texts.select("text").mapInArrow(_whole, "node long, n long, tokens array<long>").dropDuplicates(["node"]), "sets")
@@ -123,16 +203,17 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     ranked = keep(ranked, "ranked")
 
-    centres = ranked.groupBy("anchor").agg(F.max(F.struct("central", "node")).alias("c")).select(F.col("c.node").alias("centre"))
-    hubs = ranked.join(centres, F.col("node") == F.col("centre"), "left_semi").select("anchor", F.col("node").alias("centre"), F.col("n").alias("m"), F.col("tokens").alias("u"))
+    hubs = ranked.groupBy("anchor").agg(F.max_by(F.struct("node", "n", "tokens"), F.struct("central", "node")).alias("c"))
+    hubs = hubs.select("anchor", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.tokens").alias("u"))
     both = F.size(F.array_intersect("tokens", "u"))
     met = ranked.join(hubs, "anchor").withColumn("o", both)
-    clustered = met.select("node", "n", "tokens", "prefix", "anchor", "centre", F.when(100 * F.col("o") >= 80 * (F.col("n") + F.col("m") - F.col("o")), F.col("centre")).otherwise(F.col("node")).alias("cluster"))
+    clustered = met.select("node", "anchor", F.size("tokens").alias("size"), F.when(100 * F.col("o") >= 80 * (F.col("n") + F.col("m") - F.col("o")), F.col("centre")).otherwise(F.col("node")).alias("cluster"))
     clustered = keep(clustered, "clustered")
     alone = clustered.groupBy("cluster").agg((F.count(F.lit(1)) == 1).alias("alone"))
     grouped = clustered.join(alone, "cluster").withColumn("group", F.when(F.col("alone"), F.xxhash64(F.lit("left"), "anchor")).otherwise(F.xxhash64(F.lit("cluster"), "cluster")))
-    blocks = grouped.groupBy("group").agg(F.ceil(F.sum(F.size("tokens")) / BLOCK).cast("int").alias("blocks"))
-    grouped = keep(grouped.join(blocks, "group").withColumn("block", F.xxhash64("group", F.pmod(F.xxhash64("node"), F.col("blocks")))).drop("blocks", "anchor", "centre"), "groups")
+    blocks = grouped.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    placed = grouped.join(blocks, "group").select("node", "cluster", "alone", "group", F.xxhash64("group", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    grouped = keep(ranked.select("node", "n", "tokens", "prefix").join(placed, "node"), "groups")
 
     matrix = grouped.select(F.explode("prefix").alias("token"), "block", "group", F.col("alone").alias("loose")).distinct()
     span = grouped.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -155,7 +236,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row per row of docs: key, body (hash of its text), n_shingles, component_id (the least key of its component)."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    nodes = keep(rows.mapInArrow(_screen, f"id {kind}, body long, node long, n long, tokens array<long>"), "nodes")
+    nodes = keep(rows.mapInArrow(_nodes, f"id {kind}, body long, node long, n long, first long"), "nodes")
     roots = components(_links(rows, nodes))
     named = nodes.select("id", "body", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
