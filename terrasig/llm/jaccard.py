@@ -37,9 +37,13 @@ from terrasig.llm.words import mix, sets, slices
 BLOCK = 200_000
 QUERIES = 2_000
 
-#: Tokens that a task packs before it asks the buckets, and the mean tokens of a bucket at most, in the screening.
+#: Tokens that a task packs before it asks the buckets, the mean tokens of a bucket at most, and the least number of buckets.
 PACK = 4_000_000
-BUCKET = 16_000_000
+BUCKET = 4_000_000
+LEAST = 64
+
+#: Bits of the filter that finds the screened texts: 32 MB, enough for eight million of them.
+FILTER = 1 << 28
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -141,6 +145,44 @@ def _tally(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(nodes[some]), "hits": pa.array(hits[some])})
 
 
+def _places(bodies: np.ndarray, bits: int) -> np.ndarray:
+    """The two bits of each text hash in a filter of `bits` bits (a power of two)."""
+    a = mix(bodies.view(np.uint64))
+    return np.stack([a, a >> np.uint64(32)]).astype(np.int64) & (bits - 1)
+
+
+def _words(bits: int):
+    def run(batches):
+        for batch in batches:
+            at = _places(batch.column("body").to_numpy(), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    return run
+
+
+def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Texts of docs among which are all chosen ones. A bit filter of the chosen texts, of at most `FILTER` bits, goes to
+    every task, so that texts stay where they are; beyond that size texts and chosen rows are joined. What a filter lets
+    through besides is a set that links with nothing."""
+    bits = 1 << max(16, (16 * chosen.count()).bit_length())
+    if bits > FILTER:
+        named = chosen.select(F.col("id").alias("__i"), F.col("body").alias("__b"))
+        return docs.join(named, F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")), "left_semi").select("text")
+    words = chosen.select("body").mapInArrow(_words(bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    held = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+
+    def run(batches):
+        mask = np.frombuffer(held.value, np.uint64)
+        for batch in batches:
+            at = _places(batch.column("body").to_numpy(), bits)
+            found = (mask[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
+            yield batch.select(["text"]).filter(pa.array(found))
+
+    return docs.where("text is not null").select("body", "text").mapInArrow(run, "text string")
+
+
 def _whole(batches):
     for batch in slices(batches, "text"):
         found = sets(batch.column("text"))
@@ -178,16 +220,14 @@ def _open(table: pa.Table) -> pa.Table:
 
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between nodes that span every component."""
-    spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(nodes.agg(F.sum("first")).first()[0] or 0) // BUCKET))
+    buckets = max(LEAST, -(-(nodes.agg(F.sum("first")).first()[0] or 0) // BUCKET))
     asks = docs.select("text").mapInArrow(_asker(buckets), "bucket int, nodes binary, known binary, counts binary, tokens binary, shared binary")
     hits = asks.groupBy("bucket").applyInArrow(_tally, "node long, hits long").groupBy("node").agg(F.sum("hits").alias("hits"))
     enough = F.greatest(F.lit(1), F.ceil(F.col("n") / 10))
     one = nodes.where("first > 0").groupBy("node").agg(F.min(F.struct("id", "body", "n")).alias("r")).select("node", "r.*")
     chosen = one.join(hits, "node").where(F.col("hits") >= enough).select("id", "body")
     chosen = keep(chosen, "screened")
-    texts = docs.join(chosen.select(F.col("id").alias("__i"), F.col("body").alias("__b")), F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")), "left_semi")
-    whole = keep(texts.select("text").mapInArrow(_whole, "node long, n long, tokens array<long>").dropDuplicates(["node"]), "sets")
+    whole = keep(_texts_of(docs, chosen).mapInArrow(_whole, "node long, n long, tokens array<long>").where("n > 4").dropDuplicates(["node"]), "sets")
 
     tokens = whole.select("node", "n", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").count().where("count > 1")
