@@ -38,7 +38,7 @@ BLOCK = 200_000
 QUERIES = 2_000
 
 #: Tokens that a task packs before it asks the buckets, the mean tokens of a bucket at most, and the least number of buckets.
-PACK = 4_000_000
+PACK = 1_000_000
 BUCKET = 4_000_000
 LEAST = 64
 
