@@ -42,6 +42,9 @@ PACK = 1_000_000
 BUCKET = 4_000_000
 LEAST = 64
 
+#: Bytes of text hashed at once: a worker keeps tables of twice eight bytes for each.
+SLICE = 1 << 20
+
 #: Bits of the filter that finds the screened texts: 32 MB, enough for eight million of them.
 FILTER = 1 << 28
 
@@ -64,7 +67,7 @@ def _first(n: int) -> int:
 
 
 def _nodes(batches):
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         found = sets(batch.column("text"))
         sizes = [len(s) for s in found]
         yield pa.RecordBatch.from_arrays(
@@ -108,7 +111,7 @@ def _asker(buckets: int):
     def run(batches):
         held: dict[int, np.ndarray] = {}
         size = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             for s in sets(batch.column("text")):
                 if len(s) > 4 and (k := set_key(s)) not in held:
                     held[k] = s[: _first(len(s))].copy()
@@ -184,7 +187,7 @@ def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def _whole(batches):
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         found = sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), _lists(found)], names=["node", "n", "tokens"])
 
