@@ -62,8 +62,8 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _first(n: int) -> int:
-    """How many of a set's smallest tokens the screening looks at; sets of up to four only link with equal ones."""
-    return n // 5 + max(1, -(-n // 10)) if n > 4 else 0
+    """How many of a set's smallest tokens the screening looks at; sets of up to three only link with equal ones."""
+    return n // 5 + max(1, -(-n // 10)) if n > 3 else 0
 
 
 def _nodes(batches):
@@ -113,7 +113,7 @@ def _asker(buckets: int):
         size = 0
         for batch in slices(batches, "text", SLICE):
             for s in sets(batch.column("text")):
-                if len(s) > 4 and (k := set_key(s)) not in held:
+                if len(s) > 3 and (k := set_key(s)) not in held:
                     held[k] = s[: _first(len(s))].copy()
                     size += len(held[k])
                     if size >= PACK:
@@ -230,7 +230,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     one = nodes.where("first > 0").groupBy("node").agg(F.min(F.struct("id", "body", "n")).alias("r")).select("node", "r.*")
     chosen = one.join(hits, "node").where(F.col("hits") >= enough).select("id", "body")
     chosen = keep(chosen, "screened")
-    whole = keep(_texts_of(docs, chosen).mapInArrow(_whole, "node long, n long, tokens array<long>").where("n > 4").dropDuplicates(["node"]), "sets")
+    whole = keep(_texts_of(docs, chosen).mapInArrow(_whole, "node long, n long, tokens array<long>").where("n > 3").dropDuplicates(["node"]), "sets")
 
     tokens = whole.select("node", "n", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").count().where("count > 1")

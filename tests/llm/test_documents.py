@@ -83,6 +83,17 @@ def test_jaccard_matches_brute_force(spark, odd, monkeypatch):
     assert Counter(map(tuple, got)) == Counter(brute_components(rows))
 
 
+def test_jaccard_links_four_shingles_with_five(spark):
+    rows = []
+    for i in range(12):
+        eight = prose(900 + i, 8)
+        rows += [(len(rows), eight), (len(rows) + 1, f"{eight} after" if i % 2 else f"before {eight}")]
+    rows += [(len(rows), seven := prose(950, 7)), (len(rows) + 1, seven + " after")]  # 3 of 4 is too little
+    got = jaccard.near_copies(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows))
+    assert {tuple(r)[2] for r in got if r["doc_id"] in (0, 1)} == {0}
+
+
 def test_jaccard_drops_all_but_one(spark, odd, empty):
     kept = [r["doc_id"] for r in jaccard.drop_copies(odd).collect()]
     assert sorted(k for k in kept if k is not None) == [0, 1, 2, 3, 4, 8, 9, 10, 11] and None in kept
