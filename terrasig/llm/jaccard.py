@@ -276,21 +276,22 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: key, body (hash of its text), n_shingles, component_id (the least key of its component)."""
+    """One row per row of docs: key, body (hash of its text), n_shingles, component_id (the least key of its component), root
+    (its component's node: unlike component_id it tells components apart whose keys are null or repeated)."""
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     nodes = keep(rows.mapInArrow(_nodes, f"id {kind}, body long, node long, n long, first long"), "nodes")
     roots = components(_links(rows, nodes))
     named = nodes.select("id", "body", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    return named.join(least, "root", "left").select(F.col("id").alias(key), "body", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return named.join(least, "root", "left").select(F.col("id").alias(key), "body", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "root")
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: the one of the least key (of several rows with it, the least text hash). Documents
     without words all stay."""
     found = keep(near_copies(docs, key, text), "components")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(key).alias("i"), "body")).alias("r"))
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col(key).alias("i"), "body")).alias("r"))
     empty = found.where("n_shingles = 0").select(F.col(key).alias("__i"), F.col("body").alias("__b")).distinct()
     kept = first.select(F.col("r.i").alias("__i"), F.col("r.body").alias("__b")).unionByName(empty)
     out = docs.join(kept, docs[key].eqNullSafe(F.col("__i")) & (F.xxhash64(docs[text]) == F.col("__b")), "left_semi")

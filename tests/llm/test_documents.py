@@ -100,6 +100,13 @@ def test_jaccard_drops_all_but_one(spark, odd, empty):
     assert jaccard.drop_copies(empty).count() == 0 and jaccard.drop_copies(odd).columns == odd.columns
 
 
+def test_jaccard_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    a, b, c, d = (prose(700 + i) for i in range(4))
+    rows = [(None, a), (None, b), (5, c), (5, d), (6, d), (7, d + " more"), (8, a)]
+    kept = jaccard.drop_copies(table(spark, rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, a), (None, b), (5, c), (5, d)])
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
