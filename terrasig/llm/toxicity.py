@@ -3,6 +3,8 @@
 A document is a bag of sentences (cut at . ! ? and line feeds). A sentence's probability is a logistic function of its
 hashed words and word stems; the document's is their noisy-or, 1 - prod(1 - p). Only document labels are needed: gradients
 flow to the sentences through the noisy-or, so the model learns which sentences carry the label and can point at them.
+In a score sentences without cues have no mass, and weak ones only what they have beyond the clean training texts' mean per
+sentence, so that no text is called toxic for its length.
 
 Training takes a bounded sample of labelled rows (`TOXIC_ROWS` and `CLEAN_ROWS`, the lowest hashes of their ids), as
 hashed features; everything else covers every document and whole texts.
@@ -14,7 +16,7 @@ scored alike; further columns pass through `score` untouched and are never featu
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +33,29 @@ CLEAN_ROWS = 3000
 #: Size of the hashed feature table, a power of two.
 FEATURES = 1 << 20
 
-#: A sentence's logit without any cue: a thousand such sentences together stay near one third.
+#: A sentence's logit without any cue.
 BIAS = -8.0
 
 #: A document is called toxic from here on.
 THRESHOLD = 0.3
 
+#: Sentences below this logit are weak: none of them alone makes a document toxic.
+WEAK = np.log(THRESHOLD / (1 - THRESHOLD))
+
+#: Standard deviations that weak cues may exceed their mean in a clean text.
+SPREAD = 2.0
+
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of the features that have one (ascending feature ids), and the bias of a sentence."""
+    """Weights of the features that have one (ascending feature ids), the bias of a sentence, and mean and variance of the
+    mass of weak sentences in clean texts."""
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
+    mean: float = 0.0
+    variance: float = 0.0
 
     def table(self) -> np.ndarray:
         full = np.zeros(FEATURES, np.float32)
@@ -83,6 +94,22 @@ def _keep_off(logits: np.ndarray) -> np.ndarray:
     return -np.logaddexp(0.0, logits)
 
 
+def _mass(logits: np.ndarray, bias: float) -> np.ndarray:
+    """-log(1 - p) of sentences, over that of a sentence without any cue, which has none."""
+    return _keep_off(np.array(bias)) - _keep_off(logits)
+
+
+def _total(logits: np.ndarray, owner: np.ndarray, rows: int, model: Model) -> np.ndarray:
+    """Each text's chance. Sentences that reach the threshold count whole; of the others what exceeds the mass that weak cues
+    have by chance in a clean text of so many sentences, its mean and `SPREAD` standard deviations."""
+    mass = _mass(logits, model.bias)
+    weak = logits < WEAK
+    n = np.bincount(owner, weak, rows)
+    chance = n * model.mean + SPREAD * np.sqrt(n * model.variance)
+    total = np.bincount(owner, np.where(weak, 0.0, mass), rows) + np.maximum(np.bincount(owner, np.where(weak, mass, 0.0), rows) - chance, 0.0)
+    return np.clip(-np.expm1(-total), 0.0, 1.0)
+
+
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn: Column) -> DataFrame:
     """The labelled training rows: (key, text, y), at most TOXIC_ROWS + CLEAN_ROWS ids."""
     named = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & learn).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("y"))
@@ -154,7 +181,14 @@ def _train(words: list[np.ndarray], sizes: list[np.ndarray], y: np.ndarray, epoc
             weight[hit] = np.maximum(weight[hit] - stride * (grad[hit] + shrink), 0.0)
     weight *= usable
     kept = np.flatnonzero(np.abs(weight) > 1e-3)
-    return Model(kept, weight[kept].astype(np.float32), BIAS)
+    model = Model(kept, weight[kept].astype(np.float32), BIAS)
+    table, mass = model.table(), [np.zeros(0)]
+    for i in full:
+        if y[i] == 0:
+            logits = _sentence_logits(words[i], np.concatenate([[0], sizes[i].cumsum()[:-1]]), table, BIAS)
+            mass.append(_mass(logits[logits < WEAK], BIAS))
+    mass = np.concatenate(mass)
+    return replace(model, mean=float(mass.mean()), variance=float(mass.var())) if len(mass) else model
 
 
 def _scorer(model: Model, column: str):
@@ -162,8 +196,8 @@ def _scorer(model: Model, column: str):
         table = model.table()
         for batch in slices(batches, column):
             ids, _, first, owner, _ = _bags(batch.column(column))
-            off = np.bincount(owner, _keep_off(_sentence_logits(ids, first, table, model.bias)), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(-np.expm1(off), 0.0, 1.0))], names=[*batch.schema.names, "__score"])
+            chance = _total(_sentence_logits(ids, first, table, model.bias), owner, batch.num_rows, model)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance)], names=[*batch.schema.names, "__score"])
 
     return run
 

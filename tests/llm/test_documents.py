@@ -264,6 +264,25 @@ def test_toxicity_finds_documents_and_sentences(spark, odd, empty):
     assert toxicity.score(docs, none).where("score > 1e-9").count() == 0
 
 
+def test_toxicity_does_not_grow_with_the_length(spark):
+    rows = [(i, f"{prose(i, 12)}. {'you rotter ' if i % 4 == 0 else ''}{prose(i + 999, 12)}.") for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(table(spark, rows), labels)
+    words = prose(5000, 120_000).split(" ")
+    clean = [" ".join(words[i : i + 6]) for i in range(0, 120_000, 6)]
+    long = table(spark, [(1, ". ".join(clean)), (2, ". ".join(clean[:10_000] + ["you rotter"] + clean[10_001:])), (3, ". ".join(["zz"] * 20_000))])
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(long, model).collect()}
+    assert got[1] < toxicity.THRESHOLD <= got[2] and got[3] == 0
+    # weak cues as frequent as in clean texts
+    logits = np.full(20_000, toxicity.BIAS)
+    logits[::1000] = -2.0
+    mass = toxicity._mass(logits, toxicity.BIAS)
+    usual = toxicity.Model(model.features, model.weights, model.bias, float(mass.mean()), float(mass.var()))
+    assert toxicity._total(logits, np.zeros(20_000, np.int64), 1, usual)[0] < toxicity.THRESHOLD
+    logits[7] = 4.0
+    assert toxicity._total(logits, np.zeros(20_000, np.int64), 1, usual)[0] > 0.9
+
+
 def test_hashing_knows_texts_by_their_own_bytes():
     texts = ["a b c d e f", "A  B\nc d e f", None, "", "f", "a b c d e"]
     sets = words.sets(pa.array(texts))
