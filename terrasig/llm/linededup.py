@@ -3,8 +3,10 @@
 A line (between line feeds, not blank) is the set of its shingles of `WIDTH` bytes, A-Z lower-cased; a shorter line is one
 shingle. Signatures are one-permutation MinHash: a shingle's hash picks a bin and its value, empty bins take over from the next
 filled one. `BANDS` bands of `ROWS` bins make the candidates: two lines at a similarity of 0.8 meet with a probability of
-0.9992, at 0.85 of 0.9999. In each band every line is paired with one centre (chosen by a hash that differs from band to band),
-so a group of n lines gives n pairs; pairs are verified by their exact Jaccard similarity, links make components, and the first
+0.9992, at 0.85 of 0.9999. In each band every line is paired with one centre (chosen by a hash that differs from band to band);
+pairs are verified by their exact Jaccard similarity and links make clusters. A band whose lines are then of one cluster is done.
+In the others the lines are cut into salted blocks, and blocks meet each other and themselves: every pair of lines of different
+clusters is verified. So two lines that share a band are compared, or connected already. Links make components, and the first
 line (least document, then place) of each component stays.
 
 Bands are first counted with partial sums; only bands of two or more lines are joined, so a band that a third of all lines
@@ -30,6 +32,10 @@ BANDS = 10
 ROWS = 3
 SIMILARITY = 0.8
 
+#: Lines and bytes of text in a block of a band of several clusters, about.
+BLOCK = 1_000
+BYTES = 4 << 20
+
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased bytes of a batch, and of each non-blank line its first byte, its end and its text; blanks are left out."""
     data, offsets = raw(texts)
@@ -124,6 +130,64 @@ def _verify(batches):
             yield piece.select(["a", "b"]).filter(pa.array(shared >= SIMILARITY * (sizes - shared)))
 
 
+def _meet(right: np.ndarray, root: np.ndarray, sets: list[np.ndarray]) -> set[tuple[int, int]]:
+    """Links between clusters of a block's lines, or of two blocks' (the second one is `right`)."""
+    own = np.flatnonzero(~right)
+    asks = np.flatnonzero(right)
+    if not len(own) or root.min() == root.max():
+        return set()
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate([sets[k] for k in own])
+    owner = np.repeat(np.arange(len(own)), sizes[own])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    found: set[tuple[int, int]] = set()
+    for k in asks if len(asks) else own:
+        low, high = np.searchsorted(flat, sets[k], "left"), np.searchsorted(flat, sets[k], "right")
+        wide = high - low
+        at = np.arange(wide.sum()) + np.repeat(low - np.concatenate([[0], wide.cumsum()[:-1]]), wide)
+        shared = np.bincount(owner[at], minlength=len(own))
+        good = (shared >= SIMILARITY * (sizes[own] + sizes[k] - shared)) & (root[own] != root[k])
+        found.update((int(root[k]), int(x)) for x in np.unique(root[own[good]]))
+    return found
+
+
+def _met(batches):
+    """The links of every group; the rows of a group follow each other."""
+    now, right, root, sets = None, [], [], []
+
+    def links():
+        rows = sorted(_meet(np.array(right, bool), np.array(root, np.int64), sets)) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], names=["a", "b"])
+
+    for batch in slices(batches, "bytes"):
+        data, offsets = raw(batch.column("bytes"))
+        hashes, edges, _ = _shingles(data, offsets[:-1], offsets[1:])
+        groups, sides, roots = (batch.column(c).to_pylist() for c in ("group", "right", "root"))
+        for k in range(batch.num_rows):
+            if groups[k] != now:
+                yield links()
+                now, right, root, sets = groups[k], [], [], []
+            right.append(sides[k])
+            root.append(roots[k])
+            sets.append(np.unique(hashes[edges[k] : edges[k + 1]]))
+    yield links()
+
+
+def _between(met: DataFrame, roots: DataFrame, bytes_of: DataFrame) -> DataFrame:
+    """Links between the clusters that lines of one band belong to (a, b: roots)."""
+    rooted = met.join(roots, F.col("line") == F.col("node"), "left").select("band", "line", F.coalesce("root", "line").alias("root"))
+    # in a band of two the pair was verified
+    mixed = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select("band")
+    sizes = bytes_of.select("line", F.octet_length("bytes").alias("size"))
+    lines = keep(rooted.join(mixed, "band").join(sizes, "line"), "open")
+    blocks = lines.groupBy("band").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BYTES)).cast("int").alias("blocks"))
+    placed = lines.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("line", "band"), F.col("blocks")).cast("int"))
+    dealt = placed.select("band", "line", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("group"), (F.col("block") > F.col("other")).alias("right"), "line", "root")
+    return dealt.join(bytes_of, "line").select("group", "right", "root", "bytes").repartition("group").sortWithinPartitions("group").mapInArrow(_met, "a long, b long").distinct()
+
+
 def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per non-blank line: id, body (hash of its document's text), number (among the document's non-blank lines),
     component, keep (true for the first line of the component)."""
@@ -146,7 +210,10 @@ def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bytes_of = keep(read.join(where.select("line"), "line", "left_semi").dropDuplicates(["line"]), "linetexts")
     both = pairs.join(bytes_of.select(F.col("line").alias("a"), F.col("bytes").alias("x")), "a").join(bytes_of.select(F.col("line").alias("b"), F.col("bytes").alias("y")), "b")
     links = both.mapInArrow(_verify, "a long, b long")
-    roots = components(links)
+    roots = keep(components(links), "clusters")
+    joined = keep(components(_between(met, roots, bytes_of)), "joined").withColumnsRenamed({"node": "__n", "root": "__r"})
+    alone = joined.join(roots, F.col("__n") == F.col("node"), "left_anti").select(F.col("__n").alias("node"), F.col("__r").alias("root"))
+    roots = roots.join(joined, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root")).unionByName(alone)
 
     named = members.join(roots, F.col("line") == F.col("node"), "left").select("id", "body", "number", F.coalesce("root", "line").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct("id", "body", "number")).alias("f"))

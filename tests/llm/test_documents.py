@@ -122,6 +122,41 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.dedupe(odd).count() == odd.count()
 
 
+def test_line_dedup_verifies_all_pairs_of_a_band(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "BLOCK", 40)  # several blocks a band
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300))
+    lines = []
+    for i in range(300):  # families of three around a template: 0.6 to 0.85 to each other
+        head = list(base) if i % 3 == 0 else list(lines[-1])
+        for at in rng.integers(0, 300, 7 if i % 3 == 0 else 2):
+            head[at] = str(rng.integers(10))
+        lines.append("".join(head))
+    sets = [{x[k : k + 9] for k in range(len(x) - 8)} for x in lines]
+    data, starts, ends, _ = linededup._lines(pa.array(lines))
+    hashes, edges, _ = linededup._shingles(data, starts, ends)
+    bands = linededup._bands(hashes, edges)
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(300):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (bands[i] == bands[j]).any():
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    got = linededup.line_components(table(spark, list(enumerate(lines)))).collect()
+    parts = defaultdict(set)
+    for r in got:
+        parts[r["component"]].add(r["id"])
+    want = defaultdict(set)
+    for i in range(300):
+        want[find(i)].add(i)
+    assert 10 < len(want) < 290 and sorted(map(sorted, parts.values())) == sorted(map(sorted, want.values()))
+
+
 def test_scores_follow_the_counts(spark, odd, empty):
     docs = table(spark, [(1, "a b a b"), (2, "a c"), (3, None)])
     got = {r["doc_id"]: r for r in lmscore.score(docs).collect()}
