@@ -77,8 +77,13 @@ def verdicts(agree: DataFrame, recent: DataFrame, key: str) -> DataFrame:
 
 
 def merge_tail(history: DataFrame, tail: DataFrame, cut: Column, key: str = "cell", date: str = "d") -> DataFrame:
-    """History strictly before the cut, the tail from it on. The two sides cannot overlap, so no join is needed."""
-    return history.filter(F.col(date) < cut).unionByName(tail.filter(F.col(date) >= cut))
+    """All tail days, and those of the history before the cut that the tail lacks; a tail day wins whole, with its nulls."""
+    values = [c for c in history.columns if c not in (key, date)]
+    old = history.filter(F.col(date) < cut).withColumn("_old", F.lit(True))
+    new = tail.select(key, date, *(F.col(c).alias(f"_tail_{c}") for c in values)).withColumn("_new", F.lit(True))
+    both = old.join(new, [key, date], "full_outer")
+    merged = [F.when(F.col("_new"), F.col(f"_tail_{c}")).otherwise(F.col(c)).alias(c) for c in values]
+    return both.select(key, date, *merged).select(*history.columns)
 
 
 def fill_trailing_gap(

@@ -184,3 +184,18 @@ def test_crowded_spot_keeps_every_pixel(spark):
     assert got == {1: 20_000.0, 2: 20_000.0}
     clear = spatial.without_neighbours(pixels, places, "id", 500.0)
     assert clear.count() == 40_000
+
+
+def test_merge_keeps_tail_days_before_the_cut(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from terrasig.operators import quality
+
+    def rows(*pairs):
+        return spark.createDataFrame([(1, datetime.date(2001, 1, d), v) for d, v in pairs], "cell long, d date, v double")
+
+    history, tail = rows((1, 1.0), (2, 2.0), (6, 6.0)), rows((2, None), (3, 30.0), (5, 50.0))
+    got = quality.merge_tail(history, tail, F.lit("2001-01-05").cast("date")).orderBy("d").collect()
+    assert [(r["d"].day, r["v"]) for r in got] == [(1, 1.0), (2, None), (3, 30.0), (5, 50.0)]
