@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ BBOX = (-180.0, -60.0, 180.0, 60.0)
 SEED = 17
 BACKGROUND_RATIO = 3
 OVERSAMPLE = 5
+#: Cells of a domain that give fire strata.
+MAX_CELLS = {"us": 320, "canada": 220}
 
 
 def dem(t: Tables, points: DataFrame) -> DataFrame:
@@ -78,12 +82,19 @@ def build_trigger(t: Tables) -> DataFrame:
     return trigger(t)
 
 
+def fire_cells(dense: DataFrame, most: dict[str, int] = MAX_CELLS) -> DataFrame:
+    """The cells of each domain, by hash where there are more than `most`."""
+    domain = F.when(F.col("cell") % 2 == 0, "us").otherwise("canada")
+    cells = dense.select("cell").distinct().withColumn("domain", domain)
+    parts = [sampling.sample_k(cells.where(F.col("domain") == name), ["domain"], ["cell"], k, SEED) for name, k in most.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("build_fire_strata")
 def build_fire_strata(t: Tables) -> DataFrame:
-    """Dense cells only, at most 80 of them by hash, four fires per cell, controls clear of any fire by 21 days."""
+    """Dense cells only, at most `MAX_CELLS` of them by hash, four fires per cell, controls clear of any fire by 21 days."""
     dense = sampling.keys_with_at_least(t.event, ["cell"], 4)
-    domain = F.when(F.col("cell") % 2 == 0, "us").otherwise("canada")
-    cells = sampling.sample_k(dense.select("cell").distinct().withColumn("domain", domain), ["domain"], ["cell"], 40, SEED)
+    cells = fire_cells(dense)
     fires = dense.join(cells, "cell")
     cases = sampling.sample_k(fires, ["cell"], ["event_id"], 4, SEED).select(
         F.col("event_id").alias("stratum"), "cell", "d"

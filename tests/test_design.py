@@ -122,3 +122,10 @@ def test_model_finds_a_planted_signal(spark):
     imp = ml.importance(ml.gbt(feats, "label", quick).fit(df), feats, df).first()
     assert imp["feature"] == "x"
     assert len(ml.draw_params(5)) == 5 and ml.draw_params(5) == ml.draw_params(5)
+
+
+def test_fire_cells_per_domain(spark):
+    from terrasig.plans import matrices
+
+    got = matrices.fire_cells(spark.range(1000).withColumnRenamed("id", "cell")).groupBy("domain").count().collect()
+    assert {r["domain"]: r["count"] for r in got} == {"us": 320, "canada": 220}
