@@ -288,3 +288,46 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasig.llm import lexical
 
     return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+# 12 Vector code compression
+
+
+def _codes_sql(rounds: int = 4, entries: int = 256) -> str:
+    """SQL of the codes: every round assigns all parts to all entries and averages them."""
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+wide AS (SELECT len(v) // 4 AS wide FROM kept WHERE r = 1),
+parts AS MATERIALIZED (SELECT r, p, v[p * wide + 1 : (p + 1) * wide] AS x FROM kept, wide, range(4) AS t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS y FROM parts WHERE r <= {entries})"""
+    for i in range(rounds + 1):
+        sql += f""",
+near{i} AS MATERIALIZED (
+  SELECT r, p, a.s.e AS e, a.s.d AS d FROM (
+    SELECT r, p, min({{'d': list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS s
+    FROM parts JOIN book{i} USING (p) GROUP BY r, p) AS a)"""
+        if i < rounds:
+            sql += f""",
+mean{i} AS (
+  SELECT p, e, list((s - (((s % c) + c) % c)) // c ORDER BY k) AS y FROM (
+    SELECT p, e, k, CAST(sum(x[k]) AS BIGINT) AS s, count(*) AS c FROM near{i} JOIN parts USING (r, p), wide, unnest(range(1, wide + 1)) AS t(k) GROUP BY ALL) GROUP BY p, e),
+book{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.y, b.y) AS y FROM book{i} b LEFT JOIN mean{i} m USING (p, e))"""
+    return sql + f""",
+codes AS (SELECT r, string_agg(lower(lpad(hex(e), 2, '0')), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r),
+book AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (r), book"""
+
+
+CODES_SQL = _codes_sql()
+
+
+@query("op12_vector_codes", CODES_SQL)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by codebooks of all embeddings."""
+    from terrasig.llm import vectorcodes
+
+    return vectorcodes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
