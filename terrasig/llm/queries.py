@@ -331,3 +331,34 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrasig.llm import vectorcodes
 
     return vectorcodes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# 11 MinHash near-dedup
+
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+docs AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+sets AS MATERIALIZED (SELECT row_number() OVER () AS node, s, len(s) AS n FROM (SELECT DISTINCT s FROM docs WHERE len(s) > 0)),
+tokens AS MATERIALIZED (SELECT node, n, unnest(s) AS t FROM sets),
+links AS MATERIALIZED (
+  SELECT a.node AS a, b.node AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+paired AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (SELECT node, node FROM sets UNION SELECT reach.node, paired.b FROM reach JOIN paired ON paired.a = reach.other),
+ids AS (SELECT node, min(doc_id) AS least FROM sets JOIN docs USING (s) GROUP BY node),
+found AS (SELECT reach.node, min(least) AS component FROM reach JOIN ids ON ids.node = reach.other GROUP BY reach.node)
+SELECT doc_id, CAST(len(docs.s) AS BIGINT) AS n_shingles, CASE WHEN len(docs.s) > 0 THEN component ELSE doc_id END AS component_id,
+  CASE WHEN len(docs.s) > 0 THEN component ELSE doc_id END IS NOT DISTINCT FROM doc_id AS kept
+FROM docs LEFT JOIN sets ON sets.s = docs.s LEFT JOIN found USING (node)"""
+
+
+@query("op11_minhash_dedup", NEAR_DEDUP_SQL)
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies by three-word shingles."""
+    from terrasig.llm import hyperminhash
+
+    return hyperminhash.near_copies(documents(spark, sf_dir))
