@@ -45,16 +45,16 @@ def verdicts(agree: DataFrame, recent: DataFrame, key: str) -> DataFrame:
     """Long-run, recent-window and combined verdict with reasons.
 
     The combined verdict tolerates a constant ratio, because percentiles do: it asks for the pattern, a sane ratio and a
-    recent ratio close to the pair's own baseline.
+    recent ratio close to the pair's own baseline. A cell that only one side knows is unverified.
     """
     a, b = F.coalesce("a_mm", F.lit(0.0)), F.coalesce("b_mm", F.lit(0.0))
     wet_enough = F.greatest(a, b) >= 30.0
     ratio_now = (a + 1.0) / (b + 1.0)
-    df = agree.join(recent, key).withColumns(
+    df = agree.join(recent, key, "full_outer").withColumns(
         {
             "recent_ratio": F.when(wet_enough, ratio_now),
             "recent": F.when(~wet_enough | ratio_now.between(0.4, 2.5), "ok").otherwise("disagree"),
-            "longrun": F.when((F.col("n_months") < MIN_MONTHS) | F.col("ratio").isNull(), "unverified")
+            "longrun": F.when((F.coalesce("n_months", F.lit(0)) < MIN_MONTHS) | F.col("ratio").isNull(), "unverified")
             .when((F.col("corr_monthly") >= 0.60) & F.col("ratio").between(0.6, 1.6), "ok")
             .otherwise("disagree"),
         }
@@ -77,13 +77,13 @@ def verdicts(agree: DataFrame, recent: DataFrame, key: str) -> DataFrame:
 
 
 def merge_tail(history: DataFrame, tail: DataFrame, cut: Column, key: str = "cell", date: str = "d") -> DataFrame:
-    """All tail days, and those of the history before the cut that the tail lacks; a tail day wins whole, with its nulls."""
+    """All tail days, and those of the history before the cut that the tail lacks; a tail day wins whole, with its nulls.
+
+    The two are stacked and folded per day, so both are read once and combine before the exchange.
+    """
     values = [c for c in history.columns if c not in (key, date)]
-    old = history.filter(F.col(date) < cut).withColumn("_old", F.lit(True))
-    new = tail.select(key, date, *(F.col(c).alias(f"_tail_{c}") for c in values)).withColumn("_new", F.lit(True))
-    both = old.join(new, [key, date], "full_outer")
-    merged = [F.when(F.col("_new"), F.col(f"_tail_{c}")).otherwise(F.col(c)).alias(c) for c in values]
-    return both.select(key, date, *merged).select(*history.columns)
+    stacked = history.filter(F.col(date) < cut).withColumn("_tail", F.lit(0)).unionByName(tail.withColumn("_tail", F.lit(1)))
+    return stacked.groupBy(key, date).agg(*[F.max_by(c, "_tail").alias(c) for c in values]).select(*history.columns)
 
 
 def fill_trailing_gap(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasig.functions import grids
-from terrasig.operators import sampling, spatial
+from terrasig.operators import descent, sampling, spatial
 from terrasig.plans.registry import query
 from terrasig.plans.tables import Tables
 from terrasig.plans.views import with_views
@@ -170,7 +170,19 @@ def anti_proximity(t: Tables) -> DataFrame:
     ),
 )
 def radius_sum(t: Tables) -> DataFrame:
-    return spatial.radius_sum(t.place, t.point, 1000.0, "people", "people").withColumn("people", F.round("people", 2))
+    return descent.radius_sum(t.place, t.point, 1000.0, "people", "people").withColumn("people", F.round("people", 2))
+
+
+@query(
+    "radius_sum_10km",
+    with_views(
+        "point place",
+        f"""SELECT a.id, ROUND(COALESCE(SUM(b.people), 0), 2) AS people FROM place a LEFT JOIN point b ON {DIST_KM} <= 1e1 GROUP BY 1""",
+    ),
+)
+def radius_sum_10km(t: Tables) -> DataFrame:
+    """People within ten kilometres of every registered location."""
+    return descent.radius_sum(t.place, t.point, 10.0, "people", "people").withColumn("people", F.round("people", 2))
 
 
 NEAREST_SQL = (
@@ -182,7 +194,7 @@ NEAREST_SQL = (
 
 @query("nearest_neighbour", with_views("point place", "SELECT id, ROUND(metres, 3) AS metres FROM nn", NEAREST_SQL))
 def nearest_neighbour(t: Tables) -> DataFrame:
-    return spatial.nearest(t.point, t.place).select("id", F.round("metres", 3).alias("metres"))
+    return descent.nearest(t.point, t.place).select("id", F.round("metres", 3).alias("metres"))
 
 
 @query(

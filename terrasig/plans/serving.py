@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasig.functions import grids
-from terrasig.operators import climate, jobs, river, series, serving, spatial, world
+from terrasig.operators import climate, descent, jobs, river, series, serving, spatial, world
 from terrasig.plans.aggregates import EXPOSURE_SQL, TERRAIN_SQL, terrain_table
 from terrasig.plans.joins import DIST_KM
 from terrasig.plans.basics import geohash_sql
 from terrasig.plans.registry import query
 from terrasig.plans.tables import Tables
-from terrasig.plans.timeseries import AGREE_SQL, FIRE_SQL, RIVER_SQL, verdicts, world_ranks
+from terrasig.plans.timeseries import AGREE_SQL, FIRE_SQL, MERGE_SQL, RIVER_SQL, verdicts, world_ranks
 from terrasig.plans.views import seasonal_sql, with_views
 from terrasig.sources import sinks
 
@@ -220,7 +220,7 @@ def watchlist_rows(t: Tables) -> DataFrame:
     signals = ["rain3d", "rain30d", "vpd", "kbdi", "spi90", "spi365"]
     fields = world.wide(world_ranks(t).filter(F.col("d") == day), signals)
     flow = river.flow_rank(t.river_day.select("cell", "d", "m3s"), "cell", "d", "m3s", only=F.col("d") == day)
-    people = spatial.radius_sum(t.place, t.point, 1000.0, "people", "people").withColumn("people", F.round("people", 2))
+    people = descent.radius_sum(t.place, t.point, 1000.0, "people", "people").withColumn("people", F.round("people", 2))
     df = (
         t.place.select("id", F.col("name").alias("city"), F.col("id").alias("cell"))
         .join(fields.drop("d"), "cell")
@@ -312,7 +312,7 @@ NIGHT_SQL = (
     *AGREE_SQL,
     *RIVER_SQL,
     *FIRE_SQL,
-    ("nh", "SELECT cell, d, precip FROM daily WHERE d < DATE '2001-01-01' UNION ALL SELECT cell, d, precip2 FROM rain2 WHERE d >= DATE '2001-01-01'"),
+    ("nh", MERGE_SQL[0][1]),
     ("nl", "SELECT cell, MAX(d) AS last FROM nh WHERE precip IS NOT NULL GROUP BY 1"),
     (
         "nc",

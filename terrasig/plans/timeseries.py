@@ -451,12 +451,12 @@ AGREE_SQL = (
         "sv",
         """SELECT *, CASE WHEN longrun = 'unverified' THEN 'unverified' WHEN corr_monthly < 6e-1 OR ratio NOT BETWEEN 25e-2 AND 4e0 OR abs(ln(rr/ratio)) > ln(22e-1)
              THEN 'disagree' ELSE 'ok' END AS combined FROM (
-           SELECT g.cell, g.n_months, g.corr_monthly, g.ratio, r.a_mm, r.b_mm,
-             CASE WHEN GREATEST(r.a_mm, r.b_mm) >= 3e1 THEN (r.a_mm+1e0)/(r.b_mm+1e0) END AS rr,
-             CASE WHEN GREATEST(r.a_mm, r.b_mm) < 3e1 THEN 'ok' WHEN (r.a_mm+1e0)/(r.b_mm+1e0) BETWEEN 4e-1 AND 25e-1 THEN 'ok' ELSE 'disagree' END AS recent,
-             CASE WHEN g.n_months < 48 OR g.ratio IS NULL THEN 'unverified'
-               WHEN g.corr_monthly >= 6e-1 AND g.ratio BETWEEN 6e-1 AND 16e-1 THEN 'ok' ELSE 'disagree' END AS longrun
-           FROM agree g JOIN rec r USING (cell))""",
+           SELECT cell, n_months, corr_monthly, ratio, a_mm, b_mm,
+             CASE WHEN GREATEST(a_mm, b_mm) >= 3e1 THEN (a_mm+1e0)/(b_mm+1e0) END AS rr,
+             CASE WHEN GREATEST(a_mm, b_mm) < 3e1 THEN 'ok' WHEN (a_mm+1e0)/(b_mm+1e0) BETWEEN 4e-1 AND 25e-1 THEN 'ok' ELSE 'disagree' END AS recent,
+             CASE WHEN n_months < 48 OR ratio IS NULL THEN 'unverified'
+               WHEN corr_monthly >= 6e-1 AND ratio BETWEEN 6e-1 AND 16e-1 THEN 'ok' ELSE 'disagree' END AS longrun
+           FROM (SELECT cell, COALESCE(n_months, 0) AS n_months, corr_monthly, ratio, COALESCE(a_mm, 0) AS a_mm, COALESCE(b_mm, 0) AS b_mm FROM agree FULL JOIN rec USING (cell)))""",
     ),
 )
 
@@ -515,10 +515,8 @@ def source_verdict(t: Tables) -> DataFrame:
 MERGE_SQL = (
     (
         "merged",
-        """SELECT COALESCE(h.cell, t.cell) AS cell, COALESCE(h.d, t.d) AS d,
-           CASE WHEN COALESCE(h.d, t.d) < DATE '2001-01-01' THEN h.precip ELSE t.precip2 END AS precip
-           FROM (SELECT * FROM daily WHERE d < DATE '2001-01-01') h
-           FULL JOIN (SELECT * FROM rain2 WHERE d >= DATE '2001-01-01') t ON t.cell = h.cell AND t.d = h.d""",
+        """SELECT cell, d, precip2 AS precip FROM rain2 UNION ALL
+           SELECT cell, d, precip FROM daily h WHERE d < DATE '2001-01-01' AND NOT EXISTS (SELECT 1 FROM rain2 t WHERE t.cell = h.cell AND t.d = h.d)""",
     ),
 )
 

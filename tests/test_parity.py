@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrasig.operators import metrics, ranking, spatial
+from terrasig.operators import descent, metrics, ranking, spatial
 from terrasig.plans import streams
 from terrasig.plans.tables import Tables
 from terrasig.streaming import tables, windows
@@ -98,15 +98,15 @@ def clouds(spark):
 @pytest.mark.parametrize("km", [1.0, 25.0, 700.0])
 def test_radius_sum_equals_brute_force(spark, km):
     pts, qs, a, b = clouds(spark)
-    got = {r["id"]: r["n"] for r in spatial.radius_sum(b, a, km, "people", "n").collect()}
+    got = {r["id"]: r["n"] for r in descent.radius_sum(b, a, km, "people", "n").collect()}
     for i, q in enumerate(qs):
         assert got[i] == pytest.approx(sum(k % 5 + 1 for k, p in enumerate(pts) if hav(q, p, 6371008.8) <= km * 1000))
 
 
 def test_nearest_equals_brute_force(spark):
     pts, qs, a, b = clouds(spark)
-    for first in (500.0, 300_000.0):
-        got = {r["id"]: r["metres"] for r in spatial.nearest(b, a, first).collect()}
+    for opened in (1, 32):
+        got = {r["id"]: r["metres"] for r in descent.nearest(b, a, opened).collect()}
         assert len(got) == len(qs)
         for i, q in enumerate(qs):
             assert got[i] == pytest.approx(min(hav(q, p) for p in pts), abs=1e-3)
@@ -180,7 +180,7 @@ def test_crowded_spot_keeps_every_pixel(spark):
     far = spark.range(40_000).select((F.col("id") + 20_000).alias("id"), (-60 + F.col("id") * 1e-3).alias("lat"), F.lit(-90.0).alias("lon"), F.lit(1.0).alias("people"))
     pixels = crowd.unionByName(far)
     places = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.05, 20.0)], "id int, lat double, lon double")
-    got = {r["id"]: r["n"] for r in spatial.radius_sum(places, pixels, 10.0, "people", "n").collect()}
+    got = {r["id"]: r["n"] for r in descent.radius_sum(places, pixels, 10.0, "people", "n").collect()}
     assert got == {1: 20_000.0, 2: 20_000.0}
     clear = spatial.without_neighbours(pixels, places, "id", 500.0)
     assert clear.count() == 40_000

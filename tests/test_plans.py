@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from terrasig.operators import climate, sampling, spatial
+from terrasig.operators import climate, descent, sampling, spatial
 from terrasig.plans import load
 from terrasig.plans.tables import Tables
 
@@ -35,7 +35,7 @@ def test_fire_features_exchange_once_after_the_fold(spark):
 def test_no_nested_loops_in_spatial_joins(spark):
     t = Tables(spark, SF)
     for df in (
-        spatial.radius_sum(t.place, t.point, 100.0, "people", "people"),
+        descent.radius_sum(t.place, t.point, 100.0, "people", "people"),
         spatial.without_neighbours(t.point, t.place, "id", 500.0),
         spatial.first_box(t.point, t.place.select(F.col("name").alias("region"), (F.col("lon") - 1).alias("x0"), (F.col("lat") - 1).alias("y0"), (F.col("lon") + 1).alias("x1"), (F.col("lat") + 1).alias("y1"))),
         spatial.node_representatives(t.point, -50.0, -170.0, 25, 85, 4.0),
