@@ -281,15 +281,13 @@ def _links_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     both = both.join(sketches.select(F.col("node").alias("centre"), F.col("n").alias("m"), F.col("registers").alias("s")), "centre")
     near = keep(both.mapInArrow(_estimated, "node long, centre long, likeness double"), "near")
 
-    first = components(near.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    named = placed.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("label"))
-    named = keep(named, "named")
+    # one hop to the least centre is enough to tell most members of a family that they are in it
+    hop = near.groupBy("node").agg(F.min("centre").alias("label"))
+    named = keep(placed.select("band", "node").join(hop, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "named")
     apart = _blocks(named, "band", F.lit(1), REGISTERS).join(sketches, "node")
-    more = keep(_in_tasks(apart, _families, "a long, b long").distinct(), "families")
-    families = first.select("node", "root")
-    if more.limit(1).count():
-        families = components(more.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    families = keep(families.distinct(), "family")
+    more = _in_tasks(apart, _families, "a long, b long").distinct()
+    edges = near.select(F.col("node").alias("a"), F.col("centre").alias("b")).unionByName(more)
+    families = keep(components(edges).distinct(), "family")
 
     # whole sets of the members of families, from one row of each
     chosen = nodes.join(families, "node", "left_semi").select(F.xxhash64("at.id", "at.body").alias("row"))
@@ -302,12 +300,13 @@ def _links_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     sure = pair.withColumn("o", shared).where(100 * F.col("o") >= LINK * (F.col("n") + F.col("m") - F.col("o")))
     sure = keep(sure.select(F.col("node").alias("a"), F.col("centre").alias("b")), "sure")
 
-    parts = components(sure)
-    rows = families.select("node", F.col("root").alias("family")).join(parts, "node", "left").select("node", "family", F.coalesce("root", "node").alias("label"))
+    # a centre is less than its members, so two hops end at a centre's centre
+    up = sure.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    label = sure.join(up, "b", "left").select(F.col("a").alias("node"), F.coalesce("top", "b").alias("label"))
+    rows = families.select("node", F.col("root").alias("family")).join(label, "node", "left").select("node", "family", F.coalesce("label", "node").alias("label"))
     rows = keep(rows.join(whole.select("node", "n"), "node"), "parts")
     open_ = _blocks(rows, "family", F.col("n"), TOKENS).join(whole.select("node", "n", "registers", "tokens"), "node")
-    rest = keep(_in_tasks(open_, _links, "a long, b long"), "rest")
-    return rest.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return sure.unionByName(_in_tasks(open_, _links, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
