@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasig.operators import ranking, series
+from terrasig.operators import isotonic, ranking, series
 from terrasig.session import cut_lineage
 
 DAYS_PER_YEAR = 365.25
@@ -281,15 +280,8 @@ def matched_rate(curves: DataFrame, targets: Sequence[float]) -> DataFrame:
 
 
 def isotonic_fit(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Isotonic calibration value of every distinct score.
-
-    Ties are collapsed to one weighted row per score, so the fit sees the histogram and not the rows.
-    """
-    hist = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("x")).agg(
-        F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")
-    )
-    model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w", predictionCol="fitted").fit(hist)
-    return model.transform(hist).select("x", "fitted")
+    """Isotonic calibration value of every distinct score."""
+    return isotonic.fitted(df, score, label)
 
 
 def covariate_shift(train: DataFrame, test: DataFrame, features: Sequence[str]) -> DataFrame:

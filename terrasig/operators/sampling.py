@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +48,38 @@ def sample_k(df: DataFrame, group: list[str], key: list[str], k: int, seed: int)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
-def cap_per_label(df: DataFrame, label: str, order: Column, caps: dict[int, int]) -> DataFrame:
-    """First cap(label) rows per label; the largest cap bounds what each label sends to the shuffle."""
-    w = Window.partitionBy(label).orderBy(order)
-    bounded = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(caps.values()))
+def _cap_parts(df: DataFrame, label: str, order: Column, caps: dict[int, int], buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that are in for certain, and those of the one bucket per label that its cap cuts, with `_need` of them wanted.
+
+    Buckets follow the order's own quantiles; any monotone bucket is right, so doubles do for them.
+    """
+    keyed = df.withColumn("_o", order).withColumn("_x", F.coalesce(F.col("_o").cast("double"), F.lit(-float("inf"))))
+    cuts = keyed.agg(F.percentile_approx("_x", [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0] or []
+    splits = [-float("inf"), *sorted({c for c in cuts if abs(c) != float("inf")}), float("inf")]
+    if len(splits) > 2:
+        keyed = Bucketizer(splits=splits, inputCol="_x", outputCol="_bucket", handleInvalid="keep").transform(keyed)
+    else:
+        keyed = keyed.withColumn("_bucket", F.lit(0.0))
     cap = F.lit(0)
     for value, n in caps.items():
         cap = F.when(F.col(label) == value, F.lit(n)).otherwise(cap)
-    return bounded.filter(F.col("_r") <= cap).drop("_r")
+    counts = keyed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # `buckets` rows a label
+    need = (cap - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_need")
+    wanted = counts.select(F.col(label).alias("_label"), F.col("_bucket").alias("_b"), "_n", need).filter("_need > 0")
+    met = keyed.join(wanted, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_b")))
+    return met.filter("_n <= _need").select(*df.columns), met.filter("_n > _need").select(*df.columns, "_o", "_bucket", "_need")
+
+
+def cap_per_label(df: DataFrame, label: str, order: Column, caps: dict[int, int], buckets: int = 4096) -> DataFrame:
+    """First cap(label) rows per label by a numeric order, missing first.
+
+    A histogram of (label, bucket of the order) says which buckets are in as a whole; only the rows of the bucket that a cap
+    cuts are ranked, so no task sorts a label.
+    """
+    whole, cut = _cap_parts(df, label, order, caps, buckets)
+    w = Window.partitionBy(label, "_bucket").orderBy("_o")
+    return whole.unionByName(cut.withColumn("_r", F.row_number().over(w)).filter("_r <= _need").select(*df.columns))
 
 
 def informative_features(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasig.operators import metrics
+from terrasig.operators import isotonic, metrics
 from terrasig.plans.aggregates import PANEL_SQL, TERRAIN_SQL, panel, rounded, terrain_table
 from terrasig.plans.registry import query
 from terrasig.plans.tables import Tables
@@ -136,6 +136,20 @@ def isotonic_binned(t: Tables) -> DataFrame:
     return rounded(metrics.isotonic_fit(t.scored, "score", "label"), ["fitted"], 9)
 
 
+@query(
+    "isotonic_ranges",
+    """WITH h AS (SELECT FLOOR(l_extendedprice/5e1) AS x, COUNT(*) AS n, SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS pos FROM lineitem GROUP BY 1),
+       c AS (SELECT x, n, pos, ROW_NUMBER() OVER (ORDER BY x) AS i, SUM(n) OVER (ORDER BY x) AS cn, SUM(pos) OVER (ORDER BY x) AS cp FROM h),
+       g AS (SELECT a.i AS a, b.i AS b, CAST(b.cp - a.cp + a.pos AS DOUBLE)/CAST(b.cn - a.cn + a.n AS DOUBLE) AS v FROM c a JOIN c b ON b.i >= a.i),
+       m AS (SELECT a, b, MIN(v) OVER (PARTITION BY a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS low FROM g)
+       SELECT c.x, ROUND(MAX(low), 9) AS fitted FROM m JOIN c ON c.i = m.b GROUP BY c.x""",
+)
+def isotonic_ranges(t: Tables) -> DataFrame:
+    """Return rate as an ascending function of the price, pooled in ranges of 200 prices."""
+    li = t.read("lineitem").select(F.floor(F.col("l_extendedprice") / 50.0).alias("price"), (F.col("l_returnflag") == "R").cast("int").alias("back"))
+    return rounded(isotonic.fitted(li, "price", "back", blocks=200), ["fitted"], 9)
+
+
 # ---- folds
 
 FOLD_SQL = (

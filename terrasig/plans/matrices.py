@@ -13,11 +13,14 @@ from terrasig.plans.joins import STRATA_SQL, strata
 from terrasig.plans.registry import query
 from terrasig.plans.tables import Tables
 from terrasig.plans.views import with_views
+from terrasig.session import cut_lineage
 
 BBOX = (-180.0, -60.0, 180.0, 60.0)
 SEED = 17
-BACKGROUND_RATIO = 3
-OVERSAMPLE = 5
+#: Background rows for each positive.
+BACKGROUND_RATIO = 5
+#: Candidates for each positive: some fall into water or too near to an event.
+OVERSAMPLE = 8
 #: Cells of a domain that give fire strata.
 MAX_CELLS = {"us": 320, "canada": 220}
 
@@ -54,7 +57,7 @@ def susceptibility(t: Tables) -> DataFrame:
     pos = positives(t)
     bg = sampling.background_near(pos, OVERSAMPLE, BBOX, SEED, radius_m=12_000.0, min_m=500.0)
     points = pos.withColumn("label", F.lit(1)).unionByName(bg.drop("anchor").withColumn("label", F.lit(0)))
-    rows = terrain.on_land(terrain_of(t, points))
+    rows = cut_lineage(terrain.on_land(terrain_of(t, points)))
     n_pos = pos.count()
     capped = sampling.cap_per_label(
         rows, "label", F.xxhash64(F.lit(SEED), "id"), {1: n_pos, 0: n_pos * BACKGROUND_RATIO}
