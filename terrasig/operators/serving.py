@@ -191,10 +191,11 @@ def verdict_bins(df: DataFrame) -> DataFrame:
 
 
 def route_tier(df: DataFrame) -> DataFrame:
-    """A where a regional model covers the point, B elsewhere on land, C where an input is missing or not trusted."""
+    """A where a regional model covers the point, B elsewhere on land, C where an input is missing or not trusted. Trust is
+    the long-run check of the rain sources, `rain_check`."""
     no_dem = F.col("slope_deg").isNull()
     no_rain = F.col("rain3d_pctl").isNull()
-    doubt = yes(F.col("data_quality") == "disagree")
+    doubt = yes(F.col("rain_check") == "disagree")
     tier = F.when(no_dem | no_rain | doubt, "C").when(F.col("region").isNotNull(), "A").otherwise("B")
     worst = F.greatest("rain3d_pctl", "rain30d_pctl")
     reasons = phrases(
@@ -236,20 +237,54 @@ def ensemble_floor(df: DataFrame, reference: DataFrame, scores: dict[str, str],
 
 
 def hazard_blocks(df: DataFrame, fire_thr: float, watch_thr: float) -> DataFrame:
-    """Thresholded fire, drought and flood fields of a location-day."""
+    """Thresholded fire, drought and flood fields of a location-day. Alerts ask for the combined verdict, the drought tier for
+    the long-run check of the rain sources."""
     fresh = yes(F.col("staleness_days") <= STALE_AFTER_DAYS)
     trusted = ~yes(F.col("data_quality") == "disagree")
+    checked = ~yes(F.col("rain_check") == "disagree")
     danger = F.col("fire_danger")
     return df.withColumns(
         {
             "fire_alert": yes(danger >= fire_thr) & trusted & fresh,
             "fire_watch": yes(danger >= watch_thr),
-            "drought_tier": F.when(F.col("spi90").isNull() | ~trusted, "C").otherwise("B"),
+            "drought_tier": F.when(F.col("spi90").isNull() | ~checked, "C").otherwise("B"),
             "flood_alert": F.when(F.col("flood_pctl").isNotNull(), F.col("flood_pctl") >= 0.98),
         }
     )
 
 
+#: Fixed texts of the hazard cards, as (text, level), in the order of their conditions.
+CARDS = {
+    "landslide": (("No fresh rain data", "unknown"), ("Data uncertain", "unknown"), ("Danger signs on slopes", "red"), ("Slopes worth watching", "yellow"), ("Rain unusually heavy", "yellow"), ("Nothing unusual", "green")),
+    "fire": (("No data", "unknown"), ("Dangerous fire weather", "red"), ("Elevated", "yellow"), ("Normal", "green")),
+    "drought": (("No data", "unknown"), ("Data uncertain", "unknown"), ("Extreme drought", "red"), ("Severe drought", "red"), ("Much drier than usual", "yellow"), ("Somewhat dry", "yellow"), ("No drought", "green")),
+    "river": (("No river tracked here", "unknown"), ("Exceptionally high", "red"), ("Running high", "yellow"), ("Normal range", "green")),
+}
+
+
+def hazard_cards(df: DataFrame) -> DataFrame:
+    """(.., hazard, text, level, value) rows: the four cards of a location-day. `value` is what the card shows; it is missing
+    where the rain sources are not trusted."""
+    rain, spi, flood = F.greatest("rain3d_pctl", "rain30d_pctl"), F.col("spi90"), F.col("flood_pctl")
+    doubt = yes(F.col("data_quality") == "disagree")
+    prone = yes(F.col("susceptibility_nearby_max") >= 0.30)
+    conditions = {
+        "landslide": (rain.isNull(), doubt, prone & (rain >= 0.98), prone & (rain >= 0.95), rain >= 0.95),
+        "fire": (F.col("fire_danger").isNull(), yes(F.col("fire_alert")), yes(F.col("fire_watch"))),
+        "drought": (spi.isNull(), doubt, spi <= 0.02, spi <= 0.05, spi <= 0.15, spi <= 0.35),
+        "river": (flood.isNull(), flood >= 0.98, flood >= 0.95),
+    }
+    values = {"landslide": F.when(~doubt, rain), "fire": F.col("fire_danger"), "drought": F.when(~doubt, 1.0 - spi), "river": flood}
+    cards = []
+    for hazard, tests in conditions.items():
+        picked = F.lit(len(tests))
+        for i in reversed(range(len(tests))):
+            picked = F.when(tests[i], i).otherwise(picked)
+        texts, levels = (F.array(*[F.lit(c[k]) for c in CARDS[hazard]]) for k in (0, 1))
+        cards.append(F.struct(F.lit(hazard).alias("hazard"), F.get(texts, picked).alias("text"), F.get(levels, picked).alias("level"), values[hazard].alias("value")))
+    return df.select("*", F.inline(F.array(*cards)))
+
+
 def watch_flags(df: DataFrame) -> DataFrame:
     """City flags; rain-derived flags are withheld where the sources disagree."""
     ok = F.col("rain3d").isNotNull()

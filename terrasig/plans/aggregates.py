@@ -452,6 +452,7 @@ def world_alerts(t: Tables) -> DataFrame:
 @query(
     "world_score",
     with_views("roll", f"SELECT cell, d, landslide_rain, fire, drought, {round_sql(('rain3d', 'rain30d', 'vpd', 'kbdi', 'spi90'), 9)} FROM wa", *EXPOSURE_SQL),
+    once=True,
 )
 def world_score(t: Tables) -> DataFrame:
     return rounded(world_alerts(t), ("rain3d", "rain30d", "vpd", "kbdi", "spi90"), 9).select(
@@ -494,6 +495,7 @@ PARITY_SQL = (
            WHERE p.point IS NOT NULL GROUP BY 1""",
         *PARITY_SQL,
     ),
+    once=True,
 )
 def parity_report(t: Tables) -> DataFrame:
     fire = climate.fire_features(t.daily).select(

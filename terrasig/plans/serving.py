@@ -29,7 +29,7 @@ STATE_SQL = (
     ("rq", seasonal_sql("rk", {"m3s": "flood_pctl"})),
     (
         "state",
-        """SELECT s.cell, s.d, s.rain3d_pctl, s.rain30d_pctl, s.spi90, s.spi180, s.spi365, s.fire_danger, s.tmax_pctl, r.flood_pctl, v.combined AS data_quality,
+        """SELECT s.cell, s.d, s.rain3d_pctl, s.rain30d_pctl, s.spi90, s.spi180, s.spi365, s.fire_danger, s.tmax_pctl, r.flood_pctl, v.combined AS data_quality, v.longrun AS rain_check,
            ((s.cell*37) % 100)/1e2 AS susceptibility_nearby_max, s.cell % 10 AS staleness_days, CASE WHEN s.cell % 3 = 0 THEN 'region' || (s.cell % 5) END AS region,
            COALESCE(s.fire_danger >= 98e-2, FALSE) AND COALESCE(v.combined, 'ok') <> 'disagree' AND s.cell % 10 <= 7 AS fire_alert, COALESCE(s.fire_danger >= 95e-2, FALSE) AS fire_watch,
            CASE WHEN s.cell % 4 = 0 THEN LEAST(1e0, r.flood_pctl + 1e-2) END AS flood_week_max_pctl, s.d + 3 AS flood_week_max_date
@@ -47,7 +47,7 @@ def state(t: Tables) -> DataFrame:
     df = series.seasonal_percentiles(df, "cell", "d", _STATE, only=since)
     flow = river.flow_rank(t.river_day.select("cell", "d", "m3s"), "cell", "d", "m3s", only=since)
     df = df.join(flow.select("cell", "d", "flood_pctl"), ["cell", "d"], "left")
-    df = df.join(verdicts(t).select("cell", F.col("verdict").alias("data_quality")), "cell", "left")
+    df = df.join(verdicts(t).select("cell", F.col("verdict").alias("data_quality"), F.col("longrun").alias("rain_check")), "cell", "left")
     df = df.withColumns(
         {
             "susceptibility_nearby_max": ((F.col("cell") * 37) % 100) / 100.0,
@@ -64,9 +64,10 @@ def state(t: Tables) -> DataFrame:
     "hazard_blocks",
     with_views(
         _V,
-        """SELECT cell, d, fire_danger, fire_alert, fire_watch, CASE WHEN spi90 IS NULL OR COALESCE(data_quality, 'ok') = 'disagree' THEN 'C' ELSE 'B' END AS drought_tier, flood_pctl, flood_pctl >= 98e-2 AS flood_alert FROM state""",
+        """SELECT cell, d, fire_danger, fire_alert, fire_watch, CASE WHEN spi90 IS NULL OR COALESCE(rain_check, 'ok') = 'disagree' THEN 'C' ELSE 'B' END AS drought_tier, flood_pctl, flood_pctl >= 98e-2 AS flood_alert FROM state""",
         *STATE_SQL,
     ),
+    once=True,
 )
 def hazard_blocks(t: Tables) -> DataFrame:
     return state(t).select("cell", "d", "fire_danger", "fire_alert", "fire_watch", "drought_tier", "flood_pctl", "flood_alert")
@@ -90,7 +91,7 @@ def compose_sql(src: str) -> str:
         FROM (SELECT *, {YELLOW_SQL} AS yl, COALESCE(rain >= 98e-2 AND susceptibility_nearby_max >= 3e-1, FALSE) AS slope FROM (SELECT *, GREATEST(rain3d_pctl, rain30d_pctl) AS rain FROM {src}))"""
 
 
-@query("status_compose", with_views(_V, f"SELECT cell, d, status, message FROM ({compose_sql('state')})", *STATE_SQL))
+@query("status_compose", with_views(_V, f"SELECT cell, d, status, message FROM ({compose_sql('state')})", *STATE_SQL), once=True)
 def status_compose(t: Tables) -> DataFrame:
     return serving.compose_status(state(t)).select("cell", "d", "status", "message")
 
@@ -106,11 +107,36 @@ def status_compose(t: Tables) -> DataFrame:
            FROM (SELECT *, GREATEST(rain3d_pctl, rain30d_pctl) AS rain FROM state)""",
         *STATE_SQL,
     ),
+    once=True,
 )
 def verdict_bins(t: Tables) -> DataFrame:
     return serving.verdict_bins(state(t)).select("cell", "d", "landslide", "fire_card", "drought_card", "river_card")
 
 
+@query(
+    "hazard_cards",
+    with_views(
+        _V,
+        """SELECT cell, d, 'landslide' AS hazard, CASE WHEN rain IS NULL THEN 'No fresh rain data' WHEN doubt THEN 'Data uncertain' WHEN prone AND rain >= 98e-2 THEN 'Danger signs on slopes'
+             WHEN prone AND rain >= 95e-2 THEN 'Slopes worth watching' WHEN rain >= 95e-2 THEN 'Rain unusually heavy' ELSE 'Nothing unusual' END AS text,
+             CASE WHEN rain IS NULL OR doubt THEN 'unknown' WHEN prone AND rain >= 98e-2 THEN 'red' WHEN rain >= 95e-2 THEN 'yellow' ELSE 'green' END AS level, CASE WHEN NOT doubt THEN ROUND(rain, 9) END AS value FROM c
+           UNION ALL SELECT cell, d, 'fire', CASE WHEN fire_danger IS NULL THEN 'No data' WHEN fire_alert THEN 'Dangerous fire weather' WHEN fire_watch THEN 'Elevated' ELSE 'Normal' END,
+             CASE WHEN fire_danger IS NULL THEN 'unknown' WHEN fire_alert THEN 'red' WHEN fire_watch THEN 'yellow' ELSE 'green' END, ROUND(fire_danger, 9) FROM c
+           UNION ALL SELECT cell, d, 'drought', CASE WHEN spi90 IS NULL THEN 'No data' WHEN doubt THEN 'Data uncertain' WHEN spi90 <= 2e-2 THEN 'Extreme drought' WHEN spi90 <= 5e-2 THEN 'Severe drought'
+             WHEN spi90 <= 15e-2 THEN 'Much drier than usual' WHEN spi90 <= 35e-2 THEN 'Somewhat dry' ELSE 'No drought' END,
+             CASE WHEN spi90 IS NULL OR doubt THEN 'unknown' WHEN spi90 <= 5e-2 THEN 'red' WHEN spi90 <= 35e-2 THEN 'yellow' ELSE 'green' END, CASE WHEN NOT doubt THEN ROUND(1 - spi90, 9) END FROM c
+           UNION ALL SELECT cell, d, 'river', CASE WHEN flood_pctl IS NULL THEN 'No river tracked here' WHEN flood_pctl >= 98e-2 THEN 'Exceptionally high' WHEN flood_pctl >= 95e-2 THEN 'Running high' ELSE 'Normal range' END,
+             CASE WHEN flood_pctl IS NULL THEN 'unknown' WHEN flood_pctl >= 98e-2 THEN 'red' WHEN flood_pctl >= 95e-2 THEN 'yellow' ELSE 'green' END, ROUND(flood_pctl, 9) FROM c""",
+        *STATE_SQL,
+        ("c", "SELECT *, GREATEST(rain3d_pctl, rain30d_pctl) AS rain, COALESCE(data_quality = 'disagree', FALSE) AS doubt, COALESCE(susceptibility_nearby_max >= 3e-1, FALSE) AS prone FROM state"),
+    ),
+    once=True,
+)
+def hazard_cards(t: Tables) -> DataFrame:
+    """The four cards of every location-day with their texts."""
+    return serving.hazard_cards(state(t)).select("cell", "d", "hazard", "text", "level", F.round("value", 9).alias("value"))
+
+
 @query(
     "tier_routing",
     with_views(
@@ -119,10 +145,11 @@ def verdict_bins(t: Tables) -> DataFrame:
            concat_ws('; ', CASE WHEN slope_deg IS NULL THEN 'no terrain coverage' WHEN region IS NOT NULL THEN 'regional model: ' || region ELSE 'global floor ensemble' END,
              CASE WHEN rain3d_pctl IS NULL THEN 'no rainfall record' WHEN dq THEN 'precipitation sources disagree' END) AS caveats,
            CASE WHEN GREATEST(rain3d_pctl, rain30d_pctl) IS NOT NULL THEN GREATEST(rain3d_pctl, rain30d_pctl) >= 95e-2 AND susceptibility_nearby_max >= 3e-1 END AS alert
-           FROM (SELECT s.*, t.slope_deg, COALESCE(s.data_quality = 'disagree', FALSE) AS dq FROM state s LEFT JOIN (SELECT id, slope_deg FROM ter WHERE region <> 'r3') t ON t.id = s.cell)""",
+           FROM (SELECT s.*, t.slope_deg, COALESCE(s.rain_check = 'disagree', FALSE) AS dq FROM state s LEFT JOIN (SELECT id, slope_deg FROM ter WHERE region <> 'r3') t ON t.id = s.cell)""",
         *STATE_SQL,
         *TERRAIN_SQL,
     ),
+    once=True,
 )
 def tier_routing(t: Tables) -> DataFrame:
     slope = terrain_table(t).filter(F.col("region") != "r3").select(F.col("id").alias("cell"), "slope_deg")
@@ -159,6 +186,7 @@ _CONDS = ("rain3d_pctl >= 98e-2", "kbdi_pctl >= 95e-2", "vpd_pctl >= 95e-2", "tm
         *STATE_SQL,
         *FIRE_SQL,
     ),
+    once=True,
 )
 def compound_flags(t: Tables) -> DataFrame:
     fire = climate.fire_features(t.daily).select(
@@ -199,10 +227,10 @@ WATCH_SQL = (
         """SELECT cell, MAX(CASE WHEN signal='rain3d' THEN pctl END) AS rain3d, MAX(CASE WHEN signal='rain30d' THEN pctl END) AS rain30d, MAX(CASE WHEN signal='vpd' THEN pctl END) AS vpd,
            MAX(CASE WHEN signal='kbdi' THEN pctl END) AS kbdi, MAX(CASE WHEN signal='spi90' THEN pctl END) AS spi90, MAX(CASE WHEN signal='spi365' THEN pctl END) AS spi365 FROM wrank WHERE d = DATE '2001-11-04' GROUP BY 1""",
     ),
-    ("ppl", f"SELECT a.id, ROUND(COALESCE(SUM(b.people), 0), 2) AS people FROM place a LEFT JOIN point b ON {DIST_KM} <= 10e2 GROUP BY 1"),
+    ("ppl", f"SELECT a.id, ROUND(COALESCE(SUM(b.people), 0), 2) AS people FROM place a LEFT JOIN point b ON {DIST_KM} <= 1e1 GROUP BY 1"),
     (
         "wraw",
-        """SELECT p.id, p.name, l.people, w.rain30d, v.combined AS verdict, CASE WHEN COALESCE(w.rain3d >= 98e-2, FALSE) OR COALESCE(w.rain30d >= 98e-2, FALSE) THEN 'extreme_rain' END AS f1, CASE WHEN w.vpd >= 95e-2 AND w.kbdi >= 9e-1 THEN 'fire_weather' END AS f2,
+        """SELECT p.id, p.name, l.people, w.rain30d, CASE WHEN v.recent = 'disagree' THEN 'disagree' ELSE v.longrun END AS verdict, CASE WHEN COALESCE(w.rain3d >= 98e-2, FALSE) OR COALESCE(w.rain30d >= 98e-2, FALSE) THEN 'extreme_rain' END AS f1, CASE WHEN w.vpd >= 95e-2 AND w.kbdi >= 9e-1 THEN 'fire_weather' END AS f2,
            CASE WHEN w.spi90 <= 5e-2 THEN 'drought_3mo' END AS f3, CASE WHEN w.spi365 <= 5e-2 THEN 'drought_structural' END AS f4, CASE WHEN r.flood_pctl >= 98e-2 THEN 'river_high' END AS f5
            FROM place p JOIN wf w ON w.cell = p.id JOIN ppl l ON l.id = p.id LEFT JOIN sv v ON v.cell = p.id LEFT JOIN rq r ON r.cell = p.id AND r.d = DATE '2001-11-04'""",
     ),
@@ -220,18 +248,20 @@ def watchlist_rows(t: Tables) -> DataFrame:
     signals = ["rain3d", "rain30d", "vpd", "kbdi", "spi90", "spi365"]
     fields = world.wide(world_ranks(t).filter(F.col("d") == day), signals)
     flow = river.flow_rank(t.river_day.select("cell", "d", "m3s"), "cell", "d", "m3s", only=F.col("d") == day)
-    people = descent.radius_sum(t.place, t.point, 1000.0, "people", "people").withColumn("people", F.round("people", 2))
+    people = descent.radius_sum(t.place, t.point, 10.0, "people", "people").withColumn("people", F.round("people", 2))
+    # a flag stands if the sources agree in the long run and did so lately
+    verdict = F.when(F.col("recent") == "disagree", "disagree").otherwise(F.col("longrun"))
     df = (
         t.place.select("id", F.col("name").alias("city"), F.col("id").alias("cell"))
         .join(fields.drop("d"), "cell")
         .join(people, "id")
-        .join(verdicts(t).select("cell", "verdict"), "cell", "left")
+        .join(verdicts(t).select("cell", verdict.alias("verdict")), "cell", "left")
         .join(flow.select("cell", "flood_pctl"), "cell", "left")
     )
     return serving.watch_flags(df)
 
 
-@query("watchlist", with_views(_WV, "SELECT id, city, people, ROUND(rain30d, 9) AS rain30d, flags, unverified FROM wlist", *WATCH_SQL))
+@query("watchlist", with_views(_WV, "SELECT id, city, people, ROUND(rain30d, 9) AS rain30d, flags, unverified FROM wlist", *WATCH_SQL), once=True)
 def watchlist(t: Tables) -> DataFrame:
     return watchlist_rows(t).select(
         "id",
@@ -250,6 +280,7 @@ def watchlist(t: Tables) -> DataFrame:
         """SELECT id, city, flags, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END AS n_flags, ROUND(COALESCE(rain30d, 0), 9) AS rain30d FROM wlist""",
         *WATCH_SQL,
     ),
+    once=True,
 )
 def watchlist_rank(t: Tables) -> DataFrame:
     # the whole list in its order, with the columns that make it
@@ -267,6 +298,7 @@ def watchlist_rank(t: Tables) -> DataFrame:
     "board_order",
     """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'red' WHEN 'O' THEN 'green' ELSE 'unknown' END AS status, o_totalprice AS people,
        CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 3 ELSE 2 END AS board_rank FROM orders""",
+    once=True,
 )
 def board_order(t: Tables) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "red").when(F.col("o_orderstatus") == "O", "green").otherwise("unknown")
@@ -278,6 +310,7 @@ def board_order(t: Tables) -> DataFrame:
 @query(
     "serve_json_record",
     """SELECT o_orderkey AS id, '{"location_id":' || o_orderkey || ',"status":"' || o_orderstatus || '"' || CASE WHEN o_custkey % 2 = 0 THEN ',"tier":"' || o_orderpriority || '"' ELSE '' END || ',"weather":{"k":' || o_custkey || '}}' AS record FROM orders""",
+    once=True,
 )
 def serve_json_record(t: Tables) -> DataFrame:
     o = t.read("orders").select(
@@ -377,6 +410,7 @@ def nightly(t: Tables) -> DataFrame:
         f"SELECT cell AS location_id, as_of, staleness_days, status, message, rain3d_pctl, rain30d_pctl, spi90, spi365, fire_danger, flood_pctl FROM ({compose_sql('night')})",
         *NIGHT_SQL,
     ),
+    once=True,
 )
 def nightly_update(t: Tables) -> DataFrame:
     return nightly(t).select(

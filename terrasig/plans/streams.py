@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from terrasig.functions.dates import fortnight
 from terrasig.operators import climate
-from terrasig.plans.registry import query
+from terrasig.plans.registry import CHECKS, query
 from terrasig.plans.tables import Tables
 from terrasig.plans.timeseries import DSR_SQL, KBDI_SQL
 from terrasig.plans.views import with_views
@@ -74,6 +74,75 @@ def arrivals(t: Tables, root: str, df: DataFrame, part: str, values: list, job,
             tables.run_available(job(tables.read_files(t.spark, f"{root}/in", body.schema)), sink, f"{root}/cp")
 
 
+#: A key of rows that only move the watermark on, so that the last windows close.
+FLUSH = "~"
+
+
+def unordered(t: Tables) -> DataFrame:
+    """Events as they may arrive, in six parts: every third one a day late, copies that come twenty days too late in the last
+    but one, and rows that close all windows at the end."""
+    e = events(t).select("event_id", "event_type", "ts", "value")
+    delay = F.when(F.xxhash64("event_id") % 3 == 0, 1).otherwise(0)
+    part = lambda day: F.least(F.lit(5), F.floor((day - 1) / 5)).cast("int")
+    told = e.withColumn("part", part(F.dayofmonth("ts") + delay))
+    too_late = e.filter(F.dayofmonth("ts") <= 5).withColumns({"event_id": -F.col("event_id") - 1, "value": F.lit(1e6), "part": F.lit(6)})
+    # only rows of long closed days are late beyond the watermark
+    end = closing(e.agg(F.max("event_id").alias("event_id"), F.lit(FLUSH).alias("event_type"), F.max("ts").alias("ts"), F.lit(0.0).alias("value")), 7)
+    return told.unionByName(too_late).unionByName(end)
+
+
+def closing(row: DataFrame, part: int) -> DataFrame:
+    """The row three times, 60 days apart, as three arrivals: the first moves the watermark, the next let each of two states in
+    a row emit what it has closed."""
+    df = row.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return df.withColumns({"ts": F.col("ts") + F.col("_k") * F.expr("INTERVAL 60 DAYS") + F.expr("INTERVAL 60 DAYS"), "part": F.lit(part) + F.col("_k")}).drop("_k")
+
+
+def windowed(t: Tables, name: str, df: DataFrame, parts: int, job, out: str, keys: list[str]) -> DataFrame:
+    """Run a windowed job over arrivals in parts and read what it has emitted. The closing rows go here: as a filter of the
+    stream it would be pushed below the watermark, which then would not move."""
+    root = tables.scratch(t.spark, name)
+    arrivals(t, root, df, "part", list(range(parts)), job)
+    return tables.current(t.spark, f"{root}/log", keys, StructType.fromDDL(out))
+
+
+@query("stream_tumbling_daily", CHECKS["tumbling_daily"])
+def stream_tumbling_daily(t: Tables) -> DataFrame:
+    """Daily totals of a stream whose rows come unordered and late."""
+
+    def job(df: DataFrame) -> DataFrame:
+        w = windows.tumbling(df, "ts", ["event_type"], "value")
+        return w.select("event_type", windows.window_start().alias("day"), "n", F.round("total", 4).alias("total"))
+
+    return windowed(t, "tumbling", unordered(t), 10, job, "event_type string, day date, n bigint, total double", ["event_type", "day"]).filter(F.col("event_type") != FLUSH)
+
+
+@query("stream_sliding_30d", CHECKS["sliding_30d"])
+def stream_sliding_30d(t: Tables) -> DataFrame:
+    """Trailing 30-day totals of the same stream: days are a state, and windows over them another."""
+
+    def job(df: DataFrame) -> DataFrame:
+        w = windows.sliding_of_days(df, "ts", ["event_type"], "value", 30)
+        return w.select("event_type", F.to_date("w.end").alias("until"), "n", F.round("total", 4).alias("total"))
+
+    return windowed(t, "sliding", unordered(t), 10, job, "event_type string, until date, n bigint, total double", ["event_type", "until"]).filter(F.col("event_type") != FLUSH)
+
+
+@query("stream_session_spell", CHECKS["session_spell"])
+def stream_session_spell(t: Tables) -> DataFrame:
+    """Wet spells of streamed days: sessions that grow, merge across arrivals and close behind the watermark."""
+    wet = t.daily.filter(F.col("precip") > 0).select("cell", F.col("d").cast("timestamp").alias("ts"), "precip")
+    shifted = F.date_add(F.to_date("ts"), F.when(F.xxhash64("cell", "ts") % 3 == 0, 3).otherwise(0))
+    part = F.when(shifted < F.lit("1997-06-01").cast("date"), 0).when(shifted < F.lit("1999-12-15").cast("date"), 1).otherwise(2)
+    end = closing(wet.agg(F.lit(-1).cast("bigint").alias("cell"), F.max("ts").alias("ts"), F.lit(0.0).alias("precip")), 3)
+
+    def job(df: DataFrame) -> DataFrame:
+        s = windows.sessions(df, "ts", ["cell"], "precip", "86401 seconds", late="10 days")
+        return s.select("cell", windows.window_start().alias("start"), "n", "total")
+
+    return windowed(t, "spells", wet.withColumn("part", part).unionByName(end), 6, job, "cell bigint, start date, n bigint, total double", ["cell", "start"]).filter(F.col("cell") >= 0)
+
+
 @query("stream_ingest", "SELECT event_id, user_id, event_type, value FROM events")
 def stream_ingest(t: Tables) -> DataFrame:
     root = tables.scratch(t.spark, "ingest")
@@ -98,6 +167,25 @@ def late_data(t: Tables) -> DataFrame:
     return tables.current(t.spark, f"{root}/log", ["event_id"], e.schema).select("event_id", "value")
 
 
+@query(
+    "frozen_history",
+    """SELECT event_id, CASE WHEN day(ts) = 15 THEN value + 1 ELSE value END AS value FROM events""",
+)
+def frozen_history(t: Tables) -> DataFrame:
+    """History up to the tenth is frozen: a revised fifth changes nothing, a revised fifteenth counts, and the log is folded
+    into a snapshot every two batches."""
+    root = tables.scratch(t.spark, "frozen")
+    e = events(t).select("event_id", "ts", "value")
+    day = F.dayofmonth("ts")
+    cut = F.date_trunc("month", e.agg(F.min("ts")).scalar()) + F.expr("INTERVAL 10 DAYS")
+    table = tables.FrozenTable(t.spark, f"{root}/table", ["event_id"], "ts", cut, e.schema)
+    table.load(e.filter(day <= 10))
+    told = e.filter(day > 10).withColumn("part", F.when(day <= 20, 0).otherwise(1))
+    again = lambda d, part: e.filter(day == d).withColumns({"value": F.col("value") + 1, "part": F.lit(part)})
+    arrivals(t, root, told.unionByName(again(5, 2)).unionByName(again(15, 3)), "part", [0, 1, 2, 3], lambda df: df, table.sink(every=2))
+    return table.read().select("event_id", "value")
+
+
 def parted_daily(t: Tables) -> DataFrame:
     """Daily weather with the climatological rain of the cell, in three consecutive parts."""
     d = t.daily.select("cell", "d", "tmax", "precip")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrasig.functions.dates import season_key
 from terrasig.operators import series
+from terrasig.streaming.tables import written
 
 
 def cents(c: str) -> Column:
@@ -46,6 +47,7 @@ class Tables:
                 F.sum(cents("l_discount")).alias("disc"),
                 F.sum(cents("l_tax")).alias("tax"),
                 F.count(F.lit(1)).alias("n"),
+                F.sum(F.when(F.col("l_partkey") % 4 < 1 + F.col("l_suppkey") % 4, F.col("l_quantity")).otherwise(0.0)).alias("shared"),
             )
         )
 
@@ -74,11 +76,8 @@ class Tables:
     @cached_property
     def rain2(self) -> DataFrame:
         """A second rain source that shares part of the first one's record and stops 95 days before it."""
-        li = self.read("lineitem").filter(F.col("l_shipdate") <= F.lit("2001-08-01").cast("timestamp_ntz"))
-        share = F.when(F.col("l_partkey") % 4 < 1 + F.col("l_suppkey") % 4, F.col("l_quantity")).otherwise(0.0)
-        return li.groupBy(F.col("l_suppkey").alias("cell"), F.to_date("l_shipdate").alias("d")).agg(
-            (F.sum(share) / 2.0).alias("precip2")
-        )
+        known = self.cell_day.filter(F.col("d") <= F.lit("2001-08-01").cast("date"))
+        return known.select("cell", "d", (F.col("shared") / 2.0).alias("precip2"))
 
     @cached_property
     def event(self) -> DataFrame:
@@ -220,7 +219,22 @@ class Tables:
         )
 
 
-def keyed(df: DataFrame, date: str = "d", name: str = "sk") -> DataFrame:
-    return df.withColumn(name, season_key(F.col(date)))
+class OnceTables(Tables):
+    """The same tables for jobs that read the daily series many times: cell-days and the gap-free series are written once to
+    the shared folder, so the raw rows are scanned once however many signals a job derives."""
+
+    @cached_property
+    def cell_day(self) -> DataFrame:
+        return written(Tables.cell_day.func(self), "cell_day")
+
+    @cached_property
+    def span(self) -> tuple[Column, Column]:
+        return self.cell_day.agg(F.min("d")).scalar(), self.cell_day.agg(F.max("d")).scalar()
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        return written(Tables.daily.func(self), "daily")
 
+
+def keyed(df: DataFrame, date: str = "d", name: str = "sk") -> DataFrame:
+    return df.withColumn(name, season_key(F.col(date)))
