@@ -81,14 +81,14 @@ class Tables:
 
     @cached_property
     def event(self) -> DataFrame:
-        """Reported events; several reports may fall on one cell-day."""
-        e = self.read("events").filter(F.col("event_type") == "error")
-        return e.select(
+        """Reported events of every kind; several reports may fall on one cell-day."""
+        return self.read("events").select(
             "event_id",
             F.pmod(F.col("event_id"), self.n_cells).alias("cell"),
             F.date_add(
                 F.lit("1996-03-01").cast("date"), ((F.col("event_id") * 37 + F.col("user_id") * 13) % 1990).cast("int")
             ).alias("d"),
+            F.col("event_type").alias("kind"),
         )
 
     @cached_property

@@ -37,8 +37,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "event": (
         (),
         """SELECT event_id, event_id % (SELECT COUNT(*) FROM supplier) AS cell,
-           DATE '1996-03-01' + CAST((event_id*37 + user_id*13) % 1990 AS INTEGER) AS d
-           FROM events WHERE event_type = 'error'""",
+           DATE '1996-03-01' + CAST((event_id*37 + user_id*13) % 1990 AS INTEGER) AS d, event_type AS kind
+           FROM events""",
     ),
     "event_day": (("event",), "SELECT DISTINCT cell, d FROM event"),
     "point": (
