@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("basics", "timeseries", "joins", "aggregates", "evaluation", "matrices", "serving", "learning", "streams")
+MODULES = ("basics", "timeseries", "joins", "aggregates", "evaluation", "matrices", "serving", "learning", "streams", "landing")
 
 
 def load():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,22 @@ MIN_FIRE_SIZE = 100.0
 FIRE_FROM = "2005-01-01"
 
 
-def read_catalog(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """CSV or NDJSON with a fixed all-string schema; malformed records are kept in ``_corrupt_record``."""
-    reader = spark.read.schema(CATALOG_SCHEMA).option("mode", "PERMISSIVE")
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
+CATALOG_COLUMNS = tuple(f.split()[0] for f in CATALOG_SCHEMA.split(", ") if not f.startswith("_"))
+
+
+def read_catalog(spark: SparkSession, path: str, fmt: str = "csv", header: bool = True, columns: Sequence[str] = CATALOG_COLUMNS) -> DataFrame:
+    """CSV or NDJSON with a fixed all-string schema; malformed records are kept in ``_corrupt_record``. `columns` is the order
+    of the fields of a CSV file."""
+    schema = ", ".join([*(f"{c} string" for c in columns), "_corrupt_record string"])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    # a pruned parser would not see that a record has too many fields
+    reader = reader.option("columnPruning", False)
+    return reader.option("header", header).csv(path) if fmt == "csv" else reader.json(path)
+
+
+def split_corrupt(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole records, and those to be kept aside with their text."""
+    return raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), raw.filter(F.col("_corrupt_record").isNotNull())
 
 
 def clean_catalog(raw: DataFrame) -> DataFrame:

@@ -34,9 +34,15 @@ def nested_vertices(df: DataFrame, keys: list[str], elements: str) -> DataFrame:
     return ways.select(*keys, F.inline("_e.geometry")).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
-def read_years(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Per-year files as one table; columns that only some years carry are NULL elsewhere."""
-    return union_all([spark.read.parquet(p) for p in paths])
+def read_array_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files that hold one JSON array of documents each, also compressed."""
+    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.txt*").json(path)
+
+
+def read_years(spark: SparkSession, root: str, schema: str, first: int, last: int) -> DataFrame:
+    """Folders ``year=<y>`` as one table; only the years asked for are listed and read, and columns that only some years carry
+    are NULL elsewhere."""
+    return spark.read.schema(f"{schema}, year int").parquet(root).filter(F.col("year").between(first, last))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

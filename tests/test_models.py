@@ -101,3 +101,18 @@ def test_a_calibrator_keeps_its_knots(spark, out_dir):
     cal.knots.write.parquet(f"{out_dir}/k")
     again = isotonic.Calibrator(spark.read.parquet(f"{out_dir}/k"))
     assert (again.x, again.value) == (cal.x, cal.value)
+
+
+def test_transfer_shows_a_planted_shift(rows):
+    """In the region held out the relation is the other way round: the frozen model fails, the local one does not."""
+    here, there = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1").withColumn("label", 1 - F.col("label"))
+    got = {r["predictor"]: r for r in ml.transfer(here, there, ["x", "noise"], "label", "id", "block", 3, QUICK, "x", {"noise_only": ["noise"]}).collect()}
+    assert got["frozen"]["roc_auc"] < 0.2 and got["local"]["roc_auc"] > 0.85 and got["floor"]["roc_auc"] < 0.2
+    assert set(got) == {"frozen", "noise_only", "local", "floor"} and all(r["pr_auc"] is not None for r in got.values())
+
+
+def test_held_out_regions_side_by_side(rows):
+    df = rows.withColumns({"region": F.concat(F.lit("r"), F.col("id") % 2), "cls": F.when(F.col("id") % 2 == 0, F.floor(F.col("x") * 4))})
+    got = {r["region"]: r for r in ml.leave_one_region_out(df, ["x", "noise"], "label", "region", "noise", QUICK, "id", "block", 2, "cls").collect()}
+    assert all(r["loro_roc"] > 0.9 and r["local_roc"] > 0.85 and r["loro_pr"] > r["floor_pr"] for r in got.values())
+    assert got["r0"]["class_roc"] > 0.8 and got["r1"]["class_roc"] is None and got["r1"]["wins"]

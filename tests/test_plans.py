@@ -70,3 +70,12 @@ def test_wide_jobs_scan_the_raw_rows_once(spark):
     """The daily series is written before it is read: what is left of the plan has no scan of the raw rows."""
     for name in ("nightly_update", "watchlist", "compound_flags", "world_score", "parity_report", "hazard_blocks"):
         assert plan(QUERIES[name](spark, SF)).count("lineitem.parquet") == 0, name
+
+
+def test_only_the_years_asked_for_are_read(spark, out_dir):
+    from terrasig.plans.landing import land_years
+    from terrasig.sources import payloads
+
+    land_years(Tables(spark, SF), f"{out_dir}/y")
+    text = plan(payloads.read_years(spark, f"{out_dir}/y", "cell bigint, d date, m3s double, version string", 1997, 1999))
+    assert "PartitionFilters: [isnotnull(year" in text and "PushedFilters: []" in text
