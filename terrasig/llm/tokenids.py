@@ -162,21 +162,20 @@ class Encoder:
 
     With this vocabulary a space between two other signs always starts a token, so a text is the pieces' ids in a row, and
     new pieces are given to the library in long runs whose ids are cut where a token opens with a space. Texts in which a
-    space touches further white space are given to the library whole.
+    space touches further white space, or that hold a token added to the vocabulary, are given to the library whole.
     """
 
     #: Pieces that a task keeps at most; then it learns anew.
     PIECES = 400_000
     #: Pieces in one call of the library.
     RUN = 500
-    _mixed = re.compile(r"\s\s")
-
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self._mixed = re.compile("|".join([r"\s\s", *added]))
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
         self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith("\u0120")]] = True
         self.known: dict[str, bytes] = {}

@@ -233,8 +233,7 @@ def test_token_ids(spark, odd, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokenids.byte_vocabulary())
-    library.encode_special_tokens = True
-    more = odd.unionByName(table(spark, [(20, "two  spaces"), (21, "it's <|endoftext|> x"), (22, " lead and trail "), (23, "a.\n\n b, (c).")]))
+    more = odd.unionByName(table(spark, [(20, "two  spaces"), (21, "it's <|endoftext|> x"), (24, "x <|endoftext|> y"), (25, "a<|endoftext|>b c"), (22, " lead and trail "), (23, "a.\n\n b, (c).")]))
     frames = tokenids.write(more, tokenids.byte_vocabulary())
     got = sorted(map(tuple, tokenids.digests(frames).where("doc_id is not null").collect()))
     text = {r["doc_id"]: r["text"] or "" for r in more.collect()}
