@@ -64,14 +64,20 @@ def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "
     if not bound:
         return base.select("key", "body", F.lit(0).alias("pos"), F.lit(0).alias("width"), F.col("w").alias("gram")).limit(0)
     every = F.concat(*[F.coalesce(_windows_of(F.col("w"), n, not small), F.array()) for n in sorted(bound)]) if len(bound) > 1 else _windows_of(F.col("w"), bound[0], not small)
+    # a window's row does not carry the text's words: that would be quadratic in the text
+    rows = base.select("key", "body", F.explode(every).alias("x")).select("key", "body", "x.*")
     probe = grams.select("width", "hash", F.col("gram").alias("sought"))
-    if small:
-        rows = base.select("key", "body", "w", F.explode(every).alias("x")).select("key", "body", "w", "x.pos", "x.width", "x.hash")
-        met = rows.join(F.broadcast(probe), ["hash", "width"]).where(F.slice("w", F.col("pos") + 1, F.col("width")) == F.col("sought"))
-    else:
-        rows = base.select("key", "body", F.explode(every).alias("x")).select("key", "body", "x.*")
+    if not small:
         met = rows.join(probe, ["hash", "width"]).where(F.col("gram") == F.col("sought"))
-    return met.select("key", "body", "pos", "width", F.col("sought").alias("gram")).distinct()
+        return met.select("key", "body", "pos", "width", F.col("sought").alias("gram")).distinct()
+    met = keep(rows.join(F.broadcast(probe.select("hash", "width").distinct()), ["hash", "width"]).select("key", "body", "pos", "width", "hash").distinct(), "met")
+    # the words of the few texts that are hit are taken again, to verify each hit word by word
+    near = met.groupBy(F.col("key").alias("__key"), F.col("body").alias("__body")).agg(F.collect_set(F.struct("pos", "width", "hash")).alias("at"))
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    found = texts.join(near, F.col("key").eqNullSafe(F.col("__key")) & (F.col("body") == F.col("__body"))).select("key", "body", "at", words(F.col("text")).alias("w"))
+    held = F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["width"].alias("width"), x["hash"].alias("hash"), F.slice("w", x["pos"] + 1, x["width"]).alias("gram")))
+    sure = found.select("key", "body", F.explode(held).alias("x")).select("key", "body", "x.*").join(F.broadcast(probe), ["hash", "width"]).where(F.col("gram") == F.col("sought"))
+    return sure.select("key", "body", "pos", "width", "gram").distinct()
 
 
 def _covered(spans: Column) -> Column:
