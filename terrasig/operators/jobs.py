@@ -20,6 +20,7 @@ def nightly_update(
     cut: Column,
     as_of: Column,
     fire: DataFrame | None = None,
+    outlook: DataFrame | None = None,
     fire_threshold: float = 0.98,
     watch_threshold: float = 0.95,
 ) -> DataFrame:
@@ -28,7 +29,7 @@ def nightly_update(
     ``history`` and ``tail`` (cell, d, precip) split at ``cut``; ``backup`` (cell, d, other) bridges a stalled tail and
     carries the calendar; ``flow`` (cell, d, m3s) is ranked on each location's own as-of day; ``trust`` (cell, data_quality). ``as_of`` is the run date,
     so a re-run gives the same table. ``fire`` (cell, fire_date, fire_danger) adds the fire branch; an alert needs trusted
-    sources and a reading at most a week old.
+    sources and a reading at most a week old. ``outlook`` (cell, week_max_pctl, week_max_valid) adds the river's week ahead.
     """
     # the merged series feeds the ranks and the as-of days, so it is written once
     filled = cut_lineage(fill(history, tail, backup, cut, as_of))
@@ -62,6 +63,9 @@ def nightly_update(
                 "fire_watch": serving.yes(F.col("fire_danger") >= watch_threshold),
             }
         )
+    if outlook is not None:
+        ahead = outlook.select("cell", F.col("week_max_pctl").alias("flood_week_max_pctl"), F.col("week_max_valid").alias("flood_week_max_date"))
+        state = state.join(ahead, "cell", "left")
     for name, kind in (
         ("fire_alert", "boolean"),
         ("fire_watch", "boolean"),

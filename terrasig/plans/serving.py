@@ -12,7 +12,7 @@ from terrasig.plans.joins import DIST_KM
 from terrasig.plans.basics import geohash_sql
 from terrasig.plans.registry import query
 from terrasig.plans.tables import Tables
-from terrasig.plans.timeseries import AGREE_SQL, FIRE_SQL, MERGE_SQL, RIVER_SQL, verdicts, world_ranks
+from terrasig.plans.timeseries import AGREE_SQL, FIRE_SQL, FORECAST_SQL, MERGE_SQL, RIVER_SQL, verdicts, world_ranks
 from terrasig.plans.views import seasonal_sql, with_views
 from terrasig.sources import sinks
 
@@ -343,7 +343,7 @@ def register_upsert(t: Tables) -> DataFrame:
 
 NIGHT_SQL = (
     *AGREE_SQL,
-    *RIVER_SQL,
+    *FORECAST_SQL,
     *FIRE_SQL,
     ("nh", MERGE_SQL[0][1]),
     ("nl", "SELECT cell, MAX(d) AS last FROM nh WHERE precip IS NOT NULL GROUP BY 1"),
@@ -372,9 +372,10 @@ NIGHT_SQL = (
         "night",
         """SELECT s.cell, s.d AS as_of, s.rain3d_pctl, s.rain30d_pctl, s.spi90, s.spi365, q.flood_pctl, v.combined AS data_quality, CAST(DATE '2001-11-10' - s.d AS BIGINT) AS staleness_days,
            ((s.cell*37) % 100)/1e2 AS susceptibility_nearby_max, f.vpd_pctl_seasonal AS fire_danger, COALESCE(f.vpd_pctl_seasonal >= 98e-2 AND DATE '2001-11-10' - f.d <= 7, FALSE) AND COALESCE(v.combined, 'ok') <> 'disagree' AS fire_alert,
-           COALESCE(f.vpd_pctl_seasonal >= 95e-2, FALSE) AS fire_watch, CAST(NULL AS DOUBLE) AS flood_week_max_pctl, CAST(NULL AS DATE) AS flood_week_max_date
+           COALESCE(f.vpd_pctl_seasonal >= 95e-2, FALSE) AS fire_watch, o.mx AS flood_week_max_pctl, o.at AS flood_week_max_date
            FROM ns s JOIN (SELECT cell, MAX(d) AS d FROM nf WHERE precip IS NOT NULL GROUP BY 1) m ON m.cell = s.cell AND m.d = s.d
            LEFT JOIN rq q ON q.cell = s.cell AND q.d = s.d LEFT JOIN sv v ON v.cell = s.cell
+           LEFT JOIN (SELECT cell, mx, MIN(CASE WHEN pctl = mx THEN valid END) AS at FROM (SELECT *, MAX(pctl) OVER (PARTITION BY cell, init) AS mx FROM fo) GROUP BY 1, 2) o ON o.cell = s.cell
            LEFT JOIN (SELECT f.* FROM fire f JOIN (SELECT cell, MAX(d) AS d FROM daily WHERE tmax IS NOT NULL GROUP BY 1) x ON x.cell = f.cell AND x.d = f.d WHERE f.rn > 365) f ON f.cell = s.cell""",
     ),
 )
@@ -400,19 +401,20 @@ def nightly(t: Tables) -> DataFrame:
         cut=F.lit("2001-01-01").cast("date"),
         as_of=F.lit("2001-11-10").cast("date"),
         fire=fire_reading(t),
+        outlook=river.forecast_outlook(t.forecast, t.river_day.select("cell", "d", "m3s"), "cell", "d", "m3s"),
     )
 
 
 @query(
     "nightly_update",
     with_views(
-        "roll rain2 river_day",
-        f"SELECT cell AS location_id, as_of, staleness_days, status, message, rain3d_pctl, rain30d_pctl, spi90, spi365, fire_danger, flood_pctl FROM ({compose_sql('night')})",
+        "roll rain2 river_day forecast",
+        f"SELECT cell AS location_id, as_of, staleness_days, status, message, rain3d_pctl, rain30d_pctl, spi90, spi365, fire_danger, flood_pctl, flood_week_max_pctl, flood_week_max_date FROM ({compose_sql('night')})",
         *NIGHT_SQL,
     ),
     once=True,
 )
 def nightly_update(t: Tables) -> DataFrame:
     return nightly(t).select(
-        "location_id", "as_of", "staleness_days", "status", "message", "rain3d_pctl", "rain30d_pctl", "spi90", "spi365", "fire_danger", "flood_pctl"
+        "location_id", "as_of", "staleness_days", "status", "message", "rain3d_pctl", "rain30d_pctl", "spi90", "spi365", "fire_danger", "flood_pctl", "flood_week_max_pctl", "flood_week_max_date"
     )
