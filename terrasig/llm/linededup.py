@@ -217,8 +217,21 @@ def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     named = members.join(roots, F.col("line") == F.col("node"), "left").select("id", "body", "number", F.coalesce("root", "line").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct("id", "body", "number")).alias("f"))
-    is_first = F.struct("id", "body", "number").eqNullSafe(F.col("f"))
-    return named.join(first, "component").select("id", "body", "number", "component", is_first.alias("keep"))
+    # joined on the line's own place, which no crowd shares, instead of on the component
+    first = first.select(F.col("f.id").alias("__i"), F.col("f.body").alias("__b"), F.col("f.number").alias("__n"), F.lit(True).alias("__first"))
+    same = F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")) & (F.col("number") == F.col("__n"))
+    return named.join(first, same, "left").select("id", "body", "number", "component", F.coalesce("__first", F.lit(False)).alias("keep"))
+
+
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: key, n_lines (non-blank ones), n_dropped, dropped (their numbers, ascending). Documents without
+    such lines have none; a repeated row has the same lines as the first."""
+    found = line_components(docs, key, text).groupBy(F.col("id").alias("__i"), F.col("body").alias("__b"))
+    lines = found.agg(F.count_distinct("number").alias("n"), F.sort_array(F.collect_set(F.when(~F.col("keep"), F.col("number")))).alias("gone"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("body"))
+    joined = rows.join(lines, F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")), "left")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    return joined.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"), gone.alias("dropped"))
 
 
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -254,9 +254,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines of all documents go: per document the number of its lines and the places of those that go."""
     from terrasig.llm import linededup
 
-    found = linededup.line_components(documents(spark, sf_dir))
-    lines = found.groupBy("id", "body").agg(F.count(F.lit(1)).alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("keep"), F.col("number")))).alias("dropped"))
-    return lines.select(F.col("id").alias("doc_id"), "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
+    return linededup.report(documents(spark, sf_dir))
 
 
 # 13 Ranked lexical search
