@@ -25,6 +25,9 @@ WIDTH = 10
 #: At about 300 bytes a window, at most some 600 MB; beyond it the join is by shuffle.
 BROADCAST_WINDOWS = 2_000_000
 
+#: Names of hit texts, 16 bytes each and a hash table's own, that are sent to every task; beyond it all texts are joined by shuffle.
+BROADCAST_TEXTS = 500_000
+
 #: Words and separators before lower-casing.
 _WRITTEN, _BETWEEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
@@ -35,42 +38,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
 
 
-#: Bits of the gate at most; it is a constant of the plan.
-GATE = 1 << 20
-
-
-def _gate(probe: DataFrame):
-    """A test of a window's hash that passes all sought ones and few others: a bitmap, about 32 bits for each sought hash. A
-    crowded bitmap only lets more windows through to the join."""
-    size = min(GATE, 1 << max(12, (32 * probe.count()).bit_length()))
-    word = F.shiftright(F.col("hash").bitwiseAND(F.lit(size - 1)), 6)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hash").bitwiseAND(F.lit(63)).cast("int"))
-    bits = [0] * (size // 64)
-    for r in probe.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():  # at most 16,384 rows
-        bits[r["word"]] = r["bits"]
-    table = F.expr(f"array({','.join(f'{b}L' if b != -(1 << 63) else '(-9223372036854775807L - 1L)' for b in bits)})")
-
-    def passes(h: Column) -> Column:
-        at = F.shiftright(h.bitwiseAND(F.lit(size - 1)), 6).cast("int")
-        return F.call_function("shiftright", F.get(table, at), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-    return passes
+def _windows_of(words_col: Column, width: int, carry: bool) -> Column:
+    """All windows of a width as (pos, width, hash[, gram])."""
 
+    def one(i: Column) -> Column:
+        gram = F.slice(words_col, i + 1, width)
+        fields = [i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(gram).alias("hash")]
+        return F.struct(*fields, *([gram.alias("gram")] if carry else []))
 
-def _windows_of(words_col: Column, width: int, passes=None) -> Column:
-    """All windows of a width, or those whose hash passes, as (pos, width, hash, gram)."""
     n = F.size(words_col)
-    gram = lambda i: F.slice(words_col, i + 1, width)
-    hashed = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.struct(i.alias("pos"), F.lit(width).alias("width"), F.xxhash64(gram(i)).alias("hash")))
-    some = F.filter(hashed, lambda x: passes(x["hash"])) if passes else hashed
-    return F.when(n >= width, F.transform(some, lambda x: F.struct(x["pos"].alias("pos"), x["width"].alias("width"), x["hash"].alias("hash"), gram(x["pos"]).alias("gram"))))
+    return F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), one))
 
 
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Distinct (item, width, hash, gram) of all items."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     whole = F.array(F.struct(F.lit(0).alias("pos"), F.size("w").alias("width"), F.xxhash64("w").alias("hash"), F.col("w").alias("gram")))
-    each = F.when(F.size("w") < width, whole).otherwise(_windows_of(F.col("w"), width))
+    each = F.when(F.size("w") < width, whole).otherwise(_windows_of(F.col("w"), width, True))
     return items.select("item", F.explode(each).alias("x")).select("item", "x.width", "x.hash", "x.gram").distinct()
 
 
@@ -82,13 +66,25 @@ def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "
     base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     if not bound:
         return base.select("key", "body", F.lit(0).alias("pos"), F.lit(0).alias("width"), F.col("w").alias("gram")).limit(0)
+    every = F.concat(*[F.coalesce(_windows_of(F.col("w"), n, not small), F.array()) for n in sorted(bound)]) if len(bound) > 1 else _windows_of(F.col("w"), bound[0], not small)
+    # a window's row does not carry the text's words: that would be quadratic in the text
+    rows = base.select("key", "body", F.explode(every).alias("x")).select("key", "body", "x.*")
     probe = grams.select("width", "hash", F.col("gram").alias("sought"))
-    keep_if = _gate(probe) if small else None
-    each = [F.coalesce(_windows_of(F.col("w"), n, keep_if), F.array()) for n in sorted(bound)]
-    # a window's row has its own words and not the text's, which would be quadratic in the text
-    rows = base.select("key", "body", F.explode(F.concat(*each) if len(each) > 1 else each[0]).alias("x")).select("key", "body", "x.*")
-    met = rows.join(F.broadcast(probe) if small else probe, ["hash", "width"]).where(F.col("gram") == F.col("sought"))
-    return met.select("key", "body", "pos", "width", "gram").distinct()
+    if not small:
+        met = rows.join(probe, ["hash", "width"]).where(F.col("gram") == F.col("sought"))
+        return met.select("key", "body", "pos", "width", F.col("sought").alias("gram")).distinct()
+    met = keep(rows.join(F.broadcast(probe.select("hash", "width").distinct()), ["hash", "width"]).select("key", "body", "pos", "width", "hash").distinct(), "met")
+    # the words of the few texts that are hit are taken again, to verify each hit word by word
+    near = met.groupBy(F.col("key").alias("__key"), F.col("body").alias("__body")).agg(F.collect_set(F.struct("pos", "width", "hash")).alias("at"))
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
+    names = near.select("__key", "__body")
+    if names.count() <= BROADCAST_TEXTS:
+        # the other texts stay where they are
+        texts = texts.join(F.broadcast(names), F.col("key").eqNullSafe(F.col("__key")) & (F.col("body") == F.col("__body")), "left_semi")
+    found = texts.join(near, F.col("key").eqNullSafe(F.col("__key")) & (F.col("body") == F.col("__body"))).select("key", "body", "at", words(F.col("text")).alias("w"))
+    held = F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["width"].alias("width"), x["hash"].alias("hash"), F.slice("w", x["pos"] + 1, x["width"]).alias("gram")))
+    sure = found.select("key", "body", F.explode(held).alias("x")).select("key", "body", "x.*").join(F.broadcast(probe), ["hash", "width"]).where(F.col("gram") == F.col("sought"))
+    return sure.select("key", "body", "pos", "width", "gram").distinct()
 
 
 def _covered(spans: Column) -> Column:
