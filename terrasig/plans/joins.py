@@ -119,14 +119,13 @@ def cases(t: Tables) -> DataFrame:
     with_views("event event_day", "SELECT stratum, cell, control FROM cand_ok", *CONTROL_SQL),
 )
 def control_candidates(t: Tables) -> DataFrame:
-    return sampling.control_candidates(cases(t), t.event_day, 1996, 2001).select("stratum", "cell", "control")
+    return sampling.control_candidates(cases(t), t.event, 1996, 2001).select("stratum", "cell", "control")
 
 
 @query("controls")
 def controls(t: Tables) -> DataFrame:
     """Four drawn controls per case, with the design checked per row: distance in days to the nearest own event."""
-    cand = sampling.control_candidates(cases(t), t.event_day, 1996, 2001)
-    return sampling.controls(cand, 4, seed=17).select("stratum", "cell", "control")
+    return sampling.draw_controls(cases(t), t.event, 1996, 2001, 4, seed=17).select("stratum", "cell", "control")
 
 
 def boxes(t: Tables) -> DataFrame:

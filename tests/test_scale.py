@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
-from terrasig.operators import spatial
+from terrasig.operators import sampling, spatial
 from terrasig.plans import load
+from terrasig.plans.joins import cases
+from terrasig.plans.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES, _ = load()
@@ -23,3 +27,32 @@ def test_candidates_near_events_are_not_multiplied_or_broadcast(spark):
     cells = spatial._occupied(spatial._with_cells(points, 1e-4))
     met = spatial._reach(spatial._with_cells(points, 1e-4), cells, 1e-4)
     assert met.count() == 50  # each point meets its own cell only, once
+
+
+def test_control_candidates_are_not_shuffled(spark):
+    t = Tables(spark, SF)
+    text = plan(QUERIES["control_candidates"](spark, SF))
+    # the days are exploded above the last exchange: cases are shuffled, candidates are not
+    assert text.index("Generate explode") < text.index("Exchange") and "LeftAnti" not in text
+    events = t.event.unionByName(t.event.limit(20).withColumn("d", F.lit(None).cast("date")))
+    cand = sampling.control_candidates(cases(t), events, 1996, 2001)
+    for n in (1, 4, 2000):  # 2000: more than a case has
+        got = sampling.draw_controls(cases(t), events, 1996, 2001, n, 17).collect()
+        assert sorted(got) == sorted(sampling.controls(cand, n, 17).collect())
+
+
+def test_candidates_equal_a_plain_search(spark):
+    day = datetime.date
+    ev = [("a", day(2000, 2, 29)), ("a", day(1996, 1, 3)), ("a", day(2001, 12, 30)), (None, day(1999, 5, 5)), ("b", None)]
+    cs = [(1, "a", day(2000, 2, 29)), (2, "a", day(1999, 12, 31)), (3, None, day(1999, 5, 5)), (4, "c", day(1998, 7, 1)), (5, "b", day(1996, 1, 1))]
+    c, e = spark.createDataFrame(cs, "stratum int, cell string, d date"), spark.createDataFrame(ev, "cell string, d date")
+    want = set()
+    for s, cell, d in cs:
+        for y in (y for y in range(1996, 2002) if y != d.year):
+            a = day(y, 2, 28) if (d.month, d.day) == (2, 29) and y % 4 else d.replace(year=y)
+            for at in (a + datetime.timedelta(k) for k in range(-45, 46)):
+                banned = any(x == cell and cell is not None and b is not None and abs((at - b).days) <= 7 for x, b in ev)
+                if 1996 <= at.year <= 2001 and not banned:
+                    want.add((s, cell, at))
+    got = [tuple(r) for r in sampling.control_candidates(c, e, 1996, 2001).collect()]
+    assert len(got) == len(want) and set(got) == want
