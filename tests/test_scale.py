@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,25 @@ def test_candidates_equal_a_plain_search(spark):
                     want.add((s, cell, at))
     got = [tuple(r) for r in sampling.control_candidates(c, e, 1996, 2001).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_boxes_behind_one_that_holds_the_tile_are_not_tested(spark):
+    # names in no order of place; many boxes hold the tile of every point, and some end on a tile's border
+    r = random.Random(5)
+    bs = []
+    for k in range(400):
+        x, y = r.uniform(-60, 60), r.uniform(-40, 40)
+        bs.append((f"n{r.randrange(10**6):06d}-{k}", x - 15.0, y - 12.0, x + 15.0, y + 12.0))
+    bs += [("a", 10.0, 0.0, 20.0, 10.0), ("b", -70.0, -50.0, -60.0, -40.0), (None, -90.0, -90.0, 90.0, 90.0)]
+    ps = [(k, r.uniform(-55, 55), r.uniform(-80, 80)) for k in range(300)] + [(300, 10.0, 20.0), (301, 0.0, 10.0), (302, -45.0, -60.0), (303, None, 1.0), (304, 9.999999999999999, 15.0)]
+    boxes = spark.createDataFrame(bs, "region string, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame(ps, "id int, lat double, lon double")
+    want = {}
+    for i, lat, lon in ps:
+        held = [n for n, x0, y0, x1, y1 in bs if n is not None and lat is not None and x0 <= lon <= x1 and y0 <= lat <= y1]
+        want[i] = min(held, default=None)
+    for tile in (10.0, 3.0):
+        assert {row["id"]: row["region"] for row in spatial.first_box(points, boxes, tile).collect()} == want
+    more = boxes.unionByName(boxes.withColumn("region", F.concat(F.lit("z"), "region")))
+    covered = lambda b: (x := spatial._boxes_by_tile(b, 3.0)).filter("not _whole").join(x.filter("_whole").select("_ti", "_tj"), ["_ti", "_tj"]).count()
+    assert 0 < covered(more) == covered(boxes)
