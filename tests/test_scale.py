@@ -79,3 +79,10 @@ def test_boxes_behind_one_that_holds_the_tile_are_not_tested(spark):
     more = boxes.unionByName(boxes.withColumn("region", F.concat(F.lit("z"), "region")))
     covered = lambda b: (x := spatial._boxes_by_tile(b, 3.0)).filter("not _whole").join(x.filter("_whole").select("_ti", "_tj"), ["_ti", "_tj"]).count()
     assert 0 < covered(more) == covered(boxes)
+
+
+def test_recent_ranks_take_one_pass_over_the_signals(spark):
+    for name, folds in (("world_score", 1), ("alert_exposure", 1), ("parity_report", 2)):
+        text = plan(QUERIES[name](spark, SF))
+        assert text.count("FlatMapGroupsInArrow") == folds and "Expand" not in text, name
+    assert "Expand" not in plan(QUERIES["watchlist_rank"](spark, SF)).split("FlatMapGroupsInArrow")[0]
