@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from terrasig.operators import sampling, spatial
+from terrasig.operators import climate, sampling, series, spatial
 from terrasig.plans import load
 from terrasig.plans.joins import cases
 from terrasig.plans.tables import Tables
@@ -86,3 +86,35 @@ def test_recent_ranks_take_one_pass_over_the_signals(spark):
         text = plan(QUERIES[name](spark, SF))
         assert text.count("FlatMapGroupsInArrow") == folds and "Expand" not in text, name
     assert "Expand" not in plan(QUERIES["watchlist_rank"](spark, SF)).split("FlatMapGroupsInArrow")[0]
+
+
+def test_a_season_is_ranked_in_one_batch_of_its_key(spark):
+    t = Tables(spark, SF)
+    for name in ("spi_features", "rain_features", "replay_grid", "yearly_skill"):
+        text = plan(QUERIES[name](spark, SF))
+        assert text.count("FlatMapGroupsInArrow") == 1 and "array_position" not in text and "sort_array" not in text, name
+    assert plan(climate.rain_features(t.daily)).count("Exchange hashpartitioning") == 2
+
+
+def test_ranks_equal_a_plain_count(spark):
+    r, day = random.Random(9), datetime.date
+    odd = [None, float("nan"), float("-inf"), -0.0, 0.0, 1.5, 2.5, float("inf")]
+    # a leap day, a day that comes twice, days without a date, and gaps
+    ds = [day(y, m, k) for y in (1999, 2000, 2001) for m in (1, 2, 12) for k in range(1, 29)] + [day(2000, 2, 29), day(2000, 2, 29), None, None]
+    rows = [("a" if i % 5 else None, d, r.choice(odd)) for i, d in enumerate(ds)] + [("b", day(2000, 5, 5), None)]
+    df = spark.createDataFrame(rows, "k string, d date, v double").withColumn("i", F.monotonically_increasing_id())
+    rank = lambda v: (v != v, 0.0 if v != v else v)  # noqa: E731  not-a-number is the highest value
+    sk = lambda d: None if d is None else d.month * 31 + d.day
+    near = lambda a, b: a == b if a is None or b is None else abs(a - b) <= 3
+    data = {x["i"]: (x["k"], x["d"], x["v"]) for x in df.collect()}
+    want = {}
+    for i, (k, d, v) in data.items():
+        every = [w for key, _, w in data.values() if key == k and w is not None]
+        pool = [w for key, e, w in data.values() if key == k and w is not None and near(sk(d), sk(e))]
+        share = lambda p: None if v is None else sum(rank(w) <= rank(v) for w in p) / len(p)  # noqa: B023, E731
+        want[i] = (share(pool) if len(pool) >= 4 else None, share(every) if every else None)
+    got = series.seasonal_percentiles(df, "k", "d", {"v": "s"}, halfwidth=3, min_n=4, alltime={"v": "a"}).collect()
+    assert {x["i"]: (x["s"], x["a"]) for x in got} == want
+    some = series.seasonal_percentiles(df, "k", "d", {"v": "s"}, halfwidth=3, min_n=4, only=F.col("v") > 1, drop=["v"])
+    assert some.columns == ["k", "d", "i", "s"]
+    assert {x["i"]: x["s"] for x in some.collect()} == {i: want[i][0] for i, x in data.items() if x[2] is not None and rank(x[2]) > (False, 1.0)}
