@@ -64,7 +64,9 @@ def land(df: DataFrame, path: str, part: str, values: list) -> StructType:
 
 
 def arrivals(t: Tables, root: str, df: DataFrame, part: str, values: list, job, sink=None) -> None:
-    """Land one part after the other and let the restarted stream process each: one micro-batch per arrival."""
+    """Land one part after the other and let the restarted stream process each: one micro-batch per arrival. The table is
+    derived once, for all parts."""
+    df = tables.written(df, "arrivals", [part])
     sink = sink or tables.log_sink(f"{root}/log")
     files = t.spark.sparkContext.defaultParallelism
     body = df.drop(part)

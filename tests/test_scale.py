@@ -118,3 +118,14 @@ def test_ranks_equal_a_plain_count(spark):
     some = series.seasonal_percentiles(df, "k", "d", {"v": "s"}, halfwidth=3, min_n=4, only=F.col("v") > 1, drop=["v"])
     assert some.columns == ["k", "d", "i", "s"]
     assert {x["i"]: x["s"] for x in some.collect()} == {i: want[i][0] for i, x in data.items() if x[2] is not None and rank(x[2]) > (False, 1.0)}
+
+
+def test_a_stream_derives_its_table_once(spark, monkeypatch):
+    from terrasig.plans import streams
+
+    made = []
+    monkeypatch.setattr(streams.tables, "written", lambda df, name, by=(), f=streams.tables.written: made.append(by) or f(df, name, by))
+    t = Tables(spark, SF)
+    streams.stream_session_spell(t)
+    streams.stateful_kbdi(t)
+    assert made == [["part"], ["part"]]
