@@ -129,3 +129,17 @@ def test_a_stream_derives_its_table_once(spark, monkeypatch):
     streams.stream_session_spell(t)
     streams.stateful_kbdi(t)
     assert made == [["part"], ["part"]]
+
+
+def test_the_window_reads_what_is_taken_of_the_ladder(spark):
+    from terrasig.operators import world
+
+    day = F.lit("2001-11-04").cast("date")
+    signals = climate.world_signals(Tables(spark, SF).daily).filter("cell <= 2").cache()
+    whole = climate.quantile_ladder(signals, climate.LADDER_SIGNALS)
+    part = climate.quantile_ladder(signals, climate.LADDER_SIGNALS, asked=world.read_by_window(F.col("d"), day))
+    rows = {(r["signal"], r["cell"], r["fortnight"]): r["q"] for r in part.collect()}
+    assert {r["fortnight"] for r in whole.collect()} == {f for s, _, f in rows if s == "spi365"}
+    assert {f for s, _, f in rows if s == "vpd"} == {21} and {f for s, _, f in rows if s == "kbdi"} == {21, 19}
+    assert rows.items() <= {(r["signal"], r["cell"], r["fortnight"]): r["q"] for r in whole.collect()}.items()
+    assert world.seeds(part, climate.fortnight(day), 401).exceptAll(world.seeds(whole, climate.fortnight(day), 401)).count() == 0
