@@ -7,8 +7,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from terrasig.operators import climate, sampling, series, spatial
-from terrasig.plans import load
+from terrasig.operators import climate, descent, sampling, series, spatial
+from terrasig.plans import load, matrices
 from terrasig.plans.joins import cases
 from terrasig.plans.tables import Tables
 
@@ -30,6 +30,17 @@ def test_candidates_near_events_are_not_multiplied_or_broadcast(spark):
     assert met.count() == 50  # each point meets its own cell only, once
 
 
+def test_points_with_terrain_and_named_vertices_are_not_broadcast(spark):
+    t = Tables(spark, SF)
+    pos = matrices.positives(t)
+    bg = sampling.background_near(pos, 8, matrices.BBOX, 17, radius_m=12_000.0, min_m=500.0)
+    text = plan(matrices.terrain_of(t, pos.unionByName(bg.drop("anchor"))))
+    assert "SortMergeJoin [_tile" in text and "BroadcastHashJoin [_tile" not in text
+    places = t.place.select("id", "lat", "lon")
+    text = plan(descent.nearest(places.withColumn("lat", F.col("lat") + 0.3), places))
+    assert "SortMergeJoin [level" in text and "BroadcastHashJoin [level" not in text
+
+
 def test_control_candidates_are_not_shuffled(spark):
     t = Tables(spark, SF)
     text = plan(QUERIES["control_candidates"](spark, SF))
