@@ -163,27 +163,29 @@ def _words(bits: int):
     return run
 
 
-def _texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Texts of docs among which are all chosen ones. A bit filter of the chosen texts, of at most `FILTER` bits, goes to
+def _sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, n, tokens) of texts of docs among which are all chosen ones. A bit filter of the chosen texts, of at most `FILTER` bits, goes to
     every task, so that texts stay where they are; beyond that size texts and chosen rows are joined. What a filter lets
-    through besides is a set that links with nothing."""
+    through besides is a set that links with nothing. One Python worker a task filters and hashes: two would each hold their
+    batches."""
+    schema = "node long, n long, tokens array<long>"
     bits = 1 << max(16, (16 * chosen.count()).bit_length())
     if bits > FILTER:
         named = chosen.select(F.col("id").alias("__i"), F.col("body").alias("__b"))
-        return docs.join(named, F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")), "left_semi").select("text")
+        return docs.join(named, F.col("id").eqNullSafe(F.col("__i")) & (F.col("body") == F.col("__b")), "left_semi").select("text").mapInArrow(_whole, schema)
     words = chosen.select("body").mapInArrow(_words(bits), "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(bits >> 6, np.uint64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     held = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
-    def run(batches):
+    def passed(batches):
         mask = np.frombuffer(held.value, np.uint64)
         for batch in batches:
             at = _places(batch.column("body").to_numpy(), bits)
             found = (mask[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=0)
             yield batch.select(["text"]).filter(pa.array(found))
 
-    return docs.where("text is not null").select("body", "text").mapInArrow(run, "text string")
+    return docs.where("text is not null").select("body", "text").mapInArrow(lambda batches: _whole(passed(batches)), schema)
 
 
 def _whole(batches):
@@ -230,7 +232,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     one = nodes.where("first > 0").groupBy("node").agg(F.min(F.struct("id", "body", "n")).alias("r")).select("node", "r.*")
     chosen = one.join(hits, "node").where(F.col("hits") >= enough).select("id", "body")
     chosen = keep(chosen, "screened")
-    whole = keep(_texts_of(docs, chosen).mapInArrow(_whole, "node long, n long, tokens array<long>").where("n > 3").dropDuplicates(["node"]), "sets")
+    whole = keep(_sets_of(docs, chosen).where("n > 3").dropDuplicates(["node"]), "sets")
 
     tokens = whole.select("node", "n", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").count().where("count > 1")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: `[^\x20\x09-\x0D]+`, the words between white space.
 SPACES = np.zeros(256, bool)
@@ -133,7 +134,7 @@ def slices(batches, column: str, limit: int = 4 << 20):
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.diff(raw(batch.column(column))[1]))
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
