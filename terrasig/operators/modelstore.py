@@ -83,6 +83,20 @@ class ModelStore:
         return float(run["recall_threshold"]) if run is not None and run["recall_threshold"] is not None else default
 
 
+def informative(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """The features that a training keeps: those that are neither empty nor constant."""
+    known = {r["feature"] for r in sampling.informative_features(df, features).collect()}  # one row a feature
+    return [f for f in features if f in known]
+
+
+def gains(df: DataFrame, features: Sequence[str], label: str, params: dict | None = None) -> DataFrame:
+    """(feature, gain_pct) that `train` without a search would record. Only the model on all rows is fitted: folds, calibration
+    and skill have no part in it."""
+    df = cut_lineage(df)
+    kept = informative(df, features)
+    return ml.importance(ml.gbt(kept, label, dict(params or ml.BASE_PARAMS)).fit(df), kept, df)
+
+
 def train(
     store: ModelStore,
     df: DataFrame,
@@ -100,8 +114,7 @@ def train(
     """Prune, search, cross-validate, calibrate on out-of-fold scores, fit on all rows, and save with its record."""
     spark = store.spark
     df = cut_lineage(df)
-    known = {r["feature"] for r in sampling.informative_features(df, features).collect()}  # one row a feature
-    kept = [f for f in features if f in known]
+    kept = informative(df, features)
     params = dict(params or ml.BASE_PARAMS)
     if n_draws:
         found = ml.search(df, kept, label, group, k, ml.draw_params(n_draws), f"{store.root}/{layer}/{version}/search")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrasig.operators import isotonic, ml, modelstore, sampling
 from terrasig.plans import learning
+from terrasig.plans.tables import Tables
 
 QUICK = {"maxIter": 3, "maxDepth": 2}
 DAY = datetime.date(2001, 11, 10)
@@ -44,6 +45,20 @@ def test_the_run_record_says_what_was_done(store):
     assert sum(i["gain_pct"] for i in run["importance"]) == pytest.approx(100) and run["importance"][0]["feature"] == "x"
 
 
+def test_importance_fits_one_model_and_gives_the_record_of_the_trained_layer(spark, rows, monkeypatch):
+    made = rows.select("id", "label", F.col("block").alias("block_id"), "x", *[sampling.unit_random(k, "id").alias(f) for k, f in enumerate(learning.FEATURES[1:], 3)])
+    made, folded = made.withColumnRenamed("x", learning.FEATURES[0]), []
+    for name, value in (("matrix", lambda t: made), ("PARAMS", QUICK), ("_STORES", {}), ("_GAINS", {})):
+        monkeypatch.setattr(learning, name, value)
+    whole = ml.out_of_fold
+    monkeypatch.setattr(ml, "out_of_fold", lambda *a, **k: folded.append(a) or whole(*a, **k))
+    t = Tables(spark, "none")
+    alone, family = ({r[0]: r[1] for r in q(t).collect()} for q in (learning.importance, learning.importance_family))
+    assert not folded and set(alone) == set(learning.FEATURES) and sum(family.values()) == pytest.approx(100)
+    learning.store(t)
+    assert folded and {r[0]: r[1] for r in learning.importance(t).collect()} == pytest.approx(alone)
+
+
 def test_the_freshest_complete_version_is_found(spark, rows, store):
     record = store.latest("slope").asDict(recursive=True)
     fields = spark.createDataFrame([], modelstore.RUN).columns
