@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasig.operators import quality, river, series, serving
+from terrasig.operators import quality, series, serving
 from terrasig.session import cut_lineage
 from terrasig.sources import sinks
 
@@ -14,7 +14,7 @@ def nightly_update(
     places: DataFrame,
     history: DataFrame,
     tail: DataFrame,
-    backup: DataFrame,
+    backup: DataFrame | None,
     flow: DataFrame,
     trust: DataFrame,
     cut: Column,
@@ -27,26 +27,27 @@ def nightly_update(
     """Merge, fill, rank, compose: the published row of every location.
 
     ``history`` and ``tail`` (cell, d, precip) split at ``cut``; ``backup`` (cell, d, other) bridges a stalled tail and
-    carries the calendar; ``flow`` (cell, d, m3s) is ranked on each location's own as-of day; ``trust`` (cell, data_quality). ``as_of`` is the run date,
+    carries the calendar, and where it is None the history's own record, which goes on behind the cut, is read once for both; ``flow`` (cell, d, m3s) is ranked on each location's own as-of day; ``trust`` (cell, data_quality). ``as_of`` is the run date,
     so a re-run gives the same table. ``fire`` (cell, fire_date, fire_danger) adds the fire branch; an alert needs trusted
     sources and a reading at most a week old. ``outlook`` (cell, week_max_pctl, week_max_valid) adds the river's week ahead.
     """
-    # the merged series feeds the ranks and the as-of days, so it is written once
-    filled = cut_lineage(fill(history, tail, backup, cut, as_of))
+    filled = fill(history, tail, backup, cut, as_of)
+    record = Window.partitionBy("cell").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filled = filled.withColumn("_last", F.max(F.when(F.col("precip").isNotNull(), F.col("d"))).over(record))
     df = series.rolling_sums(filled, "cell", "d", "precip", (3, 30, 90, 365), "p")
     df = df.withColumns({c: F.round(c, 6) for c in ("p3d", "p30d", "p90d", "p365d")})
-    last = F.max(F.when(F.col("precip").isNotNull(), F.col("d"))).over(Window.partitionBy("cell"))
-    df = df.withColumn("_fresh", F.col("d") == last)
-    df = series.seasonal_percentiles(
+    df = df.withColumn("_fresh", F.col("d") == F.col("_last")).drop("_last")
+    df = series.asked_percentiles(
         df,
         "cell",
         "d",
         {"p3d": "rain3d_pctl", "p30d": "rain30d_pctl", "p90d": "spi90", "p365d": "spi365"},
         only=F.col("_fresh"),
     )
-    days = series.last_valid(filled, "cell", "d", "precip", as_of).select("cell", "last_valid")
-    on_day = flow.join(days, "cell").withColumn("_asked", F.col("d") == F.col("last_valid"))
-    ranked = river.flow_rank(on_day, "cell", "d", "m3s", only=F.col("_asked")).select("cell", "d", "flood_pctl")
+    # one row a location: its last day with rain
+    df = cut_lineage(df)
+    on_day = flow.join(df.select("cell", F.col("d").alias("last_valid")), "cell")
+    ranked = series.asked_percentiles(on_day, "cell", "d", {"m3s": "flood_pctl"}, only=F.col("d") == F.col("last_valid")).select("cell", "d", "flood_pctl")
     state = (
         df.withColumn("staleness_days", F.datediff(as_of, F.col("d")))
         .join(ranked, ["cell", "d"], "left")
@@ -78,11 +79,20 @@ def nightly_update(
     return serving.compose_status(state).withColumnsRenamed({"cell": "location_id", "d": "as_of"})
 
 
-def fill(history: DataFrame, tail: DataFrame, backup: DataFrame, cut: Column, as_of: Column) -> DataFrame:
-    """Merged series with its trailing gap bridged, on all days that the merged series or the backup has."""
-    merged = quality.merge_tail(history, tail, cut)
-    bridged = quality.fill_trailing_gap(merged, backup, "cell", "d", "precip", "other", as_of)
-    return backup.select("cell", "d").join(bridged, ["cell", "d"], "full_outer")
+def fill(history: DataFrame, tail: DataFrame, backup: DataFrame | None, cut: Column, as_of: Column) -> DataFrame:
+    """Merged series (`quality.merge_tail`) with its trailing gap bridged, on all days that the merged series or the backup has.
+
+    They are stacked and folded per day behind one exchange by cell, which the ranks then share.
+    """
+    day = lambda df, precip, other, rank: df.select("cell", "d", precip.cast("double").alias("precip"), other.cast("double").alias("other"), rank.cast("int").alias("_tail"))
+    none, before = F.lit(None), F.col("d") < cut
+    if backup is None:  # a day whose _tail is missing gives no value to the merged series
+        known = day(history, F.when(before, F.col("precip")), F.col("precip"), F.when(before, F.lit(0)))
+    else:
+        known = day(history.filter(before), F.col("precip"), none, F.lit(0)).unionByName(day(backup, none, F.col("other"), none))
+    stacked = known.unionByName(day(tail, F.col("precip"), none, F.lit(1)))
+    both = stacked.repartition("cell").groupBy("cell", "d").agg(F.max_by("precip", "_tail").alias("precip"), F.max("other").alias("other"))
+    return quality.bridge(both, "cell", "d", {"precip": ("other", "ratio", (0.25, 4.0), None)}, as_of).drop("other")
 
 
 def publish(rows: DataFrame, old_history: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -130,6 +130,35 @@ def test_ranks_equal_a_plain_count(spark):
     assert some.columns == ["k", "d", "i", "s"]
     assert {x["i"]: x["s"] for x in some.collect()} == {i: want[i][0] for i, x in data.items() if x[2] is not None and rank(x[2]) > (False, 1.0)}
 
+    # a few rows, counted in the record instead of ranked with it
+    for missing in (None, 0.0):
+        few, only = F.col("i") % 7 == 0, {"v": "s"}
+        whole = series.seasonal_percentiles(df, "k", "d", only, halfwidth=3, min_n=4, missing_as=missing, only=few)
+        counted = series.asked_percentiles(df, "k", "d", only, few, halfwidth=3, min_n=4, missing_as=missing)
+        assert counted.columns == whole.columns and sorted(map(repr, counted.collect())) == sorted(map(repr, whole.collect()))
+
+
+def test_the_nightly_job_ranks_its_few_rows_without_python(spark):
+    """The drought index is not published and the ranked days are few: no cell's record goes through Python, and none is pooled."""
+    text = plan(QUERIES["nightly_update"](spark, SF))
+    assert "InArrow" not in text and "RangeFrame" not in text
+
+
+def test_a_history_that_bridges_itself_is_read_once(spark):
+    """The same as with its own rows as a second source: rain behind the cut, a tail that stalls, days that both lack."""
+    from terrasig.operators import jobs
+
+    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), n)
+    df = spark.range(900).select((F.col("id") % 2).alias("cell"), day(F.floor(F.col("id") / 2).cast("int")).alias("d"), F.when(F.col("id") % 11 > 0, F.col("id") % 7 + 0.5).alias("precip"))
+    tail = df.filter("d < date '2001-01-20' and cell = 0 or d < date '2000-12-01'").select("cell", "d", (F.col("precip") * 2).alias("precip"))
+    cut, now = F.lit("2000-11-01").cast("date"), F.lit("2001-03-25").cast("date")
+    own = jobs.fill(df, tail.filter("d >= date '2000-06-01'"), None, cut, now)
+    both = jobs.fill(df, tail.filter("d >= date '2000-06-01'"), df.withColumnRenamed("precip", "other"), cut, now)
+    want = {(r["cell"], r["d"]): r["precip"] for r in both.collect()}
+    assert {(r["cell"], r["d"]): r["precip"] for r in own.collect()} == want and len(want) == 900
+    last = max(d for _, d in want)
+    assert want[0, last] > 2.5  # the history's rain, raised by the correction
+
 
 def test_a_stream_derives_its_table_once(spark, monkeypatch):
     from terrasig.plans import streams
