@@ -41,6 +41,20 @@ def test_points_with_terrain_and_named_vertices_are_not_broadcast(spark):
     assert "SortMergeJoin [level" in text and "BroadcastHashJoin [level" not in text
 
 
+def test_rain_of_cases_is_not_broadcast(spark, monkeypatch):
+    """Controls, and the features of gap-free series, are far more than their estimates, which are those of the sparse rows."""
+    t = Tables(spark, SF)
+    cut = []
+    monkeypatch.setattr(matrices, "cut_lineage", lambda df, f=matrices.cut_lineage: cut.append(plan(df)) or f(df))
+    text = plan(matrices.trigger(t))
+    assert "SortMergeJoin [cell" in cut[0] and "BroadcastHashJoin [stratum" not in "".join(cut)
+    assert "SortMergeJoin [cell" in text and "BroadcastHashJoin [cell" not in text
+    assert text.count("FlatMapGroupsInArrow") == 1  # strata are completed before a feature is derived
+    some = F.col("d").between("1997-01-01", "1997-02-15") & (F.col("cell") % 2 == 0)
+    whole, few = climate.rain_features(t.daily).filter(some), climate.rain_features(t.daily, only=some)
+    assert few.columns == whole.columns and few.count() == whole.count() > 0 and few.exceptAll(whole).count() == 0
+
+
 def test_control_candidates_are_not_shuffled(spark):
     t = Tables(spark, SF)
     text = plan(QUERIES["control_candidates"](spark, SF))
