@@ -188,14 +188,19 @@ def frozen_history(t: Tables) -> DataFrame:
     return table.read().select("event_id", "value")
 
 
+def parted(d: DataFrame) -> DataFrame:
+    """Days in three consecutive parts."""
+    part = F.when(F.col("d") < F.lit("1997-06-01").cast("date"), 0).when(F.col("d") < F.lit("1999-12-15").cast("date"), 1)
+    return d.withColumn("part", part.otherwise(2))
+
+
 def parted_daily(t: Tables) -> DataFrame:
     """Daily weather with the climatological rain of the cell, in three consecutive parts."""
     d = t.daily.select("cell", "d", "tmax", "precip")
     rain = d.groupBy("cell").agg(
         (F.sum(F.coalesce("precip", F.lit(0.0))) / F.greatest(F.lit(1.0), F.count(F.lit(1)) / 365.25)).alias("r_annual")
     )
-    part = F.when(F.col("d") < F.lit("1997-06-01").cast("date"), 0).when(F.col("d") < F.lit("1999-12-15").cast("date"), 1)
-    return d.join(rain, "cell").withColumn("part", part.otherwise(2))
+    return parted(d.join(rain, "cell"))
 
 
 @query(
@@ -265,7 +270,7 @@ def stream_rank(t: Tables) -> DataFrame:
         pctl = F.round(climate.ladder_rank(F.col("tmax"), F.col("q")), 9).alias("pctl")
         return keyed.join(ladder, ["cell", "fortnight"]).select("cell", "d", pctl)
 
-    arrivals(t, root, parted_daily(t), "part", [0, 1, 2], rank)
+    arrivals(t, root, parted(t.daily.select("cell", "d", "tmax")), "part", [0, 1, 2], rank)
     return tables.current(t.spark, f"{root}/log", ["cell", "d"], StructType.fromDDL("cell bigint, d date, pctl double"))
 
 

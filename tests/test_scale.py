@@ -185,6 +185,21 @@ def test_a_stream_derives_its_table_once(spark, monkeypatch):
     assert made == [["part"], ["part"]]
 
 
+def test_a_streamed_day_is_ranked_once_and_merged_by_hashing(spark, out_dir):
+    from terrasig.streaming import tables
+
+    df = spark.createDataFrame([(v, [1.0, 2.0, 2.0, 5.0, 9.0]) for v in (0.5, 1.0, 2.0, 4.0, 9.0, None)] + [(1.0, None)], "v double, q array<double>")
+    ranked = df.withColumn("p", climate.ladder_rank(F.col("v"), F.col("q"), 5))
+    assert plan(ranked).count("filter(") == 1
+    assert [r["p"] for r in ranked.collect()] == [0.0, 0.0, 0.5, 0.5 + 2.0 / 3.0 * 0.25, 1.0, None, None]
+    days = "k int, v double"
+    for batch, rows in enumerate(([(1, 1.0), (2, 2.0)], [(2, None), (3, 3.0)])):
+        tables.log_sink(f"{out_dir}/log")(spark.createDataFrame(rows, days), batch)
+    newest = tables.current(spark, f"{out_dir}/log", ["k"], spark.createDataFrame([], days).schema)
+    assert "SortAggregate" not in plan(newest)
+    assert sorted(tuple(r) for r in newest.collect()) == [(1, 1.0), (2, None), (3, 3.0)]
+
+
 def test_the_window_reads_what_is_taken_of_the_ladder(spark):
     from terrasig.operators import world
 
