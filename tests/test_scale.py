@@ -185,6 +185,31 @@ def test_a_stream_derives_its_table_once(spark, monkeypatch):
     assert made == [["part"], ["part"]]
 
 
+def written_by(monkeypatch, name, spark):
+    """The tables that a query writes before it reads them, and its plan."""
+    from terrasig.plans import tables
+
+    made = []
+    monkeypatch.setattr(tables, "written", lambda df, name, f=tables.written: made.append(name) or f(df, name))
+    return made, plan(QUERIES[name](spark, SF))
+
+
+def test_parity_writes_cell_days_and_deals_only_the_seasons_that_are_ranked(spark, monkeypatch):
+    from terrasig.plans.timeseries import near_season
+
+    made, _ = written_by(monkeypatch, "parity_report", spark)
+    assert made == ["cell_day"]
+    t, after = Tables(spark, SF), F.col("d") > F.lit("2001-10-01").cast("date")
+    whole = climate.world_signals(t.daily).cache()
+    part = climate.world_signals(t.daily, only=near_season(t, "2001-10-01")).cache()
+    assert part.count() < whole.count() / 3 and part.exceptAll(whole).count() == 0
+    rank = lambda df: series.pooled_percentiles(df, "cell", "d", {"rain3d": "a", "vpd": "b"}, missing_as={"vpd": 0.0}, only=after)
+    got = rank(part)
+    assert got.count() > 0 and got.exceptAll(rank(whole)).count() == 0 == rank(whole).exceptAll(got).count()
+    gone = part.withColumns({"rain3d": F.lit(None).cast("double"), "vpd": F.when(~after, F.col("vpd"))})
+    assert {(r["a"], r["b"]) for r in rank(gone).collect()} == {(None, 0.0)}
+
+
 def test_a_streamed_day_is_ranked_once_and_merged_by_hashing(spark, out_dir):
     from terrasig.streaming import tables
 
