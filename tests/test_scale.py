@@ -210,6 +210,17 @@ def test_parity_writes_cell_days_and_deals_only_the_seasons_that_are_ranked(spar
     assert {(r["a"], r["b"]) for r in rank(gone).collect()} == {(None, 0.0)}
 
 
+def test_compound_flags_rank_the_fire_of_their_days_only(spark, monkeypatch):
+    from terrasig.plans.timeseries import near_season
+
+    made, text = written_by(monkeypatch, "compound_flags", spark)
+    assert made == ["cell_day"] and "days_since_rain" not in text
+    t, after = Tables(spark, SF), F.col("d") > F.lit("2001-10-01").cast("date")
+    few = climate.fire_percentiles(t.daily, after, near_season(t, "2001-10-01"))
+    whole = climate.fire_features(t.daily).filter(after).select("cell", "d", *[F.col(f"{n}_pctl_seasonal").alias(f"{n}_pctl") for n in ("kbdi", "vpd", "tmax")])
+    assert few.columns == whole.columns and few.count() == whole.count() > 0 and few.exceptAll(whole).count() == 0
+
+
 def test_a_streamed_day_is_ranked_once_and_merged_by_hashing(spark, out_dir):
     from terrasig.streaming import tables
 
