@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,14 @@ def test_rain_of_cases_is_not_broadcast(spark, monkeypatch):
     assert few.columns == whole.columns and few.count() == whole.count() > 0 and few.exceptAll(whole).count() == 0
 
 
+def test_places_and_what_is_near_them_are_not_broadcast(spark, monkeypatch):
+    cut = []
+    monkeypatch.setattr(descent, "cut_lineage", lambda df, f=descent.cut_lineage: cut.append(plan(df)) or f(df))
+    text = plan(QUERIES["watchlist_rank"](spark, SF))
+    assert any("SortMergeJoin [v_cx" in x for x in cut) and not any("BroadcastHashJoin" in x for x in cut)
+    assert not re.findall(r"BroadcastHashJoin \[(?:id|cell)#\d+L?\]", text)
+
+
 def test_control_candidates_are_not_shuffled(spark):
     t = Tables(spark, SF)
     text = plan(QUERIES["control_candidates"](spark, SF))
